@@ -128,6 +128,18 @@ def score(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, model: CompressionModel, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.blocks(batches):
+            keep = [shared.value.score(block.text(i)) >= least for i in range(len(block))]
+            yield block.batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> CompressionModel:
     return train(B.labelled_sample(docs, labels, "quality", limit, HELD_PARTS, HELD, SAMPLE_SHARE))
 
