@@ -1,4 +1,70 @@
-"""Corpus pipeline (filled in as its operators are written)."""
-STAGES = []
+"""Corpus pipeline: quality, near duplicates, repeated passages, test items, tokens.
+
+Each stage takes the documents its predecessor kept and returns those it
+keeps, with the columns of ``documents``; the last adds the token columns.
+Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korvid.llm import blocks, bpe, decontamination, jaccard, quality, substring
+
+#: Documents of a lower score go.  Half is where the calibrated curve calls a text as likely bad as good.
+KEEP_SCORE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject; it learns from the labelled ones among them."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.accepted(docs, model, KEEP_SCORE)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that similar shingle sets link."""
+    groups = jaccard.join(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document of a smaller id keeps."""
+    kind = docs.schema["n_chars"].dataType
+    left = substring.dedup(docs).withColumn("n_chars", F.length("text").cast(kind))
+    return left.select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy, edited or not, of a test item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text that is left."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("substring dedup", repeated_passage_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-level BPE encoding and decoding", token_stage),
+]
+
+#: Not expressible in SQL: classifier, chunking, alignment and tokens are tested against plain versions instead.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
+    docs = blocks.documents(spark, sf_dir)
+    base = f"{blocks.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
