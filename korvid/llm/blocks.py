@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 # The ASCII white space that separates words in every contract.
 SEPARATORS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]

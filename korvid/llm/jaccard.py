@@ -16,12 +16,15 @@ Exactness
     few such partitions also sends the signatures of a prefix filter, so two
     sets of that kind meet there.  Every candidate is verified on the sets.
 Common signatures
-    A signature shared by few sets makes all its pairs candidates.  One that
-    many share links each of them with the smallest id only.  Since similar
-    sets agree on ``spare + 1`` signatures, a set with at most ``spare``
-    common ones meets all its partners elsewhere.  Only sets with more, and
-    not linked with the smallest id, are compared again: with another centre
-    each round, at last with all others of that kind.
+    A signature shared by few sets makes all its pairs candidates; since
+    similar sets agree on ``spare + 1`` signatures, pairs that share fewer
+    (common ones allowed for) need no verification.  A set with at most
+    ``spare`` signatures that many sets share meets all its partners under
+    other ones.  Only sets with more are compared under common signatures,
+    all but the commonest ones, and only with sets they aren't connected with
+    yet: first each with one centre (the set with the most common signatures,
+    as the origin of a family of copies has).  Those still apart then meet
+    the others of that kind where they share one of their rarest shingles.
 Size
     Signatures travel packed, about six bytes each, in as many buckets as the
     corpus needs; exact copies within a task are sent once.
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -43,13 +46,13 @@ SHINGLE = 5
 NUM, DEN = 80, 100
 BAND_RATIO = 1.5
 #: Sets that share a signature up to this number are all compared with each other.
-SMALL_GROUP = 8
+SMALL_GROUP = 12
 #: Signatures of a bucket, of which a task holds one at a time.
 BUCKET_ROWS = 1_500_000
 #: Ids that are broadcast to find their documents; more are joined instead.
 MAX_IDS = 2_000_000
-STAR_ROUNDS = 2
-_FLUSH = 1_000_000
+STAR_ROUNDS = 1
+_FLUSH = 500_000
 _FALLBACK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -238,7 +241,8 @@ def signature_table(docs: DataFrame, buckets: int, n: int = SHINGLE) -> DataFram
 
 
 def candidates(table: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
-    """Rows of each bucket: candidate pairs (a < b) with ``sig`` null, and for common signatures the members (sig, a = centre, b, flag)."""
+    """Rows of each bucket: pairs (a < b) with the number ``n`` of uncommon signatures they share, ``sig`` being null;
+    and for each common signature its members (sig, b).  ``flag`` says that all sets of the row fell back on prefixes."""
 
     def run(group: pa.Table) -> pa.Table:
         parts = [_unpack(s, d, f) for s, d, f in zip(*(group.column(c).to_pylist() for c in ("sig", "doc", "flag")))]
@@ -247,30 +251,30 @@ def candidates(table: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
         sig, doc, flag = sig[order], doc[order], flag[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
         sig, doc, flag = sig[new], doc[new], flag[new]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        group_size, first = np.repeat(size, size), np.repeat(doc[start], size)
-        pairs_a, pairs_b = [], []
-        few = group_size <= small
+        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig)))
+        few = np.repeat(size, size) <= small
+        one, two = [], []
         for step in range(1, small):
             same = np.flatnonzero(few[:-step] & (sig[:-step] == sig[step:])) if step < len(sig) else np.zeros(0, np.int64)
-            pairs_a.append(doc[same])
-            pairs_b.append(doc[same + step])
-        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[once], b[once]
+            one.append(same)
+            two.append(same + step)
+        i, j = np.concatenate(one), np.concatenate(two)
+        order = np.lexsort((doc[j], doc[i]))
+        i, j = i[order], j[order]
+        a, b, free = doc[i], doc[j], flag[i] & flag[j]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(a)))
+        a, b, free = a[start], b[start], free[start]
         many = np.flatnonzero(~few)
         bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(40)
+        pair = np.arange(len(a) + len(many)) < len(a)
         return pa.table({
-            "sig": pa.array(np.concatenate([np.zeros(len(a), np.int64), (sig[many] | bucket).view(np.int64)]), mask=np.arange(len(a) + len(many)) < len(a)),
-            "a": np.concatenate([a, first[many]]), "b": np.concatenate([b, doc[many]]),
-            "flag": np.concatenate([np.zeros(len(a), bool), flag[many]]),
+            "sig": pa.array(np.concatenate([np.zeros(len(a), np.int64), (sig[many] | bucket).view(np.int64)]), mask=pair),
+            "a": pa.array(np.concatenate([a, np.zeros(len(many), np.int64)]), mask=~pair), "b": np.concatenate([b, doc[many]]),
+            "n": np.concatenate([n, np.ones(len(many), np.int64)]), "flag": np.concatenate([free, flag[many]]),
         })
 
-    return table.groupBy("bucket").applyInArrow(run, "sig long, a long, b long, flag boolean")
+    return table.groupBy("bucket").applyInArrow(run, "sig long, a long, b long, n long, flag boolean")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -308,8 +312,8 @@ def _set(packed: bytes) -> np.ndarray:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    pairs = B.cut(pairs.distinct())
+    """Those of the pairs (a, b), each given once, whose sets are similar enough."""
+    pairs = B.cut(pairs.select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = B.cut(sets_of(docs, ids, n))
 
@@ -358,6 +362,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def sized(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose sets' sizes allow them to be similar, with the sizes and counts of ``info`` for both."""
+    for side in ("a", "b"):
+        own = info.select(F.col("doc_id").alias(side), F.col("_m").alias(f"_m{side}"), F.col("_h").alias(f"_h{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.where(DEN * F.least("_ma", "_mb") >= NUM * F.greatest("_ma", "_mb"))
+
+
+def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """Pairs (a < b) of the sets named in ``labels`` (b, _c), of different ``_c``, that share one of their rarest shingles.
+
+    Rarest first, similar sets share one of the first ``size - NUM / DEN *
+    size + 1`` shingles of either, and at the first that they share enough of
+    both must be left; so no link is lost.  A passage that many of these sets
+    hold is not among the rarest of any that has enough else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                sets = [_set(x) for x in batch.column(1)[k : k + 500].to_pylist()]
+                sizes = [len(x) for x in sets]
+                ids = batch.column(0)[k : k + 500].take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
+                columns = [ids, pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "shingle", "_size"])
+
+    packed = sets_of(docs, labels.select(F.col("b").alias("doc_id")), n)
+    rows = B.cut(packed.select("doc_id", "shingles").mapInArrow(run, "b long, shingle long, _size long"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("_often")).where("_often > 1")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("_often", "shingle"))
+    ranked = rows.join(often, "shingle", "left").withColumn("_rank", rank)  # null: in one set only, the rarest
+    send = F.expr(f"_size - (_size * {NUM} + {DEN - 1}) div {DEN} + 1")
+    sent = ranked.where((F.col("_rank") <= send) & F.col("_often").isNotNull()).join(labels, "b")
+    sent = B.cut(sent.select("shingle", "b", "_c", "_size", "_rank"))
+    one = sent.select("shingle", F.col("b").alias("a"), F.col("_c").alias("_d"), F.col("_size").alias("_other"), F.col("_rank").alias("_place"))
+    # at the first shingle that two sets share, what is left of both bounds what they can share
+    least = F.expr(f"({NUM} * (_size + _other) + {NUM + DEN - 1}) div {NUM + DEN}")
+    near = (F.col("_c") != F.col("_d")) & (F.col("a") < F.col("b")) & (F.least(F.col("_size") - F.col("_rank"), F.col("_other") - F.col("_place")) + 1 >= least)
+    return one.join(sent, "shingle").where(near).select("a", "b").distinct()
+
+
+def undroppable(members: DataFrame, info: DataFrame) -> DataFrame:
+    """Members (sig, b, _h) of common signatures, without as many of the commonest of each set as it may drop.
+
+    Similar sets that share nothing but common signatures share more than
+    that; in the order of frequency, the same for all sets, one of those that
+    are kept is among them.  Sets that fell back keep all.
+    """
+    often = members.groupBy("sig").agg(F.count("*").alias("_often"))
+    own = info.select(F.col("doc_id").alias("b"), "_m", "_h", "_flag")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("_often"), "sig"))
+    ranked = members.join(often, "sig").join(own, "b").withColumn("_rank", rank)
+    return ranked.where(F.col("_flag") | (F.col("_rank") > F.expr("_m div 20"))).select("sig", "b", "_h")
+
+
+def likely(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs that can be similar, by their sizes and by how many signatures they share.
+
+    Similar sets share ``spare + 1`` signatures of the smaller one, unless
+    both fell back; those they share and that aren't counted here are common
+    ones, of which they share no more than either has.
+    """
+    counted = sized(pairs.groupBy("a", "b").agg(F.sum("n").alias("_n"), F.max("flag").alias("_free")), info)
+    least = F.least("_ma", "_mb")
+    spare = F.ceil(least / 16) + 1
+    return counted.where(F.col("_free") | (F.col("_n") + F.least("_ha", "_hb") >= spare + 1)).select("a", "b")
+
+
 def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -376,34 +448,31 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_ROWS)))
     found = B.cut(candidates(signature_table(docs, buckets, n)))
 
-    same = of.where(F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))).select("doc_id", "rep").distinct()
-    pairs = found.where(F.col("a") != F.col("b")).select("a", "b")
-    links = B.cut(verified(docs, pairs, n))
-    groups = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    same = of.where(F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
     common = found.where(F.col("sig").isNotNull())
-    counts = common.groupBy("b").agg(F.count("*").alias("_n"), F.max("flag").alias("_flag"))
-    biggest = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("n_shingles").alias("_m"))
-    bound = F.col("_flag") | (F.col("_n") > F.expr("_m div 20"))
-    stuck = counts.join(biggest, counts["b"] == biggest["doc_id"]).where(bound).select("b")
-    members = None
+    counts = common.groupBy("b").agg(F.count("*").alias("_h"), F.max("flag").alias("_flag"))
+    info = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("n_shingles").alias("_m"))
+    info = B.cut(info.join(counts, info["doc_id"] == counts["b"], "left").select("doc_id", "_m", F.coalesce("_h", F.lit(0)).alias("_h"), F.coalesce("_flag", F.lit(False)).alias("_flag")))
+
+    links = B.cut(verified(docs, likely(found.where(F.col("sig").isNull()), info), n))
+    groups = components(links.unionByName(same))
+    stuck = info.where(F.col("_flag") | (F.col("_h") > F.expr("_m div 20"))).select(F.col("doc_id").alias("b"))
+    members = B.cut(undroppable(common.select("sig", "b").join(stuck, "b", "left_semi"), info))
     for turn in range(STAR_ROUNDS + 1):
         label = groups.select(F.col("node").alias("b"), F.col("component").alias("_c"))
-        if members is None:
-            members = B.cut(common.select("sig", "b").join(stuck, "b", "left_semi"))
         at = members.join(label, "b", "left").withColumn("_c", F.coalesce("_c", "b"))
         split = at.groupBy("sig").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where(F.col("_low") != F.col("_high"))
         at = B.cut(at.join(split.select("sig", "_low"), "sig"))
         if at.isEmpty():
             break
-        apart = at.where(F.col("_c") != F.col("_low"))
         if turn < STAR_ROUNDS:
-            centre = apart.groupBy("sig").agg(F.min(F.struct("b", "_c")).alias("_x")).select("sig", F.col("_x.b").alias("a"), F.col("_x._c").alias("_d"))
+            centre = at.groupBy("sig").agg(F.min(F.struct(-F.col("_h"), "b", "_c")).alias("_x")).select("sig", F.col("_x.b").alias("a"), F.col("_x._c").alias("_d"))
+            again = at.join(centre, "sig").where(F.col("_c") != F.col("_d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            centre = apart.select("sig", F.col("b").alias("a"), F.col("_c").alias("_d"))
-        again = at.join(centre, "sig").where(F.col("_c") != F.col("_d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(docs, again, n)
-        links = B.cut(links.unionByName(more).distinct())
-        groups = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-        members = at.select("sig", "b")
+            again = prefix_pairs(docs, at.select("b", "_c").distinct(), n)
+        links = B.cut(links.unionByName(verified(docs, sized(again, info), n)).distinct())
+        groups = components(links.unionByName(same))
+        members = at.select("sig", "b", "_h")
     label = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
     return of.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
