@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -535,7 +535,11 @@ def w_statistics(c: Catalog) -> DataFrame:
 
 
 # Conversions.
-_TEXTS = F.element_at(F.array(*[F.lit(x) for x in ["12", "-7", "2.5", "abc", "true", "F", " 3", "1e3", "0", ""]]), (F.col("event_id") % 10 + 1).cast("int"))
+def _texts() -> Column:
+    values = F.array(*[F.lit(x) for x in ["12", "-7", "2.5", "abc", "true", "F", " 3", "1e3", "0", ""]])
+    return F.element_at(values, (F.col("event_id") % 10 + 1).cast("int"))
+
+
 _TEXT_SQL = "list_extract(['12', '-7', '2.5', 'abc', 'true', 'F', ' 3', '1e3', '0', ''], (event_id % 10 + 1)::INTEGER)"
 _TEXT = T.StringType()
 
@@ -545,7 +549,7 @@ _TEXT = T.StringType()
     "trunc(value)::BIGINT AS from_double FROM events"
 )
 def c_to_int(c: Catalog) -> DataFrame:
-    return c.table("events").select("event_id", convert.to_int(_TEXTS, _TEXT).alias("from_text"), convert.to_int(F.col("value"), T.DoubleType()).alias("from_double"))
+    return c.table("events").select("event_id", convert.to_int(_texts(), _TEXT).alias("from_text"), convert.to_int(F.col("value"), T.DoubleType()).alias("from_double"))
 
 
 _NUMBER_SQL = f"CASE WHEN regexp_full_match({_TEXT_SQL}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({_TEXT_SQL} AS DOUBLE) END"
@@ -556,7 +560,7 @@ _NUMBER_SQL = f"CASE WHEN regexp_full_match({_TEXT_SQL}, '[+-]?([0-9]+\\.?[0-9]*
     f"THEN false ELSE {_NUMBER_SQL} <> 0 END AS from_text, event_id % 4 <> 0 AS from_int FROM events"
 )
 def c_to_bool(c: Catalog) -> DataFrame:
-    return c.table("events").select("event_id", convert.to_bool(_TEXTS, _TEXT).alias("from_text"), convert.to_bool(F.col("event_id") % 4, T.LongType()).alias("from_int"))
+    return c.table("events").select("event_id", convert.to_bool(_texts(), _TEXT).alias("from_text"), convert.to_bool(F.col("event_id") % 4, T.LongType()).alias("from_int"))
 
 
 @query("SELECT event_id, event_id::VARCHAR AS from_int, (event_id % 2 = 0)::VARCHAR AS from_bool FROM events")
@@ -566,12 +570,12 @@ def c_to_string(c: Catalog) -> DataFrame:
 
 @query(f"SELECT event_id, {_NUMBER_SQL} AS from_text, (event_id % 2)::DOUBLE AS from_bool FROM events")
 def c_to_double(c: Catalog) -> DataFrame:
-    return c.table("events").select("event_id", convert.to_double(_TEXTS, _TEXT).alias("from_text"), convert.to_double(F.col("event_id") % 2 == 1, T.BooleanType()).alias("from_bool"))
+    return c.table("events").select("event_id", convert.to_double(_texts(), _TEXT).alias("from_text"), convert.to_double(F.col("event_id") % 2 == 1, T.BooleanType()).alias("from_bool"))
 
 
 @query(f"SELECT event_id, ({_NUMBER_SQL}) IS NOT NULL AS ok FROM events")
 def c_valid(c: Catalog) -> DataFrame:
-    return c.table("events").select("event_id", convert.valid(_TEXTS, _TEXT, "double").alias("ok"))
+    return c.table("events").select("event_id", convert.valid(_texts(), _TEXT, "double").alias("ok"))
 
 
 @query(f"SELECT doc_id, coalesce(quality, 0)::BIGINT AS quality, coalesce(is_toxic, false) AS is_toxic FROM {_LABELLED}")
