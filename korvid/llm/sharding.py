@@ -76,14 +76,15 @@ def _levels(docs: DataFrame, name: str) -> Column:
     return F.coalesce(table[F.col(name)], F.lit(0)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source"), keep_rows: bool = False) -> DataFrame:
     """Put documents (doc_id, text and the string dimensions) into ``shards`` runs of the curve; counts differ by one at most.
 
     The dimensions are those given and the size of the text (levels of its
     logarithm).  A null dimension is a level of its own; a null text has no
     bytes; ties of the index are broken by checksum, id and size, and rows
     equal in all of these change places without a difference.  An empty table
-    gives an empty table.  Other columns are neither read nor returned.
+    gives an empty table.  Other columns are neither read nor returned, but
+    with ``keep_rows`` the whole input row comes along as the struct ``row``.
     """
     top = (1 << BITS) - 1
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -96,11 +97,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = (
         for columns in parts:
             yield pd.Series(hilbert_index([c.to_numpy() for c in columns], BITS))
 
+    carried = [F.struct(*docs.columns).alias("row")] if keep_rows else []
     rows = docs.select(
         "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), level.alias("_size"),
-        *[_levels(docs, d).alias(n) for d, n in zip(dimensions, names)],
+        *[_levels(docs, d).alias(n) for d, n in zip(dimensions, names)], *carried,
     )
-    rows = B.cut(rows.select("doc_id", "size", "text_crc32", index(*names, "_size").alias("curve")))
+    carried = ["row"] if keep_rows else []
+    rows = B.cut(rows.select("doc_id", "size", "text_crc32", index(*names, "_size").alias("curve"), *carried))
     order = ["curve", "text_crc32", "doc_id", "size"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -122,5 +125,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = (
     out = placed.withColumn("_rank", rank)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), number.cast("int").alias("shard"),
-        (F.col("_rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+        (F.col("_rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *carried,
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source")) -> None:
+    """Write the rows of ``docs`` as Parquet below ``path``, a folder ``_shard=N`` for each shard, in the order of the curve.
+
+    The rows already stand in that order, so writing needs no further shuffle.
+    """
+    placed = shard(docs, shards, dimensions, keep_rows=True)
+    rows = placed.sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("_shard"))
+    rows.write.partitionBy("_shard").parquet(path)

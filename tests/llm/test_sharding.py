@@ -55,6 +55,15 @@ def test_odd_rows(spark, odd, none):
     check(S.shard(same, 7).collect(), 7, 1000)
 
 
+def test_files(spark, odd, docs, tmp_path):
+    for name, table in (("odd", odd), ("docs", docs)):
+        S.write_shards(table, f"file://{tmp_path}/{name}", 5)
+        back = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert sorted(map(repr, back.select(table.columns).collect())) == sorted(map(repr, table.collect()))
+        sizes = [r["count"] for r in back.groupBy("_shard").count().collect()]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
 def test_too_many_values_to_order(spark, monkeypatch):
     monkeypatch.setattr(S, "MAX_VALUES", 10)
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("lang"), F.lit("s").alias("source"))
