@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 # The ASCII white space that separates words in every contract.
 SEPARATORS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -132,6 +135,18 @@ class Words:
         return mix(out[at]), at
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of few rows: texts are long, and both sides hold a batch at once.
+
+    The session's bound is lowered if it is above ``BATCH_ROWS``; results don't depend on it.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 
-#: Bound on the words kept between blocks, and bytes of text of a block.
-CACHE_WORDS = 400_000
+#: Words kept between blocks before they age (twice as many at most), and bytes of text of a block.
+CACHE_WORDS = 120_000
 POOL_BYTES = 4 << 20
 
 
@@ -34,6 +34,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class _Cache(dict):
+    """Encoded words in two generations: one that is used moves to the young one, and the old one is dropped as a whole."""
+
+    def __init__(self, limit: int):
+        self.old: dict[str, str] = {}
+        self.limit = limit
+
+    def __missing__(self, word: str) -> str:
+        ids = self[word] = self.old[word]
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+    def unknown(self, words: set[str]) -> set[str]:
+        return words - self.keys() - self.old.keys()
+
+
 class Codec:
     """Encoder and decoder for one rank table and one splitting pattern."""
 
@@ -52,8 +76,7 @@ class Codec:
         self.keys = np.array(sorted(self.pair), dtype=np.int64)
         self.ranks = np.array([self.pair[k] for k in self.keys.tolist()], dtype=np.int32)
         self.text_of = {i: str(i) for i in ranks.values()}
-        self.cache: dict[str, str] = {}
-        self.cache_words = cache_words
+        self.cache = _Cache(cache_words)
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 where they don't merge."""
@@ -167,12 +190,11 @@ class Codec:
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by blanks."""
         split = [self.pattern.findall(t) for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
+        self.cache.age()
         new: set[str] = set()
         for words in split:
             new.update(words)
-        self.learn(new - self.cache.keys())
+        self.learn(self.cache.unknown(new))
         get = self.cache.__getitem__
         return [" ".join(map(get, words)) for words in split]
 
@@ -214,10 +236,11 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
                 columns.append(pa.array(joined, pa.string()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.cache.forget()  # the worker lives on and may do other things next
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(B.arrow, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -231,4 +254,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").transform(B.arrow, run, f"doc_id {kind}, text string")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as B
+
 # The roles, in the order of the automaton's states after START.
 ROLES = ["system", "user", "assistant"]
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
@@ -203,9 +205,9 @@ def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
         out_schema = pa.schema([("conv_id", arrow_kind), ("_s", pa.int64()), ("m", pa.list_(pa.float64()))])
         chain_schema = pa.schema([("conv_id", arrow_kind), ("_s", pa.int64()), ("_entry", pa.int32()), ("_leave", pa.int32()), ("_last", pa.bool_())])
         sorted_roles = rows.select("conv_id", "_s", "turn", "role", "text").repartition("conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text")
-        found = sorted_roles.select("conv_id", "_s", "turn", "role").mapInArrow(matrices, T.StructType([*key, T.StructField("m", T.ArrayType(T.DoubleType()))]))
+        found = sorted_roles.select("conv_id", "_s", "turn", "role").transform(B.arrow, matrices, T.StructType([*key, T.StructField("m", T.ArrayType(T.DoubleType()))]))
         found = found.repartition("conv_id").sortWithinPartitions("conv_id", "_s")
-        states = found.mapInArrow(chain, T.StructType([*key, T.StructField("_entry", T.IntegerType()), T.StructField("_leave", T.IntegerType()), T.StructField("_last", T.BooleanType())]))
+        states = found.transform(B.arrow, chain, T.StructType([*key, T.StructField("_entry", T.IntegerType()), T.StructField("_leave", T.IntegerType()), T.StructField("_last", T.BooleanType())]))
         states = states.withColumnsRenamed({"conv_id": "_conv", "_s": "_at"})
         plan = rows.join(states, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_s") == F.col("_at")))
 
@@ -232,7 +234,7 @@ def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, arrow.types)], schema=arrow)
 
     plan = plan.select("conv_id", "_s", "turn", "role", "text", "_entry", "_leave", "_last")
-    return plan.repartition("conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text").mapInArrow(render, schema)
+    return plan.repartition("conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text").transform(B.arrow, render, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

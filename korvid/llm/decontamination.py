@@ -151,7 +151,7 @@ def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(hashes), dtype=np.int64)
     if len(hashes):
-        for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        for r in docs.select("text").transform(B.arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             out[r["k"]] = r["n"]
     return out
 
@@ -220,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
                         names=["doc_id", "item_id", "score", "first_word", "end_word"],
                     )
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").transform(B.arrow, run, schema)
 
     parts = [scan(choose_seeds(docs, items)) for items in item_blocks(benchmark)]
     return reduce(DataFrame.unionAll, parts)
@@ -239,5 +239,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                     keep[d] = False
                 yield block.batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(B.arrow, run, docs.schema)
     return docs

@@ -48,11 +48,11 @@ BAND_RATIO = 1.5
 #: Sets that share a signature up to this number are all compared with each other.
 SMALL_GROUP = 12
 #: Signatures of a bucket, of which a task holds one at a time.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 500_000
 #: Ids that are broadcast to find their documents; more are joined instead.
 MAX_IDS = 2_000_000
 STAR_ROUNDS = 1
-_FLUSH = 500_000
+_FLUSH = 300_000
 _FALLBACK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -169,7 +169,7 @@ def sizes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             digest = [pa.array(np.array(x, dtype=np.uint64).view(np.int64), mask=empty) for x in (hi, lo)]
             yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array(size, pa.int64()), *digest], names=["doc_id", "n_shingles", "hi", "lo"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(B.arrow, run, "doc_id long, n_shingles long, hi long, lo long")
 
 
 def _pack(sig: np.ndarray, doc: np.ndarray, flag: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -237,7 +237,7 @@ def signature_table(docs: DataFrame, buckets: int, n: int = SHINGLE) -> DataFram
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "bucket int, sig binary, doc binary, flag binary")
+    return rows.transform(B.arrow, run, "bucket int, sig binary, doc binary, flag binary")
 
 
 def candidates(table: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
@@ -301,7 +301,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
                 out = [np.unique(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(block, n)]
                 yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return rows.transform(B.arrow, run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
 
 
 def _set(packed: bytes) -> np.ndarray:
@@ -336,7 +336,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").transform(B.arrow, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names=["b", "shingle", "_size"])
 
     packed = sets_of(docs, labels.select(F.col("b").alias("doc_id")), n)
-    rows = B.cut(packed.select("doc_id", "shingles").mapInArrow(run, "b long, shingle long, _size long"))
+    rows = B.cut(packed.select("doc_id", "shingles").transform(B.arrow, run, "b long, shingle long, _size long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("_often")).where("_often > 1")
     rank = F.row_number().over(Window.partitionBy("b").orderBy("_often", "shingle"))
     ranked = rows.join(often, "shingle", "left").withColumn("_rank", rank)  # null: in one set only, the rarest

@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: CentroidModel) -> DataFrame:
 
     rows = docs.select("doc_id", (B.fold("doc_id", HELD_PARTS) == HELD).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.transform(B.arrow, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def language(docs: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:

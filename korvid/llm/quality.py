@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD
 
     rows = docs.select("doc_id", (B.fold("doc_id", HELD_PARTS) == HELD).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    out = rows.transform(B.arrow, run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -137,7 +137,7 @@ def accepted(docs: DataFrame, model: CompressionModel, least: float) -> DataFram
             keep = [shared.value.score(block.text(i)) >= least for i in range(len(block))]
             yield block.batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(B.arrow, run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> CompressionModel:

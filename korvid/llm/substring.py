@@ -108,7 +108,7 @@ def chunk_table(docs: DataFrame, places: bool) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, f"hi long, lo long, doc_id {kind}" + ", at int" * places)
+    return rows.transform(B.arrow, run, f"hi long, lo long, doc_id {kind}" + ", at int" * places)
 
 
 def _runs(remove: list[bool], ends: list[int], begin: int, least: int) -> list[tuple[int, int]]:
@@ -140,7 +140,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     first = chunk_table(docs, False).groupBy("hi", "lo").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     first = first.where(F.col("_n") > 1).select("hi", "lo", "_first")
     hits = chunk_table(docs, True).join(first, ["hi", "lo"]).where(F.col("doc_id") != F.col("_first"))
-    hits = hits.groupBy("doc_id").agg(F.collect_set("at").alias("_at"), F.collect_set("_first").alias("kept_by"))
+    hits = hits.groupBy("doc_id").agg(F.collect_set("at").alias("_korvid_at"), F.collect_set("_first").alias("kept_by"))
 
     added = ["n_chunks", "n_dup_chunks", "removed_bytes"]
     base = docs.drop(*added, "kept_by")
@@ -154,7 +154,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batches):
             b = block.batch
-            known = b.column(b.schema.get_field_index("_at")).to_pylist()
+            known = b.column(b.schema.get_field_index("_korvid_at")).to_pylist()
             null = b.column(text_at).is_null().to_pylist()
             texts, n, dup, gone = [], [], [], []
             for i, (ends, found) in enumerate(digests(block)):
@@ -184,4 +184,4 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             columns += [pa.array(x, pa.int64()) for x in (n, dup, gone)] + [kept_by]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return base.join(hits, "doc_id", "left").select(*base.columns, "_at", "kept_by").mapInArrow(run, out_schema)
+    return base.join(hits, "doc_id", "left").select(*base.columns, "_korvid_at", "kept_by").transform(B.arrow, run, out_schema)

@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: SubwordModel, threshold: float = THRESHOLD) ->
 
     rows = docs.select("doc_id", (B.fold("doc_id", HELD_PARTS) == HELD).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    out = rows.transform(B.arrow, run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
