@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -148,6 +149,27 @@ def select(
     return df.select(*columns) if columns else df
 
 
+def members_of(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose value is among those of a table of one column, however long it is; Spark broadcasts it if it is small."""
+    name = values.columns[0]
+    return df.join(values.select(F.col(name).alias("_needle")).distinct(), F.col(column) == F.col("_needle"), "left_semi")
+
+
+def where_key(df: DataFrame, key: str, test: Callable[[object], bool]) -> DataFrame:
+    """Rows whose key passes a Python test: for callbacks that no column expression can stand for, a batch of keys at a time."""
+
+    @F.pandas_udf("boolean")
+    def passes(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: bool(test(k))).astype(bool)
+
+    return df.where(passes(F.col(key)))
+
+
+def chunk_rows(rows: int, workers: int, most: int = 1024) -> int:
+    """Rows of a chunk, so that each worker gets about two: at least one, at most ``most``."""
+    return max(1, min(most, -(-rows // (2 * max(1, workers)))))
+
+
 def first(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.col(key).asc_nulls_first()).limit(1)
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import convert
+from .functions.compare import compare_values
 from .functions.keys import pack_column_key, unpack_column_key
 from .functions.text import tokenise
 from .operators import bulk, dml, index, links, schema, versioning, wal
-from .operators.query import Query, chunk_stats, first, last, select, slice_rows
+from .operators.query import Query, chunk_stats, first, last, members_of, select, slice_rows
 from .plans.cache import estimated_cardinality, rollup
 from .sources.catalog import Catalog
 from .sources.spec import ColumnSpec
@@ -534,6 +535,21 @@ def w_statistics(c: Catalog) -> DataFrame:
     return wal.statistics(_log(c))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5)")
+def p_member_table(c: Catalog) -> DataFrame:
+    needles = c.table("part").where("p_size < 5").select("p_partkey")
+    return members_of(c.table("lineitem"), "l_partkey", needles).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN quality IS NULL THEN CASE WHEN toxic IS NULL THEN 0 ELSE -1 END WHEN toxic IS NULL THEN 1 WHEN quality < toxic THEN -1 "
+    f"WHEN quality > toxic THEN 1 ELSE 0 END AS c FROM {_LABELLED}"
+)
+def p_compare_nulls_first(c: Catalog) -> DataFrame:
+    kind = T.IntegerType()
+    return _labelled(c).select("doc_id", compare_values(F.col("quality"), kind, F.col("toxic"), kind, "int").alias("c"))
+
+
 # Conversions.
 def _texts() -> Column:
     values = F.array(*[F.lit(x) for x in ["12", "-7", "2.5", "abc", "true", "F", " 3", "1e3", "0", ""]])

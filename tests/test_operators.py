@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from korvid.functions import convert, keys
+from korvid.functions.compare import compare_values, in_order
 from korvid.functions.text import fold_ascii, tokenise
 from korvid.operators import bulk, dml, index, links, schema, versioning, wal
-from korvid.operators.query import Query, RowIterator, chunk_stats, chunks, first, last, select, slice_rows
+from korvid.operators.query import Query, RowIterator, chunk_rows, chunk_stats, chunks, first, last, members_of, select, slice_rows, where_key
 from korvid.sources import catalog, storage
 from korvid.sources.spec import ColumnSpec, SpecError, TableSpec, attribute_bits, check_value, clear_attribute, duplicates, has_attribute, set_attribute, violations
 
@@ -330,3 +331,20 @@ def test_metadata(spark):
     m = catalog.put_metadata(catalog.put_metadata(catalog.put_metadata(m, "a", b"1"), "b", b"2"), "a", b"3")
     assert {r["key"]: bytes(r["value"]) for r in catalog.current_metadata(m).collect()} == {"a": b"3", "b": b"2"}
     assert column(catalog.current_metadata(catalog.remove_metadata(m, "a")), "key") == ["b"]
+
+
+def test_compare(spark):
+    rows = [("2", 10.0), (None, 1.0), ("x", None), ("3", 2.5), ("5", None)]
+    df = spark.createDataFrame(rows, "a string, b double")
+    got = df.select(compare_values(F.col("a"), T.StringType(), F.col("b"), T.DoubleType(), "double").alias("c"))
+    assert column(got, "c") == [-1, -1, 0, 1, 1]
+    binary = spark.createDataFrame([(b"ab", b"b"), (b"b", b"ab"), (b"", b"")], "a binary, b binary")
+    assert column(binary.select(compare_values(F.col("a"), T.BinaryType(), F.col("b"), T.BinaryType(), "binary").alias("c")), "c") == [-1, 1, 0]
+    assert column(df.orderBy(in_order(F.col("b"), False)), "b") == [10.0, 2.5, 1.0, None, None]
+
+
+def test_members_and_callbacks(spark):
+    df = spark.range(20)
+    assert sorted(column(members_of(df, "id", spark.createDataFrame([(3,), (3,), (99,), (None,)], "v long")), "id")) == [3]
+    assert sorted(column(where_key(df, "id", lambda k: k % 7 == 0), "id")) == [0, 7, 14]
+    assert [chunk_rows(n, 4) for n in (0, 5, 100, 10**6)] == [1, 1, 13, 1024]
