@@ -26,21 +26,21 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Chunk sizes in bytes; the hash reads 32 bytes, so the least size keeps it within the chunk.
-MIN_CHUNK, CUT_BITS, MAX_CHUNK = 32, 5, 256
+#: Chunk sizes in bytes; the hash has 16 bits and so reads 16 bytes, which the least size keeps within the chunk.
+MIN_CHUNK, CUT_BITS, MAX_CHUNK = 16, 5, 256
 #: Shorter runs of repeated chunks are left alone: a few common words are no repeated passage.
 MIN_RUN = 96
 
-_GEAR = (B.BYTE_CODE >> np.uint64(32)).astype(np.uint32)
+_GEAR = (B.BYTE_CODE >> np.uint64(48)).astype(np.uint16)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of gear[b[i-k]] << k over the last 32 bytes: the rolling hash h = (h << 1) + gear[b], at all places at once."""
+    """h[i] = sum of gear[b[i-k]] << k over the last 16 bytes: the rolling hash h = (h << 1) + gear[b], at all places at once."""
     h = _GEAR[data]
     step = 1
-    while step < 32:  # h over 2 * step bytes is h over step bytes here, plus h over step bytes before, shifted
+    while step < 16:  # h over 2 * step bytes is h over step bytes here, plus h over step bytes before, shifted
         out = h.copy()
-        out[step:] += h[:-step] << np.uint32(step)
+        out[step:] += h[:-step] << np.uint16(step)
         h = out
         step *= 2
     return h
@@ -51,7 +51,7 @@ def chunk_ends(block: B.Block) -> list[list[int]]:
     data, offs = block.data, block.offs
     if not len(data):
         return [[] for _ in range(len(block))]
-    cut = gear(data) >> np.uint32(32 - CUT_BITS) == 0
+    cut = gear(data) >> np.uint16(16 - CUT_BITS) == 0
     cut[:-1] &= (data[1:] & 0xC0) != 0x80  # never within a character
     at = np.flatnonzero(cut) + 1
     edge = np.searchsorted(at, offs, side="right")
