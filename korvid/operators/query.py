@@ -178,6 +178,11 @@ def last(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.col(key).desc_nulls_last()).limit(1)
 
 
+def ends(df: DataFrame, key: str) -> DataFrame:
+    """One row: the first and the last key, in one pass without a sort."""
+    return df.agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
 def slice_rows(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` (exclusive) in the order of a unique key."""
     return df.orderBy(F.col(key).asc_nulls_first()).offset(start).limit(max(0, end - start))

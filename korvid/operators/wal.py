@@ -35,9 +35,8 @@ def append(log: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries (without pos and checksum) added at the end, in the order of ``ts`` and ``txn``; one batch is small."""
     from ..sources.storage import with_row_index
 
-    last = log.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("_last"))
-    numbered = with_row_index(entries, "ts", "txn").crossJoin(last)
-    placed = numbered.withColumn("pos", F.col("_last") + F.col("row_index") + 1).drop("_last", "row_index")
+    last = log.agg(F.coalesce(F.max("pos"), F.lit(0)))
+    placed = with_row_index(entries, "ts", "txn").withColumn("pos", last.scalar() + F.col("row_index") + 1).drop("row_index")
     return log.unionByName(seal(placed).select(log.columns))
 
 
@@ -92,8 +91,8 @@ def checkpoint_due(seconds_since: float, log_bytes: int, age_seconds: float) ->
 
 def compact(log: DataFrame) -> DataFrame:
     """Entries after the last checkpoint; all of them without one."""
-    mark = log.agg(F.coalesce(F.max(F.when(F.col("type") == "CHECKPOINT", F.col("pos"))), F.lit(-1)).alias("_mark"))
-    return log.crossJoin(F.broadcast(mark)).where(F.col("pos") > F.col("_mark")).drop("_mark")
+    mark = log.agg(F.coalesce(F.max(F.when(F.col("type") == "CHECKPOINT", F.col("pos"))), F.lit(-1)))
+    return log.where(F.col("pos") > mark.scalar())
 
 
 def backup(log: DataFrame, path: str) -> None:
@@ -102,8 +101,8 @@ def backup(log: DataFrame, path: str) -> None:
 
 def repair(log: DataFrame) -> DataFrame:
     """The entries before the first corrupt one, which is as far as the log can be trusted."""
-    bad = corrupt(log).agg(F.min("pos").alias("_bad"))
-    return log.crossJoin(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col("pos") < F.col("_bad"))).drop("_bad")
+    bad = corrupt(log).agg(F.coalesce(F.min("pos"), F.lit((1 << 63) - 1)))
+    return log.where(F.col("pos") < bad.scalar())
 
 
 def statistics(log: DataFrame) -> DataFrame:

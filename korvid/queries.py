@@ -17,7 +17,7 @@ from .functions.compare import compare_values
 from .functions.keys import pack_column_key, unpack_column_key
 from .functions.text import tokenise
 from .operators import bulk, dml, index, links, schema, versioning, wal
-from .operators.query import Query, chunk_stats, first, last, members_of, select, slice_rows
+from .operators.query import Query, chunk_stats, ends, members_of, select, slice_rows
 from .plans.cache import estimated_cardinality, rollup
 from .sources.catalog import Catalog
 from .sources.spec import ColumnSpec
@@ -184,9 +184,7 @@ def r_slice(c: Catalog) -> DataFrame:
 
 @query("SELECT min(event_id) AS first_id, max(event_id) AS last_id FROM events")
 def r_first_last(c: Catalog) -> DataFrame:
-    events = c.table("events").select("event_id")
-    one, two = first(events, "event_id"), last(events, "event_id")
-    return one.select(F.col("event_id").alias("first_id")).crossJoin(two.select(F.col("event_id").alias("last_id")))  # one row each
+    return ends(c.table("events"), "event_id").select(F.col("first_key").alias("first_id"), F.col("last_key").alias("last_id"))
 
 
 @query(
