@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, as in tests, a new local folder is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="korvid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
