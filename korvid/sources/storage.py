@@ -33,6 +33,12 @@ def flush(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Save a table in buckets of a key, sorted within them: joins and aggregations on the key then need no shuffle."""
+    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 256 << 20) -> int:
     """Rewrite the table at ``path`` to ``target`` in files of about ``file_bytes``; how many that makes."""
     df = spark.read.parquet(path)

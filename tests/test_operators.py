@@ -348,3 +348,15 @@ def test_members_and_callbacks(spark):
     assert sorted(column(members_of(df, "id", spark.createDataFrame([(3,), (3,), (99,), (None,)], "v long")), "id")) == [3]
     assert sorted(column(where_key(df, "id", lambda k: k % 7 == 0), "id")) == [0, 7, 14]
     assert [chunk_rows(n, 4) for n in (0, 5, 100, 10**6)] == [1, 1, 13, 1024]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, data):
+    orders = storage.save_bucketed(spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey", "o_custkey"), "b_orders", "o_custkey", 4)
+    customers = storage.save_bucketed(spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_name"), "b_customer", "c_custkey", 4)
+    joined = orders.hint("merge").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == orders.count()
+
+
+def test_last_write_wins_with_nulls(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (1, 1, "c"), (None, None, "d"), (2, 5, None)], "k long, v long, x string")
+    assert sorted(map(tuple, catalog.last_by(df, ["k"], ["v"]).collect()), key=str) == [(1, 2, "b"), (2, 5, None), (None, None, "d")]
