@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
-A text is a vector of hashed byte n-grams (within words, with the blanks that
-bound them), weighted by TF-IDF and scaled to length one.  Each language has
+A text is a vector of hashed byte n-grams (within runs of letters, with the
+blanks that bound them), weighted by TF-IDF with the root of the frequency and scaled to length one.  Each language has
 several centroids, found by spherical k-means over its sample rows, because
 one language may hold several kinds of text.  The nearest centroid by cosine
 names the language; a text farther from it than its sample rows ever were is
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Bounds on what is learned from: rows a language, and languages.
-SAMPLE_ROWS, MAX_LANGUAGES = 250, 1000
+#: Bounds on what is learned from: rows a language, rows in all (at least ten a language), and languages.
+SAMPLE_ROWS, MAX_ROWS, MAX_LANGUAGES = 250, 4000, 300
 HELD_PARTS, HELD = 3, 1
 CENTROIDS = 4
-ORDERS, BITS = (2, 3), 12
+ORDERS, BITS = (2, 3, 4), 13
 #: Rows of a dense vector block.
 ROWS = 128
 UNKNOWN = "und"
@@ -45,6 +45,7 @@ def has_letter(block: B.Block) -> np.ndarray:
 def counts(block: B.Block) -> Iterator[np.ndarray]:
     """Dense n-gram counts of the documents, ``ROWS`` at a time."""
     data, offs = B.padded(block)
+    data[(data < 0x80) & ~_ASCII_LETTER[data]] = 0x20  # digits, punctuation and symbols say nothing of a language
     grams = list(B.subwords(data, ORDERS, BITS))
     for i in range(0, len(block), ROWS):
         j = min(i + ROWS, len(block))
@@ -66,7 +67,7 @@ class CentroidModel:
     reach: np.ndarray
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
-        v = np.log1p(table).astype(np.float32) * self.idf
+        v = np.sqrt(table).astype(np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def predict(self, block: B.Block) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -120,15 +121,22 @@ def fit(docs: DataFrame, limit: int = SAMPLE_ROWS) -> CentroidModel:
     """Learn from at most ``limit`` documents of each language outside the held-out fold, in the order of a hash of the id.
 
     Only text and lang are learned from; the id decides the fold and the order.
+    The unsigned hash below a share that the language's size sets comes first,
+    the hash's own order second: both depend on the id alone.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    spark = docs.sparkSession
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (B.fold("doc_id", HELD_PARTS) != HELD))
-    known = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
-    ids = known.limit(limit * MAX_LANGUAGES + 1).collect()
-    if len(ids) > limit * MAX_LANGUAGES:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    spark = docs.sparkSession
-    picked = spark.createDataFrame(ids, known.schema).dropDuplicates()
+    limit = max(min(limit, MAX_ROWS // max(len(sizes), 1)), 10)
+    # of a language with many rows, those of the lowest hashes: about four times as many as are wanted, whatever its size
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * limit / r["_rows"])) for r in sizes], "lang string, _share double")
+    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = known.join(F.broadcast(shares), "lang").where((low < F.col("_share")) | (F.col("_share") >= 1))
+    ids = few.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n").collect()
+    picked = spark.createDataFrame(ids, few.select("doc_id", "lang").schema).dropDuplicates()
     rows = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), ["doc_id", "lang"])
     rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     got = sorted((str(r["doc_id"]), r["lang"], r["text"]) for r in rows)
