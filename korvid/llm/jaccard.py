@@ -52,6 +52,8 @@ BUCKET_ROWS = 500_000
 #: Ids that are broadcast to find their documents; more are joined instead.
 MAX_IDS = 2_000_000
 STAR_ROUNDS = 1
+#: Tasks over which the members of one signature are dealt.
+SALTS = 16
 _FLUSH = 300_000
 _FALLBACK = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -370,6 +372,13 @@ def sized(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return pairs.where(DEN * F.least("_ma", "_mb") >= NUM * F.greatest("_ma", "_mb"))
 
 
+def salted(rows: DataFrame, few: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a table of one row a key; rows of a key are dealt over SALTS tasks by another column."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("_salt", salt), [*key, "_salt"], how).drop("_salt")
+
+
 def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Pairs (a < b) of the sets named in ``labels`` (b, _c), of different ``_c``, that share one of their rarest shingles.
 
@@ -392,7 +401,7 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFr
     rows = B.cut(packed.select("doc_id", "shingles").transform(B.arrow, run, "b long, shingle long, _size long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("_often")).where("_often > 1")
     rank = F.row_number().over(Window.partitionBy("b").orderBy("_often", "shingle"))
-    ranked = rows.join(often, "shingle", "left").withColumn("_rank", rank)  # null: in one set only, the rarest
+    ranked = salted(rows, often, ["shingle"], "b", "left").withColumn("_rank", rank)  # null: in one set only, the rarest
     send = F.expr(f"_size - (_size * {NUM} + {DEN - 1}) div {DEN} + 1")
     sent = ranked.where((F.col("_rank") <= send) & F.col("_often").isNotNull()).join(labels, "b")
     sent = B.cut(sent.select("shingle", "b", "_c", "_size", "_rank"))
@@ -413,7 +422,7 @@ def undroppable(members: DataFrame, info: DataFrame) -> DataFrame:
     often = members.groupBy("sig").agg(F.count("*").alias("_often"))
     own = info.select(F.col("doc_id").alias("b"), "_m", "_h", "_flag")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("_often"), "sig"))
-    ranked = members.join(often, "sig").join(own, "b").withColumn("_rank", rank)
+    ranked = salted(members, often, ["sig"], "b").join(own, "b").withColumn("_rank", rank)
     return ranked.where(F.col("_flag") | (F.col("_rank") > F.expr("_m div 20"))).select("sig", "b", "_h")
 
 
@@ -442,13 +451,15 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """
     spark = docs.sparkSession
     known = B.cut(sizes(docs, n))
-    classes = known.where(F.col("hi").isNotNull() & F.col("doc_id").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    of = B.cut(known.join(classes, ["hi", "lo"], "left").select("doc_id", "n_shingles", "rep"))
+    classes = known.where(F.col("hi").isNotNull() & F.col("doc_id").isNotNull()).groupBy("hi", "lo")
+    classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    of = salted(known, classes, ["hi", "lo"], "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    of = B.cut(of)
     total = of.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_ROWS)))
     found = B.cut(candidates(signature_table(docs, buckets, n)))
 
-    same = of.where(F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    same = of.where(F.col("rep") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     common = found.where(F.col("sig").isNotNull())
     counts = common.groupBy("b").agg(F.count("*").alias("_h"), F.max("flag").alias("_flag"))
@@ -463,12 +474,12 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         label = groups.select(F.col("node").alias("b"), F.col("component").alias("_c"))
         at = members.join(label, "b", "left").withColumn("_c", F.coalesce("_c", "b"))
         split = at.groupBy("sig").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where(F.col("_low") != F.col("_high"))
-        at = B.cut(at.join(split.select("sig", "_low"), "sig"))
+        at = B.cut(salted(at, split.select("sig", "_low"), ["sig"], "b"))
         if at.isEmpty():
             break
         if turn < STAR_ROUNDS:
             centre = at.groupBy("sig").agg(F.min(F.struct(-F.col("_h"), "b", "_c")).alias("_x")).select("sig", F.col("_x.b").alias("a"), F.col("_x._c").alias("_d"))
-            again = at.join(centre, "sig").where(F.col("_c") != F.col("_d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            again = salted(at, centre, ["sig"], "b").where(F.col("_c") != F.col("_d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             again = prefix_pairs(docs, at.select("b", "_c").distinct(), n)
         links = B.cut(links.unionByName(verified(docs, sized(again, info), n)).distinct())
