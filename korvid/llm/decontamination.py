@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-All word n-grams of the test items are counted over the whole corpus.  In
-every few consecutive n-grams of an item the rarest becomes a seed: an item
-whose passages were copied often still has seeds, and no stretch of it is
-without one.  Documents and items meet where they share seeds; around the
-places where they do, the words are aligned, and the alignment's score,
-relative to the item's own, tells copies and edited copies from chance.
+All word n-grams of the test items are counted over the whole corpus, and
+every one that occurs there is a seed: whatever an edited copy has left of an
+item's n-grams leads to it.  Documents and items meet where they share seeds;
+around the places where they do, the words are aligned, and the alignment's
+score, relative to the item's own, tells copies and edited copies from chance.
 
 The test items are collected and broadcast in blocks of a fixed byte bound;
 however many items there are, each block meets all documents, which are never
@@ -26,8 +25,8 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Words of a seed, and the consecutive n-grams of which the rarest is one.
-SEED_WORDS, SPREAD = 3, 3
+#: Words of a seed.
+SEED_WORDS = 3
 #: Seeds that must agree before an alignment is tried (all, if an item has fewer).
 LEAST_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -91,15 +90,19 @@ class Seeds:
         size = np.array([len(w) for w in self.words])
         apart = np.diff(shift) > np.maximum(size[item[1:]] // 4, 4)
         edge = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | apart) + 1, [len(doc)]])
+        least = np.minimum(LEAST_SEEDS, self.n_seeds[item[edge[:-1]]])
+        enough = np.diff(edge) >= least
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        for s, e, need in zip(edge[:-1][enough].tolist(), edge[1:][enough].tolist(), least[enough].tolist()):
             d, it = int(doc[s]), int(item[s])
-            if len(np.unique(entry[s:e])) < min(LEAST_SEEDS, int(self.n_seeds[it])):
+            if len(np.unique(entry[s:e])) < need:
                 continue
             mine, reach = self.words[it], 4 + int(size[it]) // 4
             low = max(int(shift[s]) - reach, int(words.at[d]))
             high = min(int(shift[e - 1]) + int(size[it]) + reach, int(words.at[d + 1]))
             part = own[low:high]
+            if np.isin(mine, part).mean() < threshold:  # no alignment matches more words than both have
+                continue
             score, end = align(mine, part)
             share = score / (MATCH * len(mine))
             if share >= threshold and share > best.get((d, it), (0.0, 0, 0))[0]:
@@ -157,15 +160,13 @@ def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
 
 
 def choose_seeds(docs: DataFrame, items: list[tuple[object, str]]) -> Seeds:
-    """Count the items' n-grams over ``docs`` and take the rarest of every ``SPREAD`` consecutive ones as seeds."""
+    """Count the items' n-grams over ``docs`` and take all that occur there as seeds."""
     words, grams = _windows([t for _, t in items])
     known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
     df = frequencies(docs, known)
     entries = []
     for i, g in enumerate(grams):
-        rare = df[np.searchsorted(known, g)]
-        chosen = {k + int(rare[k : k + SPREAD].argmin()) for k in range(max(1, len(g) - SPREAD + 1))} if len(g) else set()
-        entries += [(int(g[k]), i, k) for k in sorted(chosen)]
+        entries += [(int(g[k]), i, k) for k in np.flatnonzero(df[np.searchsorted(known, g)]).tolist()]
     h = np.array([e[0] for e in entries], dtype=np.uint64)
     item = np.array([e[1] for e in entries], dtype=np.int64)
     place = np.array([e[2] for e in entries], dtype=np.int64)

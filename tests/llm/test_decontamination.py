@@ -69,6 +69,21 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(200))
 
 
+def test_evenly_spaced_edits(spark):
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(15, 59)))) for i in range(40)]
+    rows = []
+    for step in (4, 5):
+        for i, text in items:
+            w = [rnd.choice(vocabulary) if k % step == step - 1 else x for k, x in enumerate(text.split())]
+            rows.append((100 * step + i, " ".join([*rnd.choices(vocabulary, k=40), *w, *rnd.choices(vocabulary, k=40)])))
+    rows += [(1000 + i, text) for i, text in items[:20]]  # exact copies elsewhere
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()}
+    assert found == {(d, d % 100) for d, _ in rows if d < 1000} | {(1000 + i, i) for i in range(20)}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs, items, _ = corpus(random.Random(4), spark)
     whole = sorted(map(tuple, D.matches(docs, items).select("doc_id", "item_id").collect()))
