@@ -1,13 +1,21 @@
-"""Quality rules: base counts, and perplexity bands from a character n-gram model.
-
-Spark counts all character n-grams of the corpus; a modified Kneser-Ney model
-is made of the counts and kept as sorted arrays of n-gram keys; every text
-gets its perplexity; and for each language a text outside the band between a
-lower and an upper perplexity is rejected.  Characters are folded into a
-small alphabet, so the number of different n-grams, and with it everything
-that is sent to the driver or broadcast, has the fixed bound
-``ALPHABET ** ORDER`` however large the corpus is; what the tasks count and
-send grows with the corpus.
+"""Quality rules: base counts, and perplexity bands from an n-gram model of bytes.
+
+Spark counts all n-grams of ``LONG`` bytes of the corpus, unfolded; a modified
+Kneser-Ney model is made of the counts; every text gets its perplexity; and
+for each language a text outside the band between a lower and an upper
+perplexity is rejected.
+
+The model grows with the corpus, so no machine holds it.  Texts are dealt into
+chunks; each chunk asks for its different n-grams, and the requests, dealt by
+the bytes before the last, are the counts and carry the answers back.  N-grams
+that end alike but for the last byte are together, so a part of the model can
+be made without the others.  A text would find all its own n-grams in a model
+that learned from it, noise or not: so there are two, each of one half of the
+texts, and each answers the other half.  Below ``FOLDED`` bytes the model rests on
+n-grams of folded characters, of which there are ``ALPHABET ** ORDER`` at
+most: only these reach the driver and are broadcast.  A larger model also
+learns the junk of the corpus better, so what the folded n-grams alone find
+far off is rejected too.
 """
 
 from __future__ import annotations
@@ -18,12 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
 ORDER = 4
+#: Bytes of the longest n-grams, and of the shortest that are unfolded.
+LONG, FOLDED = 5, 4
+#: Bytes of text of a chunk, and of the texts that a part of the model is made of.
+CHUNK_BYTES, PART_BYTES = 8 << 20, 32 << 20
 #: Interquartile ranges by which a band reaches beyond the quartiles of its language.
 LOWER_REACH, UPPER_REACH = 3.0, 3.5
 #: Documents of fewer words don't shape a band (they fail the base rules anyway).
@@ -76,6 +89,19 @@ def keys(block: B.Block) -> np.ndarray:
     return key
 
 
+def long_keys(block: B.Block) -> np.ndarray:
+    """The last ``LONG`` bytes at each byte as one number; zeros stand before a document (a zero byte counts as one)."""
+    n = len(block.data)
+    data = np.maximum(block.data, 1).astype(np.uint64)
+    first = block.offs[:-1][np.diff(block.offs) > 0]
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) if n else np.zeros(0, np.int64)
+    key = data.copy()
+    for k in range(1, LONG):
+        back = data[: max(n - k, 0)] << np.uint64(8 * k)
+        key[k:] += np.where(place[k:] < k, np.uint64(0), back)
+    return key
+
+
 @dataclass
 class KneserNey:
     """Log2 probabilities of the seen n-grams and of all shorter back-offs, as sorted key arrays."""
@@ -111,6 +137,13 @@ class KneserNey:
         return out
 
 
+def _discounts(c: np.ndarray) -> np.ndarray:
+    """The modified Kneser-Ney discounts of counts 0, 1, 2, and 3 or more."""
+    n1, n2, n3, n4 = (max(float((c == i).sum()), 1.0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return np.clip(np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), [0, 0.05, 0.1, 0.2], [0, 0.95, 1.9, 2.9])
+
+
 def kneser_ney(key: np.ndarray, count: np.ndarray) -> KneserNey:
     """Modified Kneser-Ney (three discounts an order) from sorted distinct n-gram keys and their counts."""
     levels = {ORDER: (key, count.astype(np.float64))}
@@ -121,10 +154,7 @@ def kneser_ney(key: np.ndarray, count: np.ndarray) -> KneserNey:
     lower_p: np.ndarray | None = None
     for order in range(1, ORDER + 1):
         k, c = levels[order]
-        n1, n2, n3, n4 = (max(float((c == i).sum()), 1.0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = np.clip(np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), [0, 0.05, 0.1, 0.2], [0, 0.95, 1.9, 2.9])
-        take = d[np.minimum(c, 3).astype(int)]
+        take = _discounts(c)[np.minimum(c, 3).astype(int)]
         context, start = np.unique(k // ALPHABET, return_index=True)
         total = np.add.reduceat(c, start)
         gamma = np.add.reduceat(take, start) / total
@@ -147,6 +177,49 @@ def kneser_ney(key: np.ndarray, count: np.ndarray) -> KneserNey:
     return model
 
 
+def unfolded(key: np.ndarray, count: np.ndarray, ask: np.ndarray, table: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Log2 probabilities of the last bytes of the n-grams ``ask``, from the sorted distinct ``LONG``-byte n-grams of one part.
+
+    ``table`` has the probabilities of folded n-grams, ``within`` that of each
+    byte in its class.  All n-grams of a context are in the part, so its
+    probabilities add up to one; discounts are those of the part.
+    """
+    cls = np.append(0, _CLASS[1:])
+
+    def last(k: np.ndarray, order: int) -> np.ndarray:
+        return k & np.uint64((1 << 8 * order) - 1)
+
+    def base(k: np.ndarray) -> np.ndarray:
+        fold = np.zeros(len(k), dtype=np.int64)
+        for i in range(ORDER):
+            fold += cls[last(k >> np.uint64(8 * i), 1).astype(np.int64)] * ALPHABET**i
+        return np.exp2(table[fold].astype(np.float64)) * within[last(k, 1).astype(np.int64)]
+
+    out = base(ask)
+    if not len(key):
+        return np.log2(out)
+    levels = {LONG: (key, count.astype(np.float64))}
+    for order in range(LONG - 1, FOLDED - 1, -1):  # how many different bytes stand before each shorter n-gram
+        k, c = np.unique(last(levels[order + 1][0], order), return_counts=True)
+        levels[order] = (k, c.astype(np.float64))
+    p = base(levels[FOLDED][0])
+    for order in range(FOLDED, LONG + 1):
+        k, c = levels[order]
+        take = _discounts(c)[np.minimum(c, 3).astype(int)]
+        context, start = np.unique(k >> np.uint64(8), return_index=True)
+        total = np.add.reduceat(c, start)
+        gamma = np.add.reduceat(take, start) / total
+        of = np.repeat(np.arange(len(context)), np.diff(np.append(start, len(k))))
+        lower = p if order == FOLDED else p[np.searchsorted(levels[order - 1][0], last(k, order - 1))]
+        p = (c - take) / total[of] + gamma[of] * lower
+        wanted = last(ask, order)
+        at = np.minimum(np.searchsorted(context, wanted >> np.uint64(8)), len(context) - 1)
+        out = np.where(context[at] == wanted >> np.uint64(8), gamma[at] * out, out)
+        at = np.minimum(np.searchsorted(k, wanted), len(k) - 1)
+        out = np.where(k[at] == wanted, p[at], out)
+    return np.log2(out)
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """Counts (key, n) of all character n-grams of the texts: added up in each task, then over tasks."""
 
@@ -164,7 +237,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> KneserNey | None:
-    """The model of all texts; None if they have no character.  At most ``ALPHABET ** ORDER`` counts reach the driver."""
+    """The folded model of all texts; None if they have no character.  At most ``ALPHABET ** ORDER`` counts reach the driver."""
     found = count_ngrams(docs).toPandas()
     if not len(found):
         return None
@@ -173,6 +246,41 @@ def fit(docs: DataFrame) -> KneserNey | None:
     return kneser_ney(key[by], count[by])
 
 
+def count_bytes(docs: DataFrame) -> np.ndarray:
+    """How often each byte stands in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, dtype=np.int64)
+        for block in B.blocks(batches):
+            total += np.bincount(np.maximum(block.data, 1), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["b", "n"])
+
+    out = np.zeros(256, dtype=np.int64)
+    for r in docs.select("text").transform(B.arrow, run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        out[r["b"]] = r["n"]
+    return out
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+
+
+def _unpack(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _parts(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings sorted keys by the part of their three bytes before the last, and where each part starts."""
+    part = (B.mix((key >> np.uint64(8)) & np.uint64((1 << 8 * (FOLDED - 1)) - 1)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _chunk_keys(table: pa.Table) -> np.ndarray:
+    found = [long_keys(block) for block in B.blocks(iter(table.to_batches()))]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def _repeated(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs (document, hash): the number of equal ones of each, and whether an equal one came before."""
     own = B.mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -215,40 +323,99 @@ def base_counts(block: B.Block) -> dict[str, np.ndarray]:
 _TABLE: list = [None, None]
 
 
+def requests(chunks: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, chunk, keys, counts): the different n-grams of each chunk, by the part of the model they belong to."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        key, count = np.unique(_chunk_keys(table), return_counts=True)
+        order, edge = _parts(key, parts)
+        key, count = key[order], count[order].astype(np.uint32)
+        some = np.flatnonzero(np.diff(edge))
+        keys = [_pack(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0))) for i in some]
+        counts = [_pack(count[edge[i] : edge[i + 1]]) for i in some]
+        chunk = pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64())
+        return pa.table([pa.array(some, pa.int64()), chunk, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "chunk", "keys", "counts"])
+
+    return chunks.groupBy("chunk").applyInArrow(ask, "part long, chunk long, keys binary, counts binary")
+
+
 def measure(docs: DataFrame, model: KneserNey | None) -> DataFrame:
-    """Base counts and perplexity (null without a character) of each document (doc_id, lang, text)."""
+    """Base counts and both perplexities (null without a character) of each document (doc_id, lang, text)."""
+    own_bytes = count_bytes(docs)
+    size = int(own_bytes.sum())
+    parts = max(1, -(-size // PART_BYTES))
+    classes = np.bincount(_CLASS, own_bytes, minlength=ALPHABET)[_CLASS]
+    within = np.where(classes > 0, own_bytes / np.maximum(classes, 1), 1.0)
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table_of() -> np.ndarray:
         if _TABLE[0] != tag:
             _TABLE[:] = [tag, shared.value.table() if shared.value is not None else np.zeros(ALPHABET**ORDER, np.float32)]
-        table = _TABLE[1]
-        for block in B.blocks(batches):
+        return _TABLE[1]
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        counts = [_unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
+        half = np.array(table.column("chunk").to_pylist()) % 2
+        model = []
+        for h in (0, 1):
+            mine = np.flatnonzero(half == h)
+            key, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(asked[i] for i in mine)]), return_inverse=True)
+            model.append((key, np.bincount(at, np.concatenate([np.zeros(0, np.uint32), *(counts[i] for i in mine)]))))
+        packed = [b""] * len(asked)
+        for h in (0, 1):  # the model of one half of the texts answers the other
+            mine = np.flatnonzero(half != h)
+            if len(mine):
+                ask, at = np.unique(np.concatenate([asked[i] for i in mine]), return_inverse=True)
+                logp = unfolded(*model[h], ask, table_of(), within).astype(np.float32)[at]
+                edge = np.cumsum([0, *(len(asked[i]) for i in mine)])
+                for k, i in enumerate(mine):
+                    packed[i] = _pack(logp[edge[k] : edge[k + 1]])
+        return pa.table([table.column("part"), table.column("chunk"), pa.array(packed, pa.binary())], ["part", "chunk", "logp"])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        key, at = np.unique(_chunk_keys(texts), return_inverse=True)
+        logp = np.zeros(len(key))
+        order, edge = _parts(key, parts)
+        for part, packed in zip(answers.column("part").to_pylist(), answers.column("logp").to_pylist()):
+            logp[order[edge[part] : edge[part + 1]]] = _unpack(packed, np.float32)
+        done, out = 0, []
+        for block in B.blocks(iter(texts.to_batches())):
             counts = base_counts(block)
-            run_sum = np.concatenate([[0.0], np.cumsum(table[keys(block)], dtype=np.float64)])
-            size = np.diff(block.offs)
-            bits = -(run_sum[block.offs[1:]] - run_sum[block.offs[:-1]]) / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays(
-                [block.batch.column(0), block.batch.column(1), *(pa.array(counts[n].astype(np.int64)) for n in names), pa.array(np.exp2(bits), mask=size == 0)],
-                names=["doc_id", "lang", *names, "perplexity"],
-            )
+            n = len(block.data)
+            length = np.diff(block.offs)
+            ways = []
+            for bits in (logp[at[done : done + n]], table_of()[keys(block)]):
+                run_sum = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+                mean = -(run_sum[block.offs[1:]] - run_sum[block.offs[:-1]]) / np.maximum(length, 1)
+                ways.append(pa.array(np.exp2(mean), mask=length == 0))
+            done += n
+            out.append(pa.RecordBatch.from_arrays(
+                [block.batch.column("doc_id"), block.batch.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in names), *ways],
+                names=["doc_id", "lang", *names, "perplexity", "folded_perplexity"],
+            ))
+        return pa.Table.from_batches(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{n} long" for n in names) + ", perplexity double"
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").transform(B.arrow, run, schema)
+    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{n} long" for n in names) + ", perplexity double, folded_perplexity double"
+    many = max(1, -(-size // (2 * CHUNK_BYTES)))  # in each half; equal texts are in the same one
+    chunk = (2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)) + F.pmod(F.xxhash64("text"), F.lit(2))).alias("chunk")
+    chunks = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", chunk)
+    answers = requests(chunks, parts).groupBy("part").applyInArrow(answer, "part long, chunk long, logp binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def bands(measured: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """For each language (null counts as one) the quartiles of log2 perplexity over all documents with enough words."""
-    q = F.percentile_approx(F.log2("perplexity"), [0.25, 0.75], 10000)
+    """For each language (null counts as one) the quartiles of the log2 of both perplexities over all documents with enough words."""
+    q = [F.percentile_approx(F.log2(c), [0.25, 0.75], 10000).alias(c) for c in ("perplexity", "folded_perplexity")]
     of = measured.where((F.col("n_words") >= min_words) & F.col("perplexity").isNotNull())
-    found = of.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(q.alias("_q"))
-    return found.select("_lang", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"))
+    found = of.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(*q)
+    return found.select("_lang", *(F.col(c)[k].alias(f"_{c}_{k}") for c in ("perplexity", "folded_perplexity") for k in (0, 1)))
 
 
 def rules(docs: DataFrame, lower: float = LOWER_REACH, upper: float = UPPER_REACH) -> DataFrame:
-    """Base counts, perplexity, its band, base_failed and kept of every document.
+    """Base counts, both perplexities, their bands, base_failed and kept (within both bands) of every document.
 
     A band is the interquartile range of the document's language, widened by
     multiples of that range; for texts shorter than USUAL_WORDS by more, since
@@ -264,9 +431,12 @@ def rules(docs: DataFrame, lower: float = LOWER_REACH, upper: float = UPPER_REAC
     if found.count() <= MAX_LANGUAGES:  # documents stay where they are
         found = F.broadcast(found)
     joined = measured.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(found, "_lang", "left")
-    span = F.greatest(F.col("_high") - F.col("_low"), F.lit(0.02))
-    span = span * F.greatest(F.lit(1.0), F.sqrt(F.lit(USUAL_WORDS) / F.greatest("n_words", F.lit(1))))
-    joined = joined.withColumns({"band_low": F.pow(F.lit(2.0), F.col("_low") - lower * span), "band_high": F.pow(F.lit(2.0), F.col("_high") + upper * span)})
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.lit(USUAL_WORDS) / F.greatest("n_words", F.lit(1))))
+    inside = F.lit(True)
+    for c, band in (("perplexity", "band"), ("folded_perplexity", "folded_band")):
+        low, high = F.col(f"_{c}_0"), F.col(f"_{c}_1")
+        span = F.greatest(high - low, F.lit(0.02)) * wider
+        joined = joined.withColumns({f"{band}_low": F.pow(F.lit(2.0), low - lower * span), f"{band}_high": F.pow(F.lit(2.0), high + upper * span)}).drop(f"_{c}_0", f"_{c}_1")
+        inside &= F.coalesce(F.col(c).between(F.col(f"{band}_low"), F.col(f"{band}_high")), F.lit(True))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.coalesce(F.col("perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
-    return joined.drop("_lang", "_low", "_high").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
+    return joined.drop("_lang").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)

@@ -51,6 +51,38 @@ def test_model_is_a_probability():
     assert model.lookup(key).mean() > model.lookup(rnd.sample(range(a**4), 2000) * np.ones(2000, int)).mean() + 2
 
 
+def test_unfolded_model_is_a_probability():
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice(["Der", "Hund", "bellt", "µ²", "42", "47"]) for _ in range(3000))
+    block = next(B.blocks(iter([pa.record_batch({"text": pa.array([text])})])))
+    k, c = np.unique(R.keys(block), return_counts=True)
+    table = R.kneser_ney(k, c).table()
+    key, count = np.unique(R.long_keys(block), return_counts=True)
+    size = np.bincount(R._CLASS[1:], minlength=R.ALPHABET)
+    within = np.append(0, 1 / size[R._CLASS[1:]])
+    for context in [*(key[:40] >> np.uint64(8)), *(key[-40:] >> np.uint64(8)), np.uint64(0x41424344)]:
+        ask = (context << np.uint64(8)) + np.arange(1, 256, dtype=np.uint64)
+        assert abs(np.exp2(R.unfolded(key, count, ask, table, within)).sum() - 1) < 0.05  # class 0 stands before documents only and has no byte
+    order, edge = R._parts(key, 3)
+    for i in range(3):  # all n-grams of a context are in one part
+        mine = key[order[edge[i] : edge[i + 1]]]
+        assert not np.isin(mine >> np.uint64(8), np.setdiff1d(key, mine) >> np.uint64(8)).any()
+
+
+def test_bytes_of_a_class_are_told_apart(spark, monkeypatch):
+    rnd = random.Random(5)
+    usual, odd = "αβγδε", "ρςστυ"  # the same byte classes when folded, letter by letter
+    words = ["".join(rnd.choice(usual) for _ in range(5)) for _ in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=80)), "el") for i in range(100)]
+    rows.append((900, rows[0][1].translate(str.maketrans(usual, odd)), "el"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: r["perplexity"] for r in R.rules(docs).collect()}
+    assert whole[900] > 1.5 * max(v for k, v in whole.items() if k < 900)
+    monkeypatch.setattr(R, "CHUNK_BYTES", 5000)  # the counts of all chunks make the same model
+    many = {r["doc_id"]: r["perplexity"] for r in R.rules(docs).collect()}
+    assert all(abs(many[k] - v) < 1e-4 * v for k, v in whole.items())
+
+
 def test_keys_stay_within_documents():
     values = ["abcdef", "", "xy", "q"]
     together = next(B.blocks(iter([pa.record_batch({"text": pa.array(values)})])))
