@@ -4,7 +4,8 @@ All word n-grams of the test items are counted over the whole corpus, and
 every one that occurs there is a seed: whatever an edited copy has left of an
 item's n-grams leads to it.  Documents and items meet where they share seeds;
 around the places where they do, the words are aligned, and the alignment's
-score, relative to the item's own, tells copies and edited copies from chance.
+score, relative to the item's own or to that of a passage too long for chance,
+tells copies, edited copies and copied parts from chance.
 
 The test items are collected and broadcast in blocks of a fixed byte bound;
 however many items there are, each block meets all documents, which are never
@@ -32,6 +33,8 @@ LEAST_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
+#: Words whose score is enough whatever the item's length: a long item of which a passage was copied.
+PASSAGE_WORDS = 30
 #: Bytes of test items that are broadcast at once.
 ITEM_BYTES = 8 << 20
 
@@ -101,11 +104,12 @@ class Seeds:
             low = max(int(shift[s]) - reach, int(words.at[d]))
             high = min(int(shift[e - 1]) + int(size[it]) + reach, int(words.at[d + 1]))
             part = own[low:high]
-            if np.isin(mine, part).mean() < threshold:  # no alignment matches more words than both have
+            least_share = min(threshold, PASSAGE_WORDS / len(mine))
+            if np.isin(mine, part).mean() < least_share:  # no alignment matches more words than both have
                 continue
             score, end = align(mine, part)
             share = score / (MATCH * len(mine))
-            if share >= threshold and share > best.get((d, it), (0.0, 0, 0))[0]:
+            if share >= least_share and share > best.get((d, it), (0.0, 0, 0))[0]:
                 back = align(mine[::-1], part[:end][::-1])[1]
                 begin = low - int(words.at[d])
                 best[d, it] = (share, begin + end - back, begin + end)
@@ -192,7 +196,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """Pairs (doc_id, item_id, score, first_word, end_word) of documents and test items that align.
 
     ``score`` is the best local alignment's share of the item's own score (0
-    to 1); the words count from 0 and the end is exclusive.  Null and empty
+    to 1); below ``threshold`` it is that of a passage that scores as
+    ``PASSAGE_WORDS`` words or more.  The words count from 0 and the end is exclusive.  Null and empty
     texts on either side, and items of fewer words than a seed, match
     nothing; repeated documents match alike, equal items once for each id.
     An empty table gives an empty table; other columns are not read.

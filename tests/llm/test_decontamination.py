@@ -84,6 +84,19 @@ def test_evenly_spaced_edits(spark):
     assert found == {(d, d % 100) for d, _ in rows if d < 1000} | {(1000 + i, i) for i in range(20)}
 
 
+def test_a_long_passage_of_a_long_item(spark):
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    item = rnd.choices(vocabulary, k=300)
+    around = lambda w: " ".join([*rnd.choices(vocabulary, k=50), *w, *rnd.choices(vocabulary, k=50)])
+    rows = [(1, around(item[90:210])), (2, around(item[40:70])), (3, around(item[40:60])), (4, around([]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: r for r in D.matches(docs, bench).collect()}
+    assert set(found) == {1, 2} and 0.4 <= found[1]["score"] < 0.42
+    assert abs(found[1]["first_word"] - 50) <= 3 and abs(found[1]["end_word"] - 170) <= 3
+    assert {r["doc_id"] for r in D.clean(docs, bench).collect()} == {3, 4}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs, items, _ = corpus(random.Random(4), spark)
     whole = sorted(map(tuple, D.matches(docs, items).select("doc_id", "item_id").collect()))
