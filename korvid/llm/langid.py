@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Bounds on what is learned from: rows a language, rows in all (at least ten a language), and languages.
-SAMPLE_ROWS, MAX_ROWS, MAX_LANGUAGES = 250, 4000, 300
+#: Bounds on what is learned from: rows a language, and rows in all (at least ten a language).
+SAMPLE_ROWS, MAX_ROWS = 250, 4000
 HELD_PARTS, HELD = 3, 1
 CENTROIDS = 4
 ORDERS, BITS = (2, 3, 4), 13
@@ -95,19 +95,23 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _tables(texts: list[str]) -> np.ndarray:
+    batch = pa.record_batch({"text": pa.array(texts, pa.large_string())})
+    return np.concatenate([t.astype(np.float32) for b in B.blocks(iter([batch])) for t in counts(b)])
+
+
 def train(sample: list[tuple[str, str]]) -> CentroidModel:
-    """Fit on (text, language) pairs; without any, nothing is ever recognised."""
+    """Fit on (text, language) pairs, language by language; without any, nothing is ever recognised."""
     if not sample:
         return CentroidModel(np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), [], np.zeros(0))
-    batch = pa.record_batch({"text": pa.array([t for t, _ in sample], pa.large_string())})
-    tables = np.concatenate([t.astype(np.float32) for b in B.blocks(iter([batch])) for t in counts(b)])
-    df = (tables > 0).sum(0)
+    texts: dict[str, list[str]] = {}
+    for t, name in sample:
+        texts.setdefault(name, []).append(t)
+    df = sum((_tables(own) > 0).sum(0) for own in texts.values())
     model = CentroidModel(np.log((1 + len(sample)) / (1 + df)).astype(np.float32) + 1, np.zeros(0), [], np.zeros(0))
-    v = model.vectors(tables)
-    own = np.array([name for _, name in sample])
     parts, reach = [], []
-    for name in sorted(set(own)):
-        rows = v[own == name]
+    for name in sorted(texts):
+        rows = model.vectors(_tables(texts[name]))
         c = _cluster(rows, CENTROIDS)
         far = 1 - (rows @ c.T).max(1)
         parts.append(c)
@@ -126,9 +130,7 @@ def fit(docs: DataFrame, limit: int = SAMPLE_ROWS) -> CentroidModel:
     """
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (B.fold("doc_id", HELD_PARTS) != HELD))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows")).collect()
     limit = max(min(limit, MAX_ROWS // max(len(sizes), 1)), 10)
     # of a language with many rows, those of the lowest hashes: about four times as many as are wanted, whatever its size
     shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * limit / r["_rows"])) for r in sizes], "lang string, _share double")

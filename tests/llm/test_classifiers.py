@@ -103,3 +103,15 @@ def test_odd_rows(spark, odd, none, which):
     else:
         assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
     assert quality.accepted(odd, quality.train([]), 0.4).columns == odd.columns
+
+
+def test_more_than_300_languages(spark):
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(320):
+        words = ["".join(rnd.choices(letters, k=6)) for _ in range(12)]
+        rows += [(6 * k + i, " ".join(rnd.choices(words, k=30)), f"l{k}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language(docs).collect()}
+    assert len(got) == len(rows) and sum(got[d] == lang for d, _, lang in rows) >= 0.98 * len(rows)
