@@ -29,6 +29,8 @@ THRESHOLD = 0.7
 #: Bytes of a dictionary, and of the pieces that whole texts are cut into: each piece meets a fresh dictionary.
 DICT_BYTES = 110 << 10
 PIECE = 1024
+#: Bytes of the segments that a dictionary is made of.
+SEGMENT = 128
 LEVEL = 3
 HEADER = len(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress(b""))
 
@@ -75,18 +77,12 @@ def _terms(difference: float, left: float) -> np.ndarray:
 
 
 def _dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """An equal share of each text, spread over its length, up to ``size`` bytes."""
-    if not texts:
-        return b""
-    share = max(64, size // len(texts))
-    out, total = [], 0
-    for t in texts:
-        start = (len(t) - share) // 3 if len(t) > share else 0
-        out.append(t[start : start + share])
-        total += len(out[-1])
-        if total >= size:
-            break
-    return b"\n".join(out)[:size]
+    """The segments that all texts, whole, have most in common, up to ``size`` bytes; the texts themselves if they are no more."""
+    whole = b"\n".join(texts)
+    if len(whole) <= size:
+        return whole
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=8).as_bytes()
 
 
 def train(sample: list[tuple[str, int]]) -> CompressionModel:

@@ -79,6 +79,13 @@ def test_compression_model():
     assert 0 < quality.train([("x", 1)]).score(b"abc") < 1 and 0 < quality.train([]).score(b"") < 1
 
 
+def test_dictionaries_learn_from_whole_texts():
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n)).encode()
+    end = b"the same last sentence closes each of these documents"
+    assert end[:30] in quality._dictionary([noise(2000) + end for _ in range(300)])
+
+
 def test_langid_rejects_what_is_far_from_all_centroids():
     rows = [("the cat and the dog with this", "en"), ("the house of the king and that", "en"), ("le chat et le chien avec la", "fr"), ("la maison de la reine et les", "fr")]
     model = langid.train(rows * 5)
