@@ -16,6 +16,10 @@ KEYS = {
 }
 
 
+#: Folders of a catalog's generations, and the file that says that one is whole.
+GENERATION, MARK = "generation-", "_WHOLE"
+
+
 class Catalog:
     """Tables by name.  A Parquet directory's tables are read when first asked for, with only the columns a query needs."""
 
@@ -65,23 +69,59 @@ class Catalog:
             self.spark.catalog.refreshByPath(f"{self.path}/{name}.parquet")
         return self.table(name)
 
-    def flush(self, path: str) -> None:
-        """Write all registered tables and their specifications below ``path``."""
+    def flush(self, path: str) -> int:
+        """Write all registered tables and their specifications below ``path`` as a new generation; its number.
+
+        The generation counts from the moment its mark is set, after all
+        tables are written: until then, and if anything fails, the one before
+        stands.  So a catalog may be flushed to where it was opened.  Of older
+        generations the last is kept, for whoever still reads it.
+        """
+        path = path.rstrip("/")
+        done = generations(self.spark, path)
+        number = max(done, default=0) + 1
+        base = f"{path}/{GENERATION}{number:06d}"
+        fs, place = storage.files(self.spark, base)
+        fs.delete(place, True)  # what a flush left that failed
         for name, df in self._tables.items():
-            storage.flush(df, f"{path}/{name}.parquet")
-        specs = [(name, spec.to_json()) for name, spec in self._specs.items()]
-        storage.flush(self.spark.createDataFrame(specs, "name string, spec string"), f"{path}/_specs")
+            df.write.parquet(f"{base}/{name}.parquet")
+        specs = [(name, self._specs[name].to_json() if name in self._specs else None) for name in self._tables]
+        self.spark.createDataFrame(specs, "name string, spec string").write.parquet(f"{base}/_specs")
+        fs.create(storage.files(self.spark, f"{base}/{MARK}")[1], False).close()
+        self.path = base
+        for name, df in list(self._tables.items()):
+            self._tables[name] = self.spark.read.schema(df.schema).parquet(f"{base}/{name}.parquet")
+        for old in done[:-1]:
+            fs.delete(storage.files(self.spark, f"{path}/{GENERATION}{old:06d}")[1], True)
+        return number
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
-        """A catalog that ``flush`` wrote; files that can't be read fail and are never replaced."""
-        catalog = cls(spark, path)
-        for r in spark.read.parquet(f"{path}/_specs").collect():  # one row a table
-            catalog._specs[r["name"]] = TableSpec.from_json(r["spec"])
+        """The last whole generation that ``flush`` wrote; files that can't be read fail and are never replaced."""
+        done = generations(spark, path.rstrip("/"))
+        if not done:
+            raise FileNotFoundError(f"no catalog at {path}")
+        catalog = cls(spark, f"{path.rstrip('/')}/{GENERATION}{done[-1]:06d}")
+        for r in spark.read.parquet(f"{catalog.path}/_specs").collect():  # one row a table
+            if r["spec"] is not None:
+                catalog._specs[r["name"]] = TableSpec.from_json(r["spec"])
             catalog.table(r["name"])
         return catalog
 
 
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole generations of a catalog's folder, in order."""
+    fs, place = storage.files(spark, path)
+    if not fs.exists(place):
+        return []
+    found = []
+    for entry in fs.listStatus(place):
+        name = entry.getPath().getName()
+        if name.startswith(GENERATION) and fs.exists(storage.files(spark, f"{path}/{name}/{MARK}")[1]):
+            found.append(int(name.removeprefix(GENERATION)))
+    return sorted(found)
+
+
 def put_metadata(metadata: DataFrame, key: str, value: bytes) -> DataFrame:
     """Add a version of a key to (key, seq, value)."""
     seq = metadata.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))

@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of this process: where no shared one is set, by application; and tables that were materialised.
+_LOCAL: dict[str, str] = {}
+_MADE: list[tuple[str, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a new local folder is set."""
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a local folder that goes when the process ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="korvid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    own = spark.sparkContext.applicationId
+    if own not in _LOCAL:
+        _LOCAL[own] = tempfile.mkdtemp(prefix="korvid-")
+        atexit.register(shutil.rmtree, _LOCAL[own], ignore_errors=True)
+    return f"file://{_LOCAL[own]}"
+
+
+def files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its object."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def new_folder(spark: SparkSession, prefix: str = "table") -> str:
+    """A name below the shared folder that nothing has; ``clean`` removes what is written there."""
+    path = f"{shared_folder(spark)}/korvid-{prefix}-{uuid.uuid4().hex}"
+    _MADE.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: it is computed once, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def flush(df: DataFrame, path: str) -> None:
-    """Replace what is stored at ``path`` by the table."""
-    df.write.mode("overwrite").parquet(path)
+def clean(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this session; results that read them must have been used by then."""
+    own = spark.sparkContext.applicationId
+    mine = [path for app, path in _MADE if app == own]
+    _MADE[:] = [x for x in _MADE if x[0] != own]
+    for path in mine:
+        fs, place = files(spark, path)
+        fs.delete(place, True)
+    return len(mine)
+
+
+def flush(df: DataFrame, path: str) -> DataFrame:
+    """Replace what is stored at ``path`` by the table, which may read from there; the table as stored.
+
+    The rows are written beside the old ones and take their place when all
+    are there: a flush that fails leaves the old table.
+    """
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    fs, new = files(spark, fresh)
+    try:
+        df.write.parquet(fresh)
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    _, place = files(spark, path)
+    fs.delete(place, True)
+    if not fs.rename(new, place):
+        raise OSError(f"{fresh} can't be renamed to {path}")
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
@@ -40,14 +90,11 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFram
 
 
 def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 256 << 20) -> int:
-    """Rewrite the table at ``path`` to ``target`` in files of about ``file_bytes``; how many that makes."""
-    df = spark.read.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    files = max(1, -(-size // file_bytes))
-    df.repartition(int(files)).write.mode("overwrite").parquet(target)
-    return int(files)
+    """Rewrite the table at ``path`` to ``target``, which may be the same, in files of about ``file_bytes``; how many that makes."""
+    fs, place = files(spark, path)
+    count = max(1, -(-fs.getContentSummary(place).getLength() // file_bytes))
+    flush(spark.read.parquet(path).repartition(int(count)), target)
+    return int(count)
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:

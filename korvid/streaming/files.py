@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_folder
+from ..sources.storage import new_folder
 
 
 def read(spark: SparkSession, directory: str, like: DataFrame, files: str = "*.parquet") -> DataFrame:
@@ -18,7 +16,7 @@ def read(spark: SparkSession, directory: str, like: DataFrame, files: str = "*.p
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over all files that are there now and return what it wrote; checkpoint and output are in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
