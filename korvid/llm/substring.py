@@ -86,61 +86,58 @@ def digests(block: B.Block) -> Iterator[tuple[list[int], list[bytes]]]:
         yield ends, found
 
 
-def chunk_table(docs: DataFrame, places: bool) -> DataFrame:
-    """Rows (hi, lo, doc_id[, at]): each different chunk digest of each document and, with ``places``, where it stands first."""
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """Rows (hi, lo, doc_id): each different chunk digest of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batches):
             flat: list[bytes] = []
-            at: list[int] = []
             sizes = []
             for _, found in digests(block):
-                first: dict[bytes, int] = {}
-                for k, d in enumerate(found):
-                    first.setdefault(d, k)
-                flat += first
-                at += first.values()
-                sizes.append(len(first))
+                own = dict.fromkeys(found)
+                flat += own
+                sizes.append(len(own))
             pair = np.frombuffer(b"".join(flat), dtype=np.int64).reshape(-1, 2)
             ids = block.batch.column(0).take(pa.array(np.repeat(np.arange(len(block)), sizes)))
-            columns = [pa.array(pair[:, 0]), pa.array(pair[:, 1]), ids] + ([pa.array(at, pa.int32())] if places else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc_id"] + ["at"] * places)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), ids], names=["hi", "lo", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    return rows.transform(B.arrow, run, f"hi long, lo long, doc_id {kind}" + ", at int" * places)
+    return rows.transform(B.arrow, run, f"hi long, lo long, doc_id {kind}")
 
 
-def _runs(remove: list[bool], ends: list[int], begin: int, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of runs of removable chunks that have ``least`` bytes."""
-    out: list[tuple[int, int]] = []
-    start, open_at = begin, None
-    for flag, e in zip(remove, ends):
-        if flag and open_at is None:
-            open_at = start
-        if not flag and open_at is not None:
-            out.append((open_at, start))
-            open_at = None
-        start = e
-    if open_at is not None:
-        out.append((open_at, start))
-    return [(a, b) for a, b in out if b - a >= least]
+def _runs(remove: list[bool], ends: list[int], begin: int, least: int) -> list[tuple[int, int, int, int]]:
+    """Runs of removable chunks that have ``least`` bytes: first byte and end, first chunk and end."""
+    out: list[tuple[int, int, int, int]] = []
+    start, k = begin, 0
+    while k < len(remove):
+        j = k
+        while j < len(remove) and remove[j] == remove[k]:
+            j += 1
+        end = ends[j - 1]
+        if remove[k] and end - start >= least:
+            out.append((start, end, k, j))
+        start, k = end, j
+    return out
 
 
 def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` (doc_id, text and any others) with repeated passages taken out of text.
 
-    Adds n_chunks, n_dup_chunks (those another document kept, or that stand
-    earlier in the same text), removed_bytes and kept_by (ids of the documents
-    that keep what was removed or would have been); input columns of these
-    names are replaced.  Rows with the same id count as one document; a row
-    without an id neither keeps nor loses anything to others.  A null text
-    stays null; an empty table gives an empty table.
+    Adds n_chunks, n_dup_chunks (those that were taken out: another document
+    keeps them, or they stand earlier in the same text), removed_bytes and
+    kept_by (ids of the documents that keep what was taken out); input columns
+    of these names are replaced.  Rows with the same id never lose anything to
+    each other, whether their texts agree or not: each is compared with the
+    documents of other ids by its own chunks.  A row without an id neither
+    keeps nor loses anything to others.  A null text stays null, an empty one
+    has no chunks; an empty table gives an empty table.
     """
-    first = chunk_table(docs, False).groupBy("hi", "lo").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
+    chunks = chunk_table(docs)
+    first = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     first = first.where(F.col("_n") > 1).select("hi", "lo", "_first")
-    hits = chunk_table(docs, True).join(first, ["hi", "lo"]).where(F.col("doc_id") != F.col("_first"))
-    hits = hits.groupBy("doc_id").agg(F.collect_set("at").alias("_korvid_at"), F.collect_set("_first").alias("kept_by"))
+    hits = chunks.join(first, ["hi", "lo"]).where(F.col("doc_id") != F.col("_first"))
+    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("hi", F.col("_first").alias("first"))).alias("_korvid_hits"))
 
     added = ["n_chunks", "n_dup_chunks", "removed_bytes"]
     base = docs.drop(*added, "kept_by")
@@ -149,39 +146,37 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         base.schema.fields + [T.StructField(n, T.LongType()) for n in added] + [T.StructField("kept_by", T.ArrayType(kind))]
     )
     names = [f.name for f in out_schema.fields]
-    text_at, width = base.columns.index("text"), len(base.columns)
+    text_at, id_at, width = base.columns.index("text"), base.columns.index("doc_id"), len(base.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batches):
             b = block.batch
-            known = b.column(b.schema.get_field_index("_korvid_at")).to_pylist()
+            known = [{h["hi"]: h["first"] for h in own or ()} for own in b.column(width).to_pylist()]
             null = b.column(text_at).is_null().to_pylist()
-            texts, n, dup, gone = [], [], [], []
+            texts, n, dup, gone, kept_by = [], [], [], [], []
             for i, (ends, found) in enumerate(digests(block)):
                 begin, stop = int(block.offs[i]), int(block.offs[i + 1])
-                others = set(known[i] or ())
-                seen: dict[bytes, int] = {}
+                hi = np.frombuffer(b"".join(found), dtype=np.int64)[::2].tolist()
+                seen: set[bytes] = set()
                 remove = []
-                for k, d in enumerate(found):
-                    f = seen.setdefault(d, k)
-                    remove.append(f != k or f in others)
-                left, removed = [], 0
-                for a, e in _runs(remove, ends, begin, min_run):
-                    while a < e and block.data[a] & 0xC0 == 0x80:
-                        a += 1
-                    while e > a and e < stop and block.data[e] & 0xC0 == 0x80:
-                        e -= 1
+                for d, h in zip(found, hi):
+                    remove.append(d in seen or h in known[i])
+                    seen.add(d)
+                left, removed, count = [], 0, 0
+                keepers = set()
+                for a, e, k, j in _runs(remove, ends, begin, min_run):
                     left.append(block.data[begin:a].tobytes())
-                    begin, removed = e, removed + e - a
+                    begin, removed, count = e, removed + e - a, count + j - k
+                    keepers.update(known[i][h] for h in hi[k:j] if h in known[i])
                 left.append(block.data[begin:stop].tobytes())
                 texts.append(None if null[i] else b"".join(left).decode("utf-8", "replace"))
                 n.append(len(found))
-                dup.append(sum(remove))
+                dup.append(count)
                 gone.append(removed)
+                kept_by.append(sorted(keepers) if keepers else None)
             columns = [b.column(k) for k in range(width)]
             columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
-            kept_by = b.column(b.schema.get_field_index("kept_by"))
-            columns += [pa.array(x, pa.int64()) for x in (n, dup, gone)] + [kept_by]
+            columns += [pa.array(x, pa.int64()) for x in (n, dup, gone)] + [pa.array(kept_by, pa.list_(b.schema.field(id_at).type))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return base.join(hits, "doc_id", "left").select(*base.columns, "_korvid_at", "kept_by").transform(B.arrow, run, out_schema)
+    return base.join(hits, "doc_id", "left").select(*base.columns, "_korvid_hits").transform(B.arrow, run, out_schema)

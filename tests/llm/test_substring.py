@@ -89,11 +89,70 @@ def test_odd_rows(odd, none):
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
     assert by[1][0]["text"] is None and by[2][0]["n_chunks"] == 0 and by[None][0]["removed_bytes"] == 0
-    assert len(by[7]) == 2 and all(r["text"] == "same text here and there again" for r in by[7]) and by[8][0]["n_dup_chunks"] == by[8][0]["n_chunks"] > 0
+    assert len(by[7]) == 2 and all(r["text"] == "same text here and there again" for r in by[7]) and by[8][0]["n_dup_chunks"] == 0 < by[8][0]["n_chunks"]
     assert by[6][0]["text"].strip("é") == "" and by[5][0]["removed_bytes"] > 100_000 and by[7][0]["score"] == "s"
     assert S.dedup(none).count() == 0
 
 
+def plain_dedup(rows, least=S.MIN_RUN):
+    """(text, duplicate chunks, bytes, keepers) of each row, chunk by chunk."""
+    cut = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        ends = plain_ends(raw)
+        cut.append((i, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+    first = {}
+    for i, chunks in cut:
+        for c in chunks if i is not None else ():
+            first[c] = min(first.get(c, i), i)
+    out = []
+    for (i, chunks), (_, text) in zip(cut, rows):
+        kept, seen, run, n, gone, by = b"", set(), [], 0, 0, set()
+
+        def close():
+            nonlocal kept, n, gone
+            size = sum(map(len, run))
+            if size >= least:
+                n, gone = n + len(run), gone + size
+                by.update(first[c] for c in run if i is not None and first[c] != i)
+            else:
+                kept += b"".join(run)
+            run.clear()
+
+        for c in chunks:
+            if c in seen or i is not None and first[c] != i:
+                run.append(c)
+            else:
+                close()
+                kept += c
+            seen.add(c)
+        close()
+        out.append((i, None if text is None else kept.decode(), n, gone, tuple(sorted(by))))
+    return out
+
+
+def test_against_plain_chunks(spark):
+    """Repeated ids with equal and with different texts among them."""
+    rnd = random.Random(11)
+    parts = [random_text(rnd, 40) for _ in range(25)]
+    rows = []
+    for k in range(60):
+        rows.append((rnd.choice([None, *range(20)]), " ".join(rnd.choice(parts) if rnd.random() < 0.5 else random_text(rnd, 30) for _ in range(rnd.randint(0, 5)))))
+    a, c = random_text(rnd, 60), random_text(rnd, 70)
+    rows += [(101, a), (102, a + random_text(rnd, 50)), (102, c), (102, c), (103, None), (103, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"], r["n_dup_chunks"], r["removed_bytes"], tuple(r["kept_by"] or ())) for r in S.dedup(frame).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_dedup(rows)))
+    assert sum(r[1] == c for r in got) == 2
+
+
+def test_text_ids(spark):
+    rnd = random.Random(12)
+    a = random_text(rnd, 80)
+    got = {r["doc_id"]: r for r in S.dedup(spark.createDataFrame([("x", a), ("y", a)], "doc_id string, text string")).collect()}
+    assert got["x"]["text"] == a and got["y"]["text"] == "" and got["y"]["kept_by"] == ["x"]
+
+
 def test_gear_is_a_rolling_hash():
     data = np.frombuffer(random_text(random.Random(8), 50).encode(), np.uint8)
     h, want = 0, []
