@@ -6,11 +6,13 @@ Dynamic programming over that automaton finds the cheapest way to make a
 conversation legal: merging a turn into the one before it, relabelling a turn,
 or inserting empty turns.  The repaired sequence is then rendered.
 
-Costs along the automaton form a small matrix in the (min, +) semiring, so a
-long conversation is cut into stretches of turns: each stretch gives one
-matrix, the matrices of a conversation are chained, and every stretch is then
-repaired on its own between known states.  No task holds a whole conversation
-of unbounded length.
+Costs along the automaton form a small matrix in the (min, +) semiring.  The
+turns are range partitioned in the order of conversations and turns and cut
+into stretches of a bounded number of rows, whatever their turn numbers, so no
+task holds a whole conversation of unbounded length.  Each stretch gives one
+matrix; chained from the front they give the costs before each stretch, and
+chained from the back the state in which each stretch ends.  Every stretch is
+then repaired on its own, just as one pass over the conversation would do it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ NEXT = {START: [SYSTEM, USER], SYSTEM: [USER], USER: [ASSISTANT], ASSISTANT: [US
 FINAL = [ASSISTANT]
 
 MERGE, RELABEL, INSERT = 1.0, 3.0, 2.0
-#: Turn numbers of a stretch.
+#: Rows of a stretch.
 STRETCH = 1000
 INF = float("inf")
 
@@ -86,10 +89,9 @@ def stretch_matrix(roles: list[str | None]) -> np.ndarray:
     return m
 
 
-def best_path(steps: list[np.ndarray], entry: int, ends: np.ndarray) -> list[int]:
-    """The states after each step on the cheapest path from ``entry``; lower states win ties."""
-    cost = np.full(4, INF)
-    cost[entry] = 0.0
+def best_path(steps: list[np.ndarray], entry: np.ndarray, ends: np.ndarray) -> tuple[int, list[int]]:
+    """The state before the first step and those after each on the cheapest path from the costs ``entry``; lower states win ties, from the back."""
+    cost = entry
     back = []
     for m in steps:
         reach = cost[:, None] + m
@@ -100,7 +102,14 @@ def best_path(steps: list[np.ndarray], entry: int, ends: np.ndarray) -> list[int
     for b in reversed(back):
         path.append(at)
         at = int(b[at])
-    return path[::-1]
+    return at, path[::-1]
+
+
+def only(state: int) -> np.ndarray:
+    """Costs that allow one state."""
+    out = np.full(4, INF)
+    out[state] = 0.0
+    return out
 
 
 def _head(role: int) -> str:
@@ -110,20 +119,18 @@ def _head(role: int) -> str:
 CLOSE = "<|end|>\n"
 
 
-def repair(roles: list[str | None], texts: list[str | None], entry: int = START, leave: int | None = None, last: bool = True) -> list[tuple]:
+def repair(
+    roles: list[str | None], texts: list[str | None], entry: np.ndarray | None = None, leave: int | None = None, last: bool = True
+) -> list[tuple]:
     """Repair a stretch: for each turn its new role, action, the roles inserted before and after it, and its rendering.
 
-    The renderings of a conversation's turns, one after the other, are the
-    rendered conversation.  Markers that stand in a text are broken by a blank.
+    ``entry`` has the costs of the states before it (the start, if none) and
+    ``leave`` the state that it ends in.  The renderings of a conversation's
+    turns, one after the other, are the rendered conversation.  Markers that
+    stand in a text are broken by a blank.
     """
-    ends = np.full(4, INF)
-    if leave is None:
-        ends = END
-    else:
-        ends[leave] = 0.0
-    states = best_path([_step(r) for r in roles], entry, ends)
+    before, states = best_path([_step(r) for r in roles], only(START) if entry is None else entry, END if leave is None else only(leave))
     out = []
-    before = entry
     for k, (role, text, t) in enumerate(zip(roles, texts, states)):
         label = 0.0 if role == ROLES[t - 1] else RELABEL
         path = PATHS.get((before, t))
@@ -171,45 +178,107 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]
         yield held
 
 
+def _stretches(turns: DataFrame, stretch: int) -> DataFrame:
+    """Rows (conv_id, _s, _k, turn, role, text): _s numbers stretches in the order of the rows, _k the rows of a partition."""
+    order = ["conv_id", "turn", "role", "text"]
+    # equal rows would all fall into one range: a number that means nothing deals them out
+    rows = turns.select(*order).withColumn("_deal", F.rand(7))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order, "_deal").sortWithinPartitions(*order, "_deal")
+    schema = T.StructType([T.StructField("_s", T.LongType()), T.StructField("_k", T.LongType()), *(turns.schema[c] for c in order)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, done, s, held, last = TaskContext.get().partitionId() << 33, 0, -1, 0, object()
+        for batch in batches:
+            number = []
+            for conv in batch.column(0).to_pylist():
+                if conv != last or held == stretch:
+                    last, held, s = conv, 0, s + 1
+                held += 1
+                number.append(base + s)
+            place = np.arange(done, done + batch.num_rows, dtype=np.int64)
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(place), *batch.columns], names=schema.names)
+
+    return B.cut(rows.select(*order).transform(B.arrow, run, schema))
+
+
+def _borders(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """(_s, _entry, _leave, _last) of the stretches of the conversations ``long``: costs before each, the state it ends in, whether it is the last."""
+    kind = rows.schema["conv_id"].dataType
+    of = T.StructField("conv_id", kind)
+    number, costs = T.StructField("_s", T.LongType()), T.ArrayType(T.DoubleType())
+    arrow = [("conv_id", _arrow(kind)), ("_s", pa.int64())]
+    many = rows.select("conv_id", "_s", "_k", "role").join(long.select(F.col("conv_id").alias("_c")), F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
+    many = many.repartition("_s").sortWithinPartitions("_s", "_k").select("conv_id", "_s", "role")
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([*arrow, ("_m", pa.list_(pa.float64()))])
+        for conv, s, role in _groups(batches, 2):
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv[0], "_s": s[0], "_m": stretch_matrix(role).ravel().tolist()}], out)
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last, cost = pa.schema([*arrow, ("_m", pa.list_(pa.float64())), ("_entry", pa.list_(pa.float64()))]), object(), only(START)
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if r["conv_id"] != last:
+                    last, cost = r["conv_id"], only(START)
+                found.append(r | {"_entry": cost.tolist()})
+                cost = (cost[:, None] + np.array(r["_m"]).reshape(4, 4)).min(axis=0)
+            yield pa.RecordBatch.from_pylist(found, out)
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([*arrow, ("_entry", pa.list_(pa.float64())), ("_back", pa.list_(pa.int32())), ("_end", pa.int32())])
+        for conv, s, role, entry in _groups(batches, 2):
+            steps, cost = [_step(r) for r in role], np.array(entry[0])
+            whole = cost.copy()
+            for m in steps:
+                whole = (whole[:, None] + m).min(axis=0)
+            back = [best_path(steps, cost, only(t))[0] for t in range(4)]
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv[0], "_s": s[0], "_entry": entry[0], "_back": back, "_end": int((whole + END).argmin())}], out)
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last, leave = pa.schema([("_s", pa.int64()), ("_entry", pa.list_(pa.float64())), ("_leave", pa.int32()), ("_last", pa.bool_())]), object(), 0
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                end = r["conv_id"] != last
+                last, leave = r["conv_id"], r["_end"] if end else leave
+                found.append({"_s": r["_s"], "_entry": r["_entry"], "_leave": leave, "_last": end})
+                leave = r["_back"][leave]
+            yield pa.RecordBatch.from_pylist(found, out)
+
+    m = many.transform(B.arrow, matrices, T.StructType([of, number, T.StructField("_m", costs)]))
+    m = m.repartition("conv_id").sortWithinPartitions("conv_id", "_s")
+    entries = m.transform(B.arrow, forward, T.StructType([of, number, T.StructField("_m", costs), T.StructField("_entry", costs)]))
+    again = rows.select("conv_id", "_s", "_k", "role").join(entries.select("_s", "_entry"), "_s")
+    again = again.repartition("_s").sortWithinPartitions("_s", "_k").select("conv_id", "_s", "role", "_entry")
+    ints = T.ArrayType(T.IntegerType())
+    found = again.transform(B.arrow, exits, T.StructType([of, number, T.StructField("_entry", costs), T.StructField("_back", ints), T.StructField("_end", T.IntegerType())]))
+    found = found.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("_s"))
+    return found.transform(
+        B.arrow, backward, T.StructType([number, T.StructField("_entry", costs), T.StructField("_leave", T.IntegerType()), T.StructField("_last", T.BooleanType())])
+    )
+
+
 def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Rows of ``turns`` (conv_id, turn, role, text), each with its repaired role, action, insertions and rendering.
 
     Turns are ordered by turn, then role, then text; a null turn comes first,
-    a null or unknown role must be relabelled, a null text is empty.  Rows
-    without a conv_id are one conversation.  Repeated rows are turns like any
-    others.  ``stretch`` is how many turn numbers are repaired at once.  An
-    empty table gives an empty table; other columns are neither read nor
-    returned.
+    a negative one before zero, a null or unknown role must be relabelled, a
+    null text is empty.  Rows without a conv_id are one conversation.  Repeated
+    rows are turns like any others.  ``stretch`` is how many rows are repaired
+    at once; the result doesn't depend on it.  An empty table gives an empty
+    table; other columns are neither read nor returned.
     """
-    rows = turns.select("conv_id", "turn", "role", "text")
-    rows = rows.withColumn("_s", F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-1)).cast("long"))
+    rows = _stretches(turns, stretch)
     kind, kind_turn = turns.schema["conv_id"].dataType, turns.schema["turn"].dataType
-    key = [T.StructField("conv_id", kind), T.StructField("_s", T.LongType())]
     edges = rows.groupBy("conv_id").agg(F.min("_s").alias("a"), F.max("_s").alias("b"))
-    if edges.where("a <> b").isEmpty():
-        plan = rows.withColumns({"_entry": F.lit(START), "_leave": F.lit(None).cast("int"), "_last": F.lit(True)})
-    else:
-
-        def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for conv, s, _, role in _groups(batches, 2):
-                yield pa.RecordBatch.from_pylist([{"conv_id": conv[0], "_s": s[0], "m": stretch_matrix(role).ravel().tolist()}], out_schema)
-
-        def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for conv, s, m in _groups(batches, 1):
-                path = best_path([np.array(x).reshape(4, 4) for x in m], START, END)
-                for k in range(len(s)):
-                    row = {"conv_id": conv[0], "_s": s[k], "_entry": path[k - 1] if k else START, "_leave": path[k], "_last": k == len(s) - 1}
-                    yield pa.RecordBatch.from_pylist([row], chain_schema)
-
-        arrow_kind = _arrow(kind)
-        out_schema = pa.schema([("conv_id", arrow_kind), ("_s", pa.int64()), ("m", pa.list_(pa.float64()))])
-        chain_schema = pa.schema([("conv_id", arrow_kind), ("_s", pa.int64()), ("_entry", pa.int32()), ("_leave", pa.int32()), ("_last", pa.bool_())])
-        sorted_roles = rows.select("conv_id", "_s", "turn", "role", "text").repartition("conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text")
-        found = sorted_roles.select("conv_id", "_s", "turn", "role").transform(B.arrow, matrices, T.StructType([*key, T.StructField("m", T.ArrayType(T.DoubleType()))]))
-        found = found.repartition("conv_id").sortWithinPartitions("conv_id", "_s")
-        states = found.transform(B.arrow, chain, T.StructType([*key, T.StructField("_entry", T.IntegerType()), T.StructField("_leave", T.IntegerType()), T.StructField("_last", T.BooleanType())]))
-        states = states.withColumnsRenamed({"conv_id": "_conv", "_s": "_at"})
-        plan = rows.join(states, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_s") == F.col("_at")))
+    long = B.cut(edges.where("a <> b").select("conv_id"))
+    plan = rows.withColumns({"_entry": F.lit(None).cast("array<double>"), "_leave": F.lit(None).cast("int"), "_last": F.lit(True)})
+    if not long.isEmpty():
+        plan = rows.join(_borders(rows, long), "_s", "left").withColumn("_last", F.coalesce("_last", F.lit(True)))
 
     schema = T.StructType([
         T.StructField("conv_id", kind), T.StructField("turn", kind_turn), T.StructField("role", T.StringType()),
@@ -225,7 +294,7 @@ def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in arrow]
         for conv, _, turn, role, text, entry, leave, last in _groups(batches, 2):
-            for k, found in enumerate(repair(role, text, entry[0], leave[0], last[0])):
+            for k, found in enumerate(repair(role, text, None if entry[0] is None else np.array(entry[0]), leave[0], last[0])):
                 for c, x in zip(held, (conv[k], turn[k], role[k], *found)):
                     c.append(x)
             if len(held[0]) >= 5000:
@@ -233,8 +302,8 @@ def format_chats(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
                 held = [[] for _ in arrow]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, arrow.types)], schema=arrow)
 
-    plan = plan.select("conv_id", "_s", "turn", "role", "text", "_entry", "_leave", "_last")
-    return plan.repartition("conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text").transform(B.arrow, render, schema)
+    plan = plan.repartition("_s").sortWithinPartitions("_s", "_k")
+    return plan.select("conv_id", "_s", "turn", "role", "text", "_entry", "_leave", "_last").transform(B.arrow, render, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

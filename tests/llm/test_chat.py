@@ -83,6 +83,28 @@ def test_stretches(spark):
     assert total(C.format_chats(turns)) == total(C.format_chats(turns, stretch=7)) == total(C.format_chats(turns, stretch=1))
 
 
+def test_results_dont_depend_on_stretches(spark):
+    """Negative, null and repeated turns; a conversation of its own against one pass over its rows."""
+    rnd = random.Random(4)
+    choices = ["user", "user", "assistant", "system", "bot", None]
+    rows = [(0, None, "system", "s"), (0, -5000, "user", "a"), (0, 5, "assistant", "b")]
+    for conv in [1, 2, 3, None]:
+        for _ in range(60):
+            rows.append((conv, rnd.choice([None, None, -5000, -1, 0, 3, 1 << 40, -(1 << 62), (1 << 63) - 1]), rnd.choice(choices), rnd.choice(["x", "y", "", None])))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    want = sorted(map(repr, C.format_chats(turns, 10**9).collect()))
+    for stretch in (1, 7, 1000):
+        assert sorted(map(repr, C.format_chats(turns, stretch).collect())) == want
+    first = {r["turn"]: r["action"] for r in C.format_chats(turns, 1).where("conv_id = 0").collect()}
+    assert first == {None: "keep", -5000: "keep", 5: "keep"}
+    key = lambda r: tuple((x is not None, x) for x in r[1:])
+    for conv in (1, 2, 3, None):
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        plain = [(conv, r[1], r[2], *f) for r, f in zip(own, C.repair([r[2] for r in own], [r[3] for r in own]))]
+        got = [tuple(r) for r in C.format_chats(turns, 7).collect() if r["conv_id"] == conv]
+        assert sorted(map(repr, got)) == sorted(map(repr, plain))
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (1, None, None, None, None), (None, 1, "assistant", "b" * 100_000, "x"), (2, 5, "", "", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string")
