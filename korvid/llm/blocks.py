@@ -7,9 +7,6 @@ in a batch.  Only one document longer than that makes a larger block.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import materialise as cut  # noqa: F401 - the operators' name for it
+
 BLOCK_BYTES = 1 << 18
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
@@ -148,24 +147,6 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="korvid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/korvid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -183,6 +164,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     depend on partitioning.  This bound is the only one the classifiers have:
     it limits what they learn from, never what they score.
     """
+    if labels.schema["doc_id"].dataType != docs.schema["doc_id"].dataType:  # ids are compared as text then
+        labels, docs = (t.withColumn("doc_id", F.col("doc_id").cast("string")) for t in (labels, docs))
     known = (
         labels.where(F.col(label).isin(0, 1) & (fold("doc_id", parts) != held))
         .groupBy("doc_id")
@@ -194,7 +177,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
-    got = sorted((int(r["doc_id"]), r["text"], int(r["_y"])) for r in rows.collect())
+    got = sorted((r["doc_id"], r["text"], int(r["_y"])) for r in rows.collect())
     return [(t, y) for _, t, y in got]
 
 
