@@ -20,13 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import with_row_index
 from . import blocks as B
 
 SHARDS = 40
 #: Bits of each dimension: 2**BITS levels.
 BITS = 7
-#: A string dimension of at most so many values is coded in the order of its values, else by hash.
-MAX_VALUES = 4096
 
 
 def hilbert_index(columns: list[np.ndarray], bits: int) -> np.ndarray:
@@ -63,17 +62,22 @@ def hilbert_index(columns: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _levels(docs: DataFrame, name: str) -> Column:
-    """A level for each value of a string dimension; null is level 0."""
+    """A level for each value of a string dimension, in the order of the values; null is level 0.
+
+    However many values there are, Spark ranks them, and as many levels as
+    there are at most begin at certain values: only those reach the driver.
+    """
     top = (1 << BITS) - 1
-    values = docs.groupBy(name).count().orderBy(name).limit(MAX_VALUES + 1).collect()
-    known = [r[name] for r in values if r[name] is not None]
-    if len(known) > MAX_VALUES:  # too many to order: equal values still share a level
-        return F.when(F.col(name).isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.lit(top)) + 1).cast("int")
-    if not known:
+    values = docs.select(F.col(name).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+    ranked = with_row_index(values, "v", name="rank")
+    n = ranked.count()
+    if not n:
         return F.lit(0)
-    step = {v: 1 + i * top // len(known) for i, v in enumerate(known)}
-    table = F.create_map(*[F.lit(x) for pair in step.items() for x in pair])
-    return F.coalesce(table[F.col(name)], F.lit(0)).cast("int")
+    level = lambda r: F.expr(f"1 + (({r}) * {top}) div {n}")
+    first = ranked.where((F.col("rank") == 0) | (level("rank") != level("rank - 1"))).select("v", level("rank").cast("int").alias("l")).collect()
+    begins = F.array(*[F.struct(F.lit(r["v"]).alias("v"), F.lit(r["l"]).alias("l")) for r in sorted(first, key=lambda r: r["l"])])
+    own = F.col(name).cast("string")
+    return F.coalesce(F.array_max(F.transform(F.filter(begins, lambda x: x["v"] <= own), lambda x: x["l"])), F.lit(0))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source"), keep_rows: bool = False) -> DataFrame:

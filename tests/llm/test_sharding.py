@@ -64,7 +64,24 @@ def test_files(spark, odd, docs, tmp_path):
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
-def test_too_many_values_to_order(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_VALUES", 10)
-    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("lang"), F.lit("s").alias("source"))
-    check(S.shard(df).collect(), 40, 300)
+def test_levels_follow_the_order_of_values(spark):
+    """Few values, as many as levels, and many more: one rule."""
+    top = (1 << S.BITS) - 1
+    for n in (1, 3, 127, 128, 5000):
+        names = sorted(f"{(k * 7919) % 100_003:06d}é" for k in range(n))
+        df = spark.createDataFrame([(k, "t", v, "s") for k, v in enumerate([*names, *names[:5], None])], "doc_id long, text string, lang string, source string")
+        got = df.select("lang", S._levels(df, "lang").alias("l")).collect()
+        want = {v: 1 + k * top // n for k, v in enumerate(names)} | {None: 0}
+        assert all(r["l"] == want[r["lang"]] for r in got)
+        if n == 5000:
+            check(S.shard(df).collect(), 40, df.count())
+
+
+def test_files_can_be_pruned_by_each_dimension(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(k, "x" * int(2 ** rnd.uniform(4, 15)), f"l{rnd.integers(8)}", f"s{rnd.integers(4500):05d}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    of = S.shard(df, 64).join(df.select("doc_id", "lang", F.substring("source", 1, 3).alias("part")), "doc_id")
+    for by, groups in (("lang", 8), ("part", 5), (F.floor(F.log2("size") / 2), 6)):
+        touched = [r["n"] for r in of.groupBy(by).agg(F.countDistinct("shard").alias("n")).collect()]
+        assert np.mean(touched) < 0.75 * 64, (groups, touched)
