@@ -7,13 +7,12 @@ Between stages the documents are written as Parquet and read again.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvid.llm import blocks, bpe, decontamination, jaccard, quality, substring
+from korvid.sources.storage import new_folder
 
 #: Documents of a lower score go.  Half is where the calibrated curve calls a text as likely bad as good.
 KEEP_SCORE = 0.5
@@ -63,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
     docs = blocks.documents(spark, sf_dir)
-    base = f"{blocks.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
