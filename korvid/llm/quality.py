@@ -3,8 +3,9 @@
 Two zstandard dictionaries are built, one from text labelled good and one
 from text labelled bad.  A text is compressed with each, piece by piece; a
 text that resembles the good sample grows shorter with the good dictionary.
-The difference of the compressed sizes over their sum is the evidence, and a
-logistic curve fitted to labelled rows makes it a calibrated score.
+The difference of the compressed sizes, over the text's own size, is the only
+evidence, and a logistic curve fitted to labelled rows makes it a calibrated
+score.
 """
 
 from __future__ import annotations
@@ -28,56 +29,55 @@ HELD_PARTS, HELD = 4, 2
 THRESHOLD = 0.7
 #: Bytes of a dictionary, and of the pieces that whole texts are cut into: each piece meets a fresh dictionary.
 DICT_BYTES = 110 << 10
-PIECE = 1024
+PIECE = 256
+#: Bytes of no evidence that join every text, so that a few words can't decide.
+PRIOR_BYTES = 64
 #: Bytes of the segments that a dictionary is made of.
 SEGMENT = 128
 LEVEL = 3
-HEADER = len(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress(b""))
 
 
 @dataclass
 class CompressionModel:
-    """Dictionary contents and the logistic curve over (difference, share kept by compression)."""
+    """Dictionaries (trained ones, with their entropy tables, or plain content) and the logistic curve over the difference."""
 
     good: bytes
     bad: bytes
     curve: np.ndarray
+    neutral: float = 0.0
     _made: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"good": self.good, "bad": self.bad, "curve": self.curve, "_made": []}
+        return vars(self) | {"_made": []}
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         if not self._made:
             for content in (self.good, self.bad):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
                 d.precompute_compress(level=LEVEL)
                 self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         return self._made
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """Normalised difference of sizes (positive: like the good sample), and the log share of bytes left."""
-        if not text:
-            return 0.0, 0.0
+    def difference(self, text: bytes) -> float:
+        """Bytes that the good dictionary saves more than the bad one, for each byte of the text; ``neutral`` of nothing."""
         good, bad = self.compressors()
-        a = b = 0
+        saved = PRIOR_BYTES * self.neutral
         for i in range(0, len(text), PIECE):
             piece = text[i : i + PIECE]
-            a += max(len(good.compress(piece)) - HEADER, 0) + 1
-            b += max(len(bad.compress(piece)) - HEADER, 0) + 1
-        return (b - a) / (a + b), float(np.log(min(a, b) / len(text)))
+            saved += len(bad.compress(piece)) - len(good.compress(piece))
+        return saved / (len(text) + PRIOR_BYTES)
 
     def score(self, text: bytes) -> float:
-        z = float(np.dot(self.curve, _terms(*self.features(text))))
+        z = float(np.dot(self.curve, _terms(self.difference(text))))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _terms(difference: float, left: float) -> np.ndarray:
-    return np.array([1.0, 10 * difference, left])
+def _terms(difference: float) -> np.ndarray:
+    return np.array([1.0, 50 * difference])
 
 
 def _dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """The segments that all texts, whole, have most in common, up to ``size`` bytes; the texts themselves if they are no more."""
+    """A dictionary of ``size`` bytes trained on all texts, whole; the texts themselves if they are too few to train on."""
     whole = b"\n".join(texts)
     if len(whole) <= size:
         return whole
@@ -90,14 +90,50 @@ def train(sample: list[tuple[str, int]]) -> CompressionModel:
     rows = [(t.encode(), y) for t, y in sample if t]
     build, rest = rows[::2], rows[1::2]
     model = CompressionModel(
-        _dictionary([t for t, y in build if y == 1]), _dictionary([t for t, y in build if y == 0]), np.zeros(3)
+        _dictionary([t for t, y in build if y == 1]), _dictionary([t for t, y in build if y == 0]), np.zeros(2)
     )
     y = np.array([y for _, y in rest], dtype=float)
     if len(y) < 2 or y.min() == y.max():
         share = (sum(y for _, y in sample) + 1) / (len(sample) + 2)
-        model.curve = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+        model.curve = np.array([np.log(share / (1 - share)), 0.0])
         return model
-    x = np.array([_terms(*model.features(t)) for t, _ in rest])
+    own = np.array([model.difference(t) * (len(t) + PRIOR_BYTES) / len(t) for t, _ in rest])
+    model.neutral = float(own.mean())
+    model.curve = B.logistic(np.array([_terms(model.difference(t)) for t, _ in rest]), y)
+    return model
+
+
+def score(self, text: bytes) -> float:
+        z = float(np.dot(self.curve, _terms(self.difference(text))))
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def _terms(difference: float) -> np.ndarray:
+    return np.array([1.0, 50 * difference])
+
+
+def _dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary of ``size`` bytes trained on all texts, whole; the texts themselves if they are too few to train on."""
+    whole = b"\n".join(texts)
+    if len(whole) <= size:
+        return whole
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=8).as_bytes()
+
+
+def train(sample: list[tuple[str, int]]) -> CompressionModel:
+    """Build both dictionaries from every other row and calibrate on the rest; one class only gives a constant score."""
+    rows = [(t.encode(), y) for t, y in sample if t]
+    build, rest = rows[::2], rows[1::2]
+    model = CompressionModel(
+        _dictionary([t for t, y in build if y == 1]), _dictionary([t for t, y in build if y == 0]), np.zeros(2)
+    )
+    y = np.array([y for _, y in rest], dtype=float)
+    if len(y) < 2 or y.min() == y.max():
+        share = (sum(y for _, y in sample) + 1) / (len(sample) + 2)
+        model.curve = np.array([np.log(share / (1 - share)), 0.0])
+        return model
+    x = np.array([_terms(model.difference(t)) for t, _ in rest])
     model.curve = B.logistic(x, y)
     return model
 
@@ -105,7 +141,7 @@ def train(sample: list[tuple[str, int]]) -> CompressionModel:
 def score(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) with held_out, score and predicted.
 
-    Null and empty texts have no evidence and get the curve's value at zero;
+    Null and empty texts have no evidence and get the curve's neutral value;
     repeated rows are scored alike; an empty table gives an empty table.
     Other columns of ``docs`` are neither read nor returned.
     """

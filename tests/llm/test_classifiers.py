@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from korvid.llm import blocks as B
 from korvid.llm import langid, quality, toxicity
@@ -75,7 +76,7 @@ def test_compression_model():
     bad = [" ".join(rnd.choices(["BUY!!", "$$$", "<<click>>", "***"], k=50)) for _ in range(40)]
     model = quality.train([(t, 1) for t in good[:30]] + [(t, 0) for t in bad[:30]])
     assert min(model.score(t.encode()) for t in good[30:]) > 0.7 > 0.3 > max(model.score(t.encode()) for t in bad[30:])
-    assert model.features(b"") == (0.0, 0.0) and 0 <= model.score(b"") <= 1
+    assert model.difference(b"") == model.neutral and 0 <= model.score(b"") <= 1
     assert 0 < quality.train([("x", 1)]).score(b"abc") < 1 and 0 < quality.train([]).score(b"") < 1
 
 
@@ -86,6 +87,33 @@ def test_dictionaries_learn_from_whole_texts():
     assert end[:30] in quality._dictionary([noise(2000) + end for _ in range(300)])
 
 
+def plain_difference(good, bad, neutral, text):
+    """Compressed sizes by a one-shot compressor for each piece, with nothing precomputed."""
+    def size(content, piece):
+        d = zstandard.ZstdCompressionDict(content)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(piece))
+
+    pieces = [text[i : i + quality.PIECE] for i in range(0, len(text), quality.PIECE)]
+    return (sum(size(bad, p) - size(good, p) for p in pieces) + quality.PRIOR_BYTES * neutral) / (len(text) + quality.PRIOR_BYTES)
+
+
+def test_the_difference_alone_decides(spark, big):
+    """Scores come from nothing but the difference, rise with it, and tell held-out rows apart."""
+    docs, labels = big
+    model = quality.fit(docs, labels)
+    assert len(model.curve) == 2 and model.curve[1] > 0
+    known = labels.where("quality IS NOT NULL").select("doc_id", "quality")
+    rows = [r for r in quality.score(docs, model).where("held_out").join(known, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect() if r["text"]]
+    for r in rows[::40]:
+        d = plain_difference(model.good, model.bad, model.neutral, r["text"].encode())
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * 50 * d)))) < 1e-9
+    y, p = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    rank = p.argsort().argsort() + 1
+    ones = int(y.sum())
+    auc = (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+    assert auc > 0.99 and ((p >= 0.5) == y).mean() > 0.98
+
+
 def test_langid_rejects_what_is_far_from_all_centroids():
     rows = [("the cat and the dog with this", "en"), ("the house of the king and that", "en"), ("le chat et le chien avec la", "fr"), ("la maison de la reine et les", "fr")]
     model = langid.train(rows * 5)
@@ -95,6 +123,15 @@ def test_langid_rejects_what_is_far_from_all_centroids():
     assert langid.train([]).predict(next(B.blocks(iter([batch]))))[0] == ["und"] * 5
 
 
+def test_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"text number {i} " * 5, "en" if i % 2 else "fr") for i in range(40)], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, (i // 2) % 2) for i in range(40)], "doc_id string, quality int, toxic int")
+    for got in (quality.quality(docs, labels), toxicity.toxicity(docs, labels), langid.language(docs)):
+        assert got.count() == 40 and got.schema["doc_id"].dataType.simpleString() == "string"
+    assert len(B.labelled_sample(docs, labels, "toxic", 100, 3, 1)) > 10
+    assert B.labelled_sample(docs, labels.withColumn("doc_id", labels["doc_id"].substr(2, 9).cast("long")), "toxic", 100, 3, 1) == []
+
+
 @pytest.mark.parametrize("which", ["toxicity", "quality", "langid"])
 def test_odd_rows(spark, odd, none, which):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (7, None, None), (None, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
