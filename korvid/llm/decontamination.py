@@ -2,7 +2,7 @@
 
 All word n-grams of the test items are counted over the whole corpus, and
 every one that occurs there is a seed: whatever an edited copy has left of an
-item's n-grams leads to it.  Documents and items meet where they share seeds;
+item's n-grams leads to it.  Documents and items meet where they share a seed;
 around the places where they do, the words are aligned, and the alignment's
 score, relative to the item's own or to that of a passage too long for chance,
 tells copies, edited copies and copied parts from chance.
@@ -26,10 +26,8 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Words of a seed.
+#: Words of a seed; an item of fewer words is one seed and must be found whole.
 SEED_WORDS = 3
-#: Seeds that must agree before an alignment is tried (all, if an item has fewer).
-LEAST_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
@@ -68,19 +66,23 @@ class Seeds:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    n_seeds: np.ndarray
+    lengths: list[int]
     filter: np.ndarray
 
+    def hits(self, words: B.Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the seeds that stand in a block, and the first word of each."""
+        found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.lengths:
+            k, place = _known(words, own, n, self.hashes, self.filter)
+            found.append(k)
+            at.append(place)
+        return np.concatenate(found), np.concatenate(at)
+
     def find(self, block: B.Block, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, score, first word, end word) of each pair that aligns well enough, by its best alignment."""
         words = B.Words(block, _GAPS)
         own = words.hashes()
-        window, at = words.windows(own, SEED_WORDS)
-        some = np.flatnonzero(self.filter[(window & np.uint64(0xFFFF)).astype(np.int64)])
-        k = np.searchsorted(self.hashes, window[some])
-        k[k == len(self.hashes)] = 0
-        hit = self.hashes[k] == window[some]
-        k, place = k[hit], at[some[hit]]
+        k, place = self.hits(words, own)
         if not len(k):
             return
         n = self.first[k + 1] - self.first[k]
@@ -89,22 +91,18 @@ class Seeds:
         doc = np.searchsorted(words.at, place, side="right") - 1
         item, shift = self.item[entry], place - self.place[entry]
         order = np.lexsort((shift, item, doc))
-        doc, item, shift, entry = doc[order], item[order], shift[order], entry[order]
+        doc, item, shift = doc[order], item[order], shift[order]
         size = np.array([len(w) for w in self.words])
         apart = np.diff(shift) > np.maximum(size[item[1:]] // 4, 4)
         edge = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | apart) + 1, [len(doc)]])
-        least = np.minimum(LEAST_SEEDS, self.n_seeds[item[edge[:-1]]])
-        enough = np.diff(edge) >= least
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for s, e, need in zip(edge[:-1][enough].tolist(), edge[1:][enough].tolist(), least[enough].tolist()):
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
             d, it = int(doc[s]), int(item[s])
-            if len(np.unique(entry[s:e])) < need:
-                continue
             mine, reach = self.words[it], 4 + int(size[it]) // 4
             low = max(int(shift[s]) - reach, int(words.at[d]))
             high = min(int(shift[e - 1]) + int(size[it]) + reach, int(words.at[d + 1]))
             part = own[low:high]
-            least_share = min(threshold, PASSAGE_WORDS / len(mine))
+            least_share = min(threshold, PASSAGE_WORDS / len(mine)) if len(mine) >= SEED_WORDS else 1.0
             if np.isin(mine, part).mean() < least_share:  # no alignment matches more words than both have
                 continue
             score, end = align(mine, part)
@@ -117,17 +115,30 @@ class Seeds:
             yield d, it, *found
 
 
+def _known(words: B.Words, own: np.ndarray, n: int, hashes: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted ``hashes`` a block's ``n``-word windows are, and the first word of each such window."""
+    window, at = words.windows(own, n)
+    some = np.flatnonzero(maybe[(window & np.uint64(0xFFFF)).astype(np.int64)])
+    if not len(hashes):
+        return some[:0], at[:0]
+    k = np.searchsorted(hashes, window[some])
+    k[k == len(hashes)] = 0
+    hit = hashes[k] == window[some]
+    return k[hit], at[some[hit]]
+
+
 def _windows(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text its word hashes and its n-gram hashes."""
+    """For each text its word hashes and its n-gram hashes; a text of fewer words has one, of all of them."""
     words, grams = [], []
     for block in B.blocks(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})])):
         w = B.Words(block, _GAPS)
         own = w.hashes()
-        window, at = w.windows(own, SEED_WORDS)
-        edge = np.searchsorted(at, w.at)
+        by = {n: w.windows(own, n) for n in range(1, SEED_WORDS + 1)}
         for i in range(len(block)):
-            words.append(own[w.at[i] : w.at[i + 1]])
-            grams.append(window[edge[i] : edge[i + 1]])
+            a, b = int(w.at[i]), int(w.at[i + 1])
+            window, at = by[max(1, min(SEED_WORDS, b - a))]
+            words.append(own[a:b])
+            grams.append(window[(at >= a) & (at < b)])
     return words, grams
 
 
@@ -137,7 +148,7 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
+def frequencies(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> np.ndarray:
     """In how many documents each of the sorted n-gram ``hashes`` stands; one count for each hash reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast((hashes, _filter(hashes)))
 
@@ -146,13 +157,11 @@ def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
         total = np.zeros(len(known), dtype=np.int64)
         for block in B.blocks(batches):
             words = B.Words(block, _GAPS)
-            window, at = words.windows(words.hashes(), SEED_WORDS)
-            some = np.flatnonzero(maybe[(window & np.uint64(0xFFFF)).astype(np.int64)])
-            k = np.searchsorted(known, window[some])
-            k[k == len(known)] = 0
-            hit = known[k] == window[some]
-            doc = np.searchsorted(words.at, at[some[hit]], side="right") - 1
-            total += np.bincount(np.unique(doc * len(known) + k[hit]) % len(known), minlength=len(known))
+            own = words.hashes()
+            for n in lengths:
+                k, at = _known(words, own, n, known, maybe)
+                doc = np.searchsorted(words.at, at, side="right") - 1
+                total += np.bincount(np.unique(doc * len(known) + k) % len(known), minlength=len(known))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], names=["k", "n"])
 
@@ -167,7 +176,8 @@ def choose_seeds(docs: DataFrame, items: list[tuple[object, str]]) -> Seeds:
     """Count the items' n-grams over ``docs`` and take all that occur there as seeds."""
     words, grams = _windows([t for _, t in items])
     known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-    df = frequencies(docs, known)
+    lengths = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
+    df = frequencies(docs, known, lengths)
     entries = []
     for i, g in enumerate(grams):
         entries += [(int(g[k]), i, k) for k in np.flatnonzero(df[np.searchsorted(known, g)]).tolist()]
@@ -178,7 +188,7 @@ def choose_seeds(docs: DataFrame, items: list[tuple[object, str]]) -> Seeds:
     hashes, first = np.unique(h[order], return_index=True)
     return Seeds(
         [i for i, _ in items], words, hashes, np.append(first, len(h)), item[order], place[order],
-        np.bincount(item, minlength=len(items)), _filter(hashes),
+        lengths, _filter(hashes),
     )
 
 
@@ -197,9 +207,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
     ``score`` is the best local alignment's share of the item's own score (0
     to 1); below ``threshold`` it is that of a passage that scores as
-    ``PASSAGE_WORDS`` words or more.  The words count from 0 and the end is exclusive.  Null and empty
-    texts on either side, and items of fewer words than a seed, match
-    nothing; repeated documents match alike, equal items once for each id.
+    ``PASSAGE_WORDS`` words or more.  The words count from 0 and the end is
+    exclusive.  An item of fewer words than a seed must be there whole.  Null
+    and empty texts, and texts without a word, match nothing on either side;
+    repeated documents match alike, equal items once for each id.
     An empty table gives an empty table; other columns are not read.
     """
     kinds = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType

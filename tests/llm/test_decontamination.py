@@ -97,6 +97,27 @@ def test_a_long_passage_of_a_long_item(spark):
     assert {r["doc_id"] for r in D.clean(docs, bench).collect()} == {3, 4}
 
 
+def test_recall_on_short_edited_items(spark):
+    """All pairs of documents and items aligned, against those that seeds lead to."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    for words in (12, 30):
+        items = [(i, " ".join(rnd.choices(vocabulary, k=words))) for i in range(150)]
+        for share in (0.1, 0.2, 0.3):
+            rows = []
+            for i, text in items:
+                w = text.split()
+                for k in rnd.sample(range(words), round(share * words)):
+                    w[k] = rnd.choice(vocabulary)
+                rows.append((i, " ".join([*rnd.choices(vocabulary, k=20), *w, *rnd.choices(vocabulary, k=20)])))
+            docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+            ids = {w: k for k, w in enumerate(vocabulary)}
+            number = lambda t: np.array([ids[w] for w in t.split()])
+            want = {(d, i) for (d, text) in rows for (i, item) in items if (d == i or rnd.random() < 0.02) and D.align(number(item), number(text))[0] >= D.MATCH * words * D.THRESHOLD}
+            found = {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()}
+            assert len(want) > 100 and len(found & want) >= 0.95 * len(want), (words, share, len(found & want), len(want))
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs, items, _ = corpus(random.Random(4), spark)
     whole = sorted(map(tuple, D.matches(docs, items).select("doc_id", "item_id").collect()))
@@ -110,6 +131,8 @@ def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "same text here and there again"), (4, "same text here and there again"), (None, "row without an id, long enough for")], "item_id long, text string")
     got = sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in D.matches(odd, items).collect())
     assert got == [(0, 0), (7, 4), (7, 4), (8, 4)]
+    short = spark.createDataFrame([(1, "Word!"), (2, "and again"), (3, "there again"), (4, "...")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in D.matches(odd, short).collect()) == [(4, 1, 1.0), (7, 3, 1.0), (7, 3, 1.0), (8, 3, 1.0)]
     assert D.matches(none, items).count() == 0 and D.matches(odd, items.limit(0)).count() == 0
     left = D.clean(odd, items)
     assert left.columns == odd.columns and left.count() == odd.count() - 4 and D.clean(none, items).count() == 0
