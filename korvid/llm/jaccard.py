@@ -1,20 +1,26 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups its links form.
 
 A document is the set of its word shingles.  Sizes are cut into bands; within
-a band two sets that are similar enough differ in a bounded number of
-shingles.  The shingle domain is split, by hash, into more partitions than
-that number, and the enumerated signatures are the partitions' contents (the
-subsets of size one): two similar sets must agree on at least one partition
-that isn't empty, because every difference spoils one partition at most.
+a band two sets that are similar enough differ in a bounded number ``k`` of
+shingles.  The shingle domain is split, by hash, into first-level groups of
+``PARTS`` partitions each; for every group the subsets of ``PARTS - 1`` of its
+partitions are enumerated, and a signature is the content of such a subset.
+A difference spoils one partition, so a group goes on yielding a common
+signature until two of its partitions differ: about half as many groups as
+differences are enough.
 
 Exactness
-    A set takes part in the band of its size and in every larger band that a
-    similar set may be in.  There it may differ from a partner in at most
-    ``k`` shingles; it sends its first ``k + 1 + spare`` partitions that
-    aren't empty.  Of two similar sets, the first partition that both have
-    and that no difference touches is among those of both.  A set with too
-    few such partitions also sends the signatures of a prefix filter, so two
-    sets of that kind meet there.  Every candidate is verified on the sets.
+    A group is strong in a set if at least two of its partitions aren't
+    empty; then one difference leaves a subset that is whole and not empty,
+    and a common signature.  A set takes part in the band of its size and in
+    every larger band that a similar set may be in.  It sends all its groups
+    up to its ``need``-th strong one, ``need`` being half of ``k + spare +
+    1``.  Of two similar sets, take the one that stops first: all its strong
+    groups are sent by the other too, and ``k`` differences leave at least
+    ``2 * need - k``, that is ``spare + 1``, common signatures.  A set with
+    too few strong groups sends all groups and the signatures of a prefix
+    filter, so two sets of that kind meet there.  Every candidate is verified
+    on the sets.
 Common signatures
     A signature shared by few sets makes all its pairs candidates; since
     similar sets agree on ``spare + 1`` signatures, pairs that share fewer
@@ -36,15 +42,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.storage import with_row_index
 from . import blocks as B
 
 SHINGLE = 5
 #: Similarity as a fraction: NUM / DEN.
 NUM, DEN = 80, 100
 BAND_RATIO = 1.5
+#: Partitions of a first-level group.
+PARTS = 3
 #: Sets that share a signature up to this number are all compared with each other.
 SMALL_GROUP = 12
 #: Signatures of a bucket, of which a task holds one at a time.
@@ -52,9 +62,15 @@ BUCKET_ROWS = 500_000
 #: Ids that are broadcast to find their documents; more are joined instead.
 MAX_IDS = 2_000_000
 STAR_ROUNDS = 1
+#: A set shares one signature more than one for each SPARE shingles with every similar one; it may do without one for each DROP.
+SPARE, DROP = 20, 25
 #: Tasks over which the members of one signature are dealt.
 SALTS = 16
+#: Ratio of the sizes that meet in one cell under a rare shingle.
+CELL_RATIO = 1.02
 _FLUSH = 300_000
+#: Links that a task contracts at once.
+_LINKS = 1_000_000
 _FALLBACK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,7 +97,7 @@ class Bands:
     def __init__(self, ratio: float = BAND_RATIO, num: int = NUM, den: int = DEN):
         self.num, self.den, self.ratio = num, den, ratio
         self.low = [1]
-        self.parts: list[int] = []
+        self.groups: list[int] = []
         self._plans: dict[int, list[tuple[int, int, int]]] = {}
 
     def most(self, size: int) -> int:
@@ -94,45 +110,47 @@ class Bands:
 
     @staticmethod
     def spare(size: int) -> int:
-        return -(-size // 16) + 1
+        return -(-size // SPARE)
 
     @staticmethod
     def may_drop(size: int) -> int:
         """Common signatures that a set may do without: no more than any similar set has to spare."""
-        return size // 20
+        return size // DROP
+
+    def need(self, size: int, high: int) -> int:
+        """Strong groups that a set must send in a band that ends at ``high``."""
+        return -(-(self.differ(size, min(high, self.most(size))) + self.spare(size) + 1) // 2)
 
     def _grow(self, size: int) -> None:
         while self.low[-1] <= size:
             a = self.low[-1]
             b = max(a + 1, int(a * self.ratio))
             self.low.append(b)
-            self.parts.append(self._partitions(a, b - 1))
+            self.groups.append(self._groups(a, b - 1))
 
-    def _partitions(self, low: int, high: int) -> int:
-        """Least number of partitions of which sets of these sizes, and smaller similar ones, fill as many as they send, nearly always."""
+    def _groups(self, low: int, high: int) -> int:
+        """Least number of groups of which sets of these sizes, and smaller similar ones, have as many strong ones as they need, nearly always."""
         sizes = {low, high, max(1, -(-low * self.num // self.den))}
         n = 1
         while True:
             for m in sizes:
-                need = self.differ(m, min(high, self.most(m))) + 1 + self.spare(m)
-                full = n * (1 - (1 - 1 / n) ** m)
-                x = m / n
-                spread = np.sqrt(max(n * np.exp(-x) * (1 - (1 + x) * np.exp(-x)), 0))
-                if full - 2.5 * spread < need and n < 2 * m:
+                full = 1 - np.exp(-m / (PARTS * n))
+                strong = 1 - (1 - full) ** PARTS - PARTS * full * (1 - full) ** (PARTS - 1)
+                if n * strong - 2.5 * np.sqrt(n * strong * (1 - strong)) < self.need(m, high) and PARTS * n < 2 * m:
                     break
             else:
                 return n
             n = max(n + 1, int(n * 1.02))
 
     def plan(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, partitions, signatures to send) of each band in which a set of this size takes part."""
+        """(band, groups, strong groups to send) of each band in which a set of this size takes part."""
         if size not in self._plans:
             self._grow(self.most(size))
             out = []
-            for k in range(len(self.parts)):
+            for k in range(len(self.groups)):
                 low, high = self.low[k], self.low[k + 1] - 1
                 if high >= size and low <= self.most(size):
-                    out.append((k, self.parts[k], self.differ(size, min(high, self.most(size))) + 1 + self.spare(size)))
+                    out.append((k, self.groups[k], self.need(size, high)))
             self._plans[size] = out
         return self._plans[size]
 
@@ -141,16 +159,25 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], bo
     """The signatures of a set, and whether it had to fall back on prefixes in some band."""
     out, fallback = [], False
     scrambled = B.mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    for band, parts, send in bands.plan(len(shingles)):
+    for band, groups, need in bands.plan(len(shingles)):
         seed = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        part = (B.mix(shingles + seed) % np.uint64(parts)).astype(np.int64)
+        part = (B.mix(shingles + seed) % np.uint64(PARTS * groups)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         ordered = part[order]
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        sums = np.add.reduceat(scrambled[order], start)
-        if len(start) < send:
-            fallback = True
-        out.append(B.mix(sums + seed + ordered[start].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:send])
+        content = np.zeros(PARTS * groups, dtype=np.uint64)  # of each partition; 0 is empty
+        content[ordered[start]] = B.mix(np.add.reduceat(scrambled[order], start) + seed) | np.uint64(1)
+        content = content.reshape(groups, PARTS)
+        strong = np.cumsum((content != 0).sum(1) >= 2)
+        if strong[-1] < need:
+            fallback, sent = True, groups
+        else:
+            sent = int(np.searchsorted(strong, need)) + 1
+        content = content[:sent]
+        whole = (content * B.PLACE[:PARTS]).sum(1, dtype=np.uint64) + np.arange(sent, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for left_out in range(PARTS):  # the subsets of all partitions but one
+            rest = np.delete(content, left_out, axis=1).any(1)
+            out.append(B.mix(whole - content[:, left_out] * B.PLACE[left_out] + B.PLACE[PARTS + left_out] + seed)[rest])
     if fallback:
         m = len(shingles)
         out.append(B.mix(shingles[: m - -(-m * bands.num // bands.den) + 1] + _FALLBACK))
@@ -280,9 +307,10 @@ def candidates(table: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles) of the documents named in ``ids`` (doc_id): six bytes of each shingle hash, sorted.
+    """(doc_id, shingles) of the documents named in ``ids`` (doc_id): six bytes of each shingle hash, sorted; a row for each different set.
 
-    Up to MAX_IDS ids are broadcast and texts stay where they are; more are joined.
+    Up to MAX_IDS ids are broadcast and texts stay where they are; more are
+    joined.  That changes the plan only, never the rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = ids.count()
@@ -303,7 +331,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
                 out = [np.unique(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(block, n)]
                 yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
 
-    return rows.transform(B.arrow, run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return rows.transform(B.arrow, run, "doc_id long, shingles binary").distinct()
 
 
 def _set(packed: bytes) -> np.ndarray:
@@ -338,16 +366,58 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").transform(B.arrow, run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").transform(B.arrow, run, "a long, b long").distinct()
+
+
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of the links but the smallest of its component: the node, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for x in (u, v):
+            np.minimum.at(new, label[x], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, that connect what ``links`` (a, b) connect: those of a task are contracted there, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            u, v = _contracted(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            if sum(len(x) for x, _ in held) >= _LINKS:
+                yield out()
+        if held:
+            yield out()
+
+    return links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").transform(B.arrow, run, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of ``links`` (a, b) the smallest node it is connected with.
 
-    Large-star and small-star steps alternate until nothing changes; every
-    step is cut off in the shared folder.
+    Each task contracts its own links first; then large-star and small-star
+    steps alternate until nothing changes.  Every step is cut off in the
+    shared folder.  The smallest neighbours are written before they are joined
+    with the links, so the two sides of that join are plain exchanges, and
+    Spark splits the key of a node that very many are linked with.
     """
-    edges = B.cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = B.cut(forest(links).distinct())
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -355,9 +425,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = tuple(now)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = B.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = B.cut(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = B.cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = B.cut(small.where("u <> v").distinct())
@@ -367,9 +437,9 @@ def components(links: DataFrame) -> DataFrame:
 def sized(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) whose sets' sizes allow them to be similar, with the sizes and counts of ``info`` for both."""
     for side in ("a", "b"):
-        own = info.select(F.col("doc_id").alias(side), F.col("_m").alias(f"_m{side}"), F.col("_h").alias(f"_h{side}"))
+        own = info.select(F.col("doc_id").alias(side), F.col("_m").alias(f"_m{side}"), F.col("_x").alias(f"_x{side}"), F.col("_h").alias(f"_h{side}"))
         pairs = pairs.join(own, side)
-    return pairs.where(DEN * F.least("_ma", "_mb") >= NUM * F.greatest("_ma", "_mb"))
+    return pairs.where((DEN * F.col("_xa") >= NUM * F.col("_mb")) & (DEN * F.col("_xb") >= NUM * F.col("_ma")))
 
 
 def salted(rows: DataFrame, few: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
@@ -385,7 +455,10 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFr
     Rarest first, similar sets share one of the first ``size - NUM / DEN *
     size + 1`` shingles of either, and at the first that they share enough of
     both must be left; so no link is lost.  A passage that many of these sets
-    hold is not among the rarest of any that has enough else.
+    hold is not among the rarest of any that has enough else.  What is left at
+    a shingle also bounds the sizes of the partners that can matter there: a
+    set meets only the cells of such sizes, so sets whose common passage comes
+    too late in either never make a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,23 +466,33 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame, n: int = SHINGLE) -> DataFr
             for k in range(0, batch.num_rows, 500):
                 sets = [_set(x) for x in batch.column(1)[k : k + 500].to_pylist()]
                 sizes = [len(x) for x in sets]
-                ids = batch.column(0)[k : k + 500].take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
-                columns = [ids, pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["b", "shingle", "_size"])
+                at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                own = [batch.column(c)[k : k + 500].take(at) for c in (0, 2)]
+                columns = [*own, pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "_k", "shingle", "_size"])
 
     packed = sets_of(docs, labels.select(F.col("b").alias("doc_id")), n)
-    rows = B.cut(packed.select("doc_id", "shingles").transform(B.arrow, run, "b long, shingle long, _size long"))
+    rows = B.cut(packed.select("doc_id", "shingles", F.xxhash64("shingles")).transform(B.arrow, run, "b long, _k long, shingle long, _size long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("_often")).where("_often > 1")
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("_often", "shingle"))
+    rank = F.row_number().over(Window.partitionBy("b", "_k").orderBy("_often", "shingle"))
     ranked = salted(rows, often, ["shingle"], "b", "left").withColumn("_rank", rank)  # null: in one set only, the rarest
     send = F.expr(f"_size - (_size * {NUM} + {DEN - 1}) div {DEN} + 1")
     sent = ranked.where((F.col("_rank") <= send) & F.col("_often").isNotNull()).join(labels, "b")
-    sent = B.cut(sent.select("shingle", "b", "_c", "_size", "_rank"))
-    one = sent.select("shingle", F.col("b").alias("a"), F.col("_c").alias("_d"), F.col("_size").alias("_other"), F.col("_rank").alias("_place"))
-    # at the first shingle that two sets share, what is left of both bounds what they can share
-    least = F.expr(f"({NUM} * (_size + _other) + {NUM + DEN - 1}) div {NUM + DEN}")
-    near = (F.col("_c") != F.col("_d")) & (F.col("a") < F.col("b")) & (F.least(F.col("_size") - F.col("_rank"), F.col("_other") - F.col("_place")) + 1 >= least)
-    return one.join(sent, "shingle").where(near).select("a", "b").distinct()
+    sent = B.cut(sent.select("shingle", "b", "_c", "_size", (F.col("_size") - F.col("_rank") + 1).alias("_left")))
+    apart = sent.groupBy("shingle").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where("_low <> _high").select("shingle")
+    sent = B.cut(salted(sent, apart, ["shingle"], "b"))
+
+    def cell(size: str) -> Column:
+        return F.floor(F.log(F.expr(size).cast("double")) / float(np.log(CELL_RATIO))).cast("int")
+
+    # the larger set of a pair goes to the cells of the partners that what it has left allows; the smaller one has a cell
+    lowest, highest = f"(_size * {NUM} + {DEN - 1}) div {DEN}", f"least(_size, (_left * {NUM + DEN}) div {NUM} - _size)"
+    larger = sent.where(F.expr(f"{highest} >= {lowest}")).withColumn("_cell", F.explode(F.sequence(cell(lowest), cell(highest))))
+    larger = larger.select("shingle", "_cell", F.col("b").alias("a"), F.col("_c").alias("_d"), F.col("_size").alias("_other"), F.col("_left").alias("_rest"))
+    smaller = sent.where(f"_left * {NUM + DEN} >= {2 * NUM} * _size").withColumn("_cell", cell("_size"))
+    enough = (NUM + DEN) * F.least("_left", "_rest") >= NUM * (F.col("_size") + F.col("_other"))
+    near = (F.col("_c") != F.col("_d")) & (F.col("_size") <= F.col("_other")) & enough
+    return larger.join(smaller, ["shingle", "_cell"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def undroppable(members: DataFrame, info: DataFrame) -> DataFrame:
@@ -423,7 +506,7 @@ def undroppable(members: DataFrame, info: DataFrame) -> DataFrame:
     own = info.select(F.col("doc_id").alias("b"), "_m", "_h", "_flag")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("_often"), "sig"))
     ranked = salted(members, often, ["sig"], "b").join(own, "b").withColumn("_rank", rank)
-    return ranked.where(F.col("_flag") | (F.col("_rank") > F.expr("_m div 20"))).select("sig", "b", "_h")
+    return ranked.where(F.col("_flag") | (F.col("_rank") > F.expr(f"_m div {DROP}"))).select("sig", "b", "_h")
 
 
 def likely(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -435,7 +518,7 @@ def likely(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """
     counted = sized(pairs.groupBy("a", "b").agg(F.sum("n").alias("_n"), F.max("flag").alias("_free")), info)
     least = F.least("_ma", "_mb")
-    spare = F.ceil(least / 16) + 1
+    spare = F.ceil(least / SPARE)
     return counted.where(F.col("_free") | (F.col("_n") + F.least("_ha", "_hb") >= spare + 1)).select("a", "b")
 
 
@@ -445,11 +528,22 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     Documents link when their shingle sets' Jaccard similarity is at least
     NUM / DEN; component_id is the smallest id that links lead to, the
     document's own included.  Null, empty and blank texts have no shingles and
-    link with nothing.  Rows with the same id are one document; if their texts
-    differ, one of them is compared.  A row without an id gets no component.  An empty table
-    gives an empty table; other columns are neither read nor returned.
+    link with nothing.  Rows with the same id are one document: if their texts
+    differ, it links with whatever any of them links with, and each row has
+    its own size.  Ids may be of any type that has an order; those that aren't
+    integers are numbered in that order first.  A row without an id gets no
+    component.  An empty table gives an empty table; other columns are neither
+    read nor returned.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        ids = docs.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+        ids = B.cut(with_row_index(ids, "_id", name="_n"))
+        rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select(F.col("_n").alias("doc_id"), "text")
+        own, group = (ids.select(F.col("_n").alias(n), F.col("_id").alias(i)) for n, i in (("doc_id", "_own"), ("component_id", "_group")))
+        return join(rows, n).join(own, "doc_id", "left").join(group, "component_id", "left").select(
+            F.col("_own").alias("doc_id"), "n_shingles", F.col("_group").alias("component_id")
+        )
     known = B.cut(sizes(docs, n))
     classes = known.where(F.col("hi").isNotNull() & F.col("doc_id").isNotNull()).groupBy("hi", "lo")
     classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
@@ -463,12 +557,12 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     common = found.where(F.col("sig").isNotNull())
     counts = common.groupBy("b").agg(F.count("*").alias("_h"), F.max("flag").alias("_flag"))
-    info = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("n_shingles").alias("_m"))
-    info = B.cut(info.join(counts, info["doc_id"] == counts["b"], "left").select("doc_id", "_m", F.coalesce("_h", F.lit(0)).alias("_h"), F.coalesce("_flag", F.lit(False)).alias("_flag")))
+    info = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("n_shingles").alias("_m"), F.max("n_shingles").alias("_x"))
+    info = B.cut(info.join(counts, info["doc_id"] == counts["b"], "left").select("doc_id", "_m", "_x", F.coalesce("_h", F.lit(0)).alias("_h"), F.coalesce("_flag", F.lit(False)).alias("_flag")))
 
     links = B.cut(verified(docs, likely(found.where(F.col("sig").isNull()), info), n))
     groups = components(links.unionByName(same))
-    stuck = info.where(F.col("_flag") | (F.col("_h") > F.expr("_m div 20"))).select(F.col("doc_id").alias("b"))
+    stuck = info.where(F.col("_flag") | (F.col("_h") > F.expr(f"_m div {DROP}"))).select(F.col("doc_id").alias("b"))
     members = B.cut(undroppable(common.select("sig", "b").join(stuck, "b", "left_semi"), info))
     for turn in range(STAR_ROUNDS + 1):
         label = groups.select(F.col("node").alias("b"), F.col("component").alias("_c"))
