@@ -1,12 +1,20 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The pre-tokens of a block of documents form one pool: every distinct word is
-laid out once, as a chain of byte tokens, and an inverted index leads from
-the rank of a token pair to all places in all words where that pair stands.
-Ranks are taken in order, all places of one rank at once; a merge touches
-only its two neighbours, whose new pairs enter the index.  Documents are then put together from the words'
-ids.  A pool holds one block's new words, so memory is bounded; a bounded
-cache of encoded words is kept between blocks.
+Tasks split texts into words and cut them into chunks; of a chunk, its words
+travel once each, dealt by their hash into parts, and its documents as
+sequences of word numbers.  Each part is a pool of all words of the corpus
+that fall into it: every distinct word is laid out once, as a chain of byte
+tokens, and an inverted index leads from the rank of a token pair to all
+places in all words where that pair stands.  Ranks are taken in order, all
+places of one rank at once; a merge touches only its two neighbours, whose
+new pairs enter the index.  The words' ids go back to the chunks that asked
+for them, and documents are put together there.
+
+A document crosses the network twice, as packed word numbers; a word's merges
+are replayed once, however many documents have it.  Rows that are lost with an
+executor are made again from the input, which must give its rows in the same
+order then, as files do: a chunk's number holds a digest of its content, and
+answers that don't belong to it are an error, never a wrong result.
 """
 
 from __future__ import annotations
@@ -14,18 +22,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Words kept between blocks before they age (twice as many at most), and bytes of text of a block.
-CACHE_WORDS = 120_000
-POOL_BYTES = 4 << 20
+#: Bytes of text of a chunk, of the texts that a part has the words of, and of the words that are laid out at once.
+CHUNK_BYTES, PART_BYTES, POOL_BYTES = 8 << 20, 32 << 20, 4 << 20
+#: Most parts, so that a chunk's words stay packed; a part holds its distinct words only, however many texts have them.
+MOST_PARTS = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,34 +47,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class _Cache(dict):
-    """Encoded words in two generations: one that is used moves to the young one, and the old one is dropped as a whole."""
-
-    def __init__(self, limit: int):
-        self.old: dict[str, str] = {}
-        self.limit = limit
-
-    def __missing__(self, word: str) -> str:
-        ids = self[word] = self.old[word]
-        return ids
-
-    def age(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
-
-    def unknown(self, words: set[str]) -> set[str]:
-        return words - self.keys() - self.old.keys()
-
-
 class Codec:
     """Encoder and decoder for one rank table and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.token = {str(i): t for t, i in ranks.items()}
@@ -76,7 +65,6 @@ class Codec:
         self.keys = np.array(sorted(self.pair), dtype=np.int64)
         self.ranks = np.array([self.pair[k] for k in self.keys.tolist()], dtype=np.int32)
         self.text_of = {i: str(i) for i in ranks.values()}
-        self.cache = _Cache(cache_words)
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 where they don't merge."""
@@ -181,22 +169,33 @@ class Codec:
             ids[k : k + 2] = [r]
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Put words into the cache, by one replay."""
-        new = list(words)
-        for w, ids in zip(new, self.replay([w.encode() for w in new])):
-            self.cache[w] = " ".join(map(self.text_of.__getitem__, ids))
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word as 32-bit numbers; a pool is laid out for every few MB of words."""
+        out: dict[bytes, bytes] = {}
+        i = 0
+        while i < len(words):
+            j, size = i, 0
+            while j < len(words) and (j == i or size + len(words[j]) <= POOL_BYTES):
+                size += len(words[j])
+                j += 1
+            for w, ids in zip(words[i:j], self.replay(words[i:j])):
+                out[w] = np.array(ids, dtype=np.uint32).tobytes()
+            i = j
+        return out
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Decimal ids, joined by blanks, of words that have ``counts`` of them."""
+        texts = list(map(self.text_of.__getitem__, ids.tolist()))
+        ends = np.cumsum(counts).tolist()
+        return [" ".join(texts[a:b]) for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by blanks."""
         split = [self.pattern.findall(t) for t in texts]
-        self.cache.age()
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        self.learn(self.cache.unknown(new))
-        get = self.cache.__getitem__
-        return [" ".join(map(get, words)) for words in split]
+        words = list({w for ws in split for w in ws})
+        known = self.learn([w.encode() for w in words])
+        found = {w: " ".join(map(self.text_of.__getitem__, np.frombuffer(known[w.encode()], np.uint32).tolist())) for w in words}
+        return [" ".join(map(found.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.split(" "))) if ids else b""
@@ -212,35 +211,142 @@ def _codec(path: str, pattern: str, ranks: dict[bytes, int] | None = None) -> Co
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
+class Chunk:
+    """Documents as numbers of words, the commonest first, and those words dealt into parts."""
+
+    def __init__(self, codec: Codec, texts: list[str], parts: int):
+        split = [codec.pattern.findall(t) for t in texts]
+        self.lengths = np.array([len(ws) for ws in split], dtype=np.uint32)
+        first: dict[str, int] = {}
+        flat = np.fromiter((first.setdefault(w, len(first)) for ws in split for w in ws), dtype=np.int64, count=int(self.lengths.sum()))
+        words = sorted(first)
+        old = np.fromiter(map(first.__getitem__, words), dtype=np.int64, count=len(words))
+        order = np.argsort(-np.bincount(flat, minlength=len(words))[old], kind="stable")
+        number = np.empty(len(words), dtype=np.uint32)
+        number[old[order]] = np.arange(len(words), dtype=np.uint32)
+        self.numbers = number[flat]
+        self.words = [words[i].encode() for i in order.tolist()]
+        self.part = np.fromiter((zlib.crc32(w) % parts for w in self.words), dtype=np.uint16, count=len(words))
+
+    def requests(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(part, words, their lengths) of each part that has any."""
+        order = np.argsort(self.part, kind="stable")
+        edge = np.flatnonzero(np.diff(self.part[order])) + 1
+        for own in np.split(order, edge) if len(order) else ():
+            words = [self.words[i] for i in own.tolist()]
+            yield int(self.part[own[0]]), B.pack(np.frombuffer(b"".join(words), np.uint8)), B.pack(np.array([len(w) for w in words], dtype=np.uint32))
+
+
+def _unjoined(words: bytes, lengths: bytes) -> list[bytes]:
+    data, ends = B.unpack(words, np.uint8).tobytes(), np.cumsum(B.unpack(lengths, np.uint32)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: bool = False) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     ``ids`` holds the decimal ids joined by blanks.  A null or empty text has
     no tokens; repeated rows are encoded alike; an empty table gives an empty
     table.  ``path`` names a rank file that the driver reads (about 50,000
     entries; at most a few MB); its ranks are broadcast.  Other columns are
-    neither read nor returned.
+    neither read nor returned, but with ``keep`` all come along, except those
+    named like the added ones, which are replaced.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _CODECS.get((path, pattern)) or _codec(path, pattern, ranks.value)
-        for block in B.blocks(batches, limit=POOL_BYTES):
-            joined = codec.encode([block.text(i).decode("utf-8", "replace") for i in range(len(block))])
-            n = [j.count(" ") + 1 if j else 0 for j in joined]
-            digest = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
-            back = [hashlib.sha256(codec.decode(j)).hexdigest() for j in joined]
-            columns = [block.batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                columns.append(pa.array(joined, pa.string()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        codec.cache.forget()  # the worker lives on and may do other things next
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids
-    return docs.select("doc_id", "text").transform(B.arrow, run, schema)
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
+    carried = docs.drop(*added) if keep else docs.select("doc_id")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(min(max(1, -(-total // PART_BYTES)), MOST_PARTS))
+    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried.schema.fields)])
+    binary = [T.StructField(n, T.BinaryType()) for n in ("a", "b", "c")]
+    schema = T.StructType(
+        [T.StructField("key", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.ArrayType(row)), *binary]
+    )
+    names, out_names = schema.names, carried.columns + added
+    width, chunk_bytes = len(row), CHUNK_BYTES
+
+    def codec() -> Codec:
+        return _CODECS.get((path, pattern)) or _codec(path, pattern, ranks.value)
+
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks: a row of documents with key below 0, and a row of words for each part."""
+        texts: list[str] = []
+        rows: list[pa.StructArray] = []
+        held = done = 0
+
+        def out() -> pa.RecordBatch:
+            chunk = Chunk(codec(), texts, parts)
+            body = [B.pack(x) for x in (chunk.numbers, chunk.lengths, chunk.part)]
+            number = hashlib.blake2b(b"".join(body), digest_size=8, key=f"{TaskContext.get().partitionId()}/{done}".encode()).digest()
+            own = int.from_bytes(number, "little") >> 1
+            asked = list(chunk.requests())
+            struct = pa.concat_arrays(rows)
+            lists = pa.ListArray.from_arrays(pa.array([0] + [len(struct)] * (1 + len(asked)), pa.int32()), struct)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1 - own, *(p for p, _, _ in asked)], pa.int64()), pa.array([own] * (1 + len(asked)), pa.int64()),
+                    pa.array([-1, *(p for p, _, _ in asked)], pa.int32()), lists, pa.array([body[0], *(w for _, w, _ in asked)], pa.binary()),
+                    pa.array([body[1], *(n for _, _, n in asked)], pa.binary()), pa.array([body[2]] + [None] * len(asked), pa.binary()),
+                ],
+                names=names,
+            )
+
+        for block in B.blocks(batches, "_korvid_text"):
+            texts += [block.text(i).decode("utf-8", "replace") for i in range(len(block))]
+            rows.append(pa.StructArray.from_arrays(block.batch.columns[:width], names=row.names))
+            held += len(block.data)
+            if held >= chunk_bytes:
+                yield out()
+                texts, rows, held, done = [], [], 0, done + 1
+        if texts:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of a part become their ids; documents pass."""
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            part = batch.column(2)
+            if not batch.num_rows or part[0].as_py() < 0:
+                yield batch
+                continue
+            asked = [_unjoined(w, n) for w, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            known |= codec().learn(list({w for words in asked for w in words} - known.keys()))
+            answers = [[known[w] for w in words] for words in asked]
+            found = [B.pack(np.frombuffer(b"".join(x), np.uint32)) for x in answers]
+            counts = [B.pack(np.array([len(x) // 4 for x in own], dtype=np.uint32)) for own in answers]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary()), pa.array(counts, pa.binary()), batch.column(6)], names=names)
+
+    def together(table: pa.Table) -> pa.Table:
+        """The documents of a chunk from the ids of its words."""
+        own, part = codec(), table.column("part").to_pylist()
+        a, b = (table.column(c).to_pylist() for c in ("a", "b"))
+        if part.count(-1) != 1:
+            raise RuntimeError("a chunk's documents and words don't belong together: its input isn't the same when read again")
+        d = part.index(-1)
+        numbers, lengths, of = B.unpack(a[d], np.uint32), B.unpack(b[d], np.uint32), B.unpack(table.column("c")[d].as_py(), np.uint16)
+        word, count = np.full(len(of), None, dtype=object), np.zeros(len(of), dtype=np.int64)
+        for k, p in enumerate(part):
+            if p >= 0:
+                at, n = np.flatnonzero(of == p), B.unpack(b[k], np.uint32)
+                word[at] = np.array(own.join(B.unpack(a[k], np.uint32), n), dtype=object)
+                count[at] = n
+        if len(of) and not count.all():
+            raise RuntimeError("a chunk's documents and words don't belong together: its input isn't the same when read again")
+        ends = np.cumsum(lengths, dtype=np.int64)
+        run = np.concatenate([[0], np.cumsum(count[numbers])])
+        tokens = run[ends] - run[ends - lengths]
+        get, flat = word.tolist().__getitem__, numbers.tolist()
+        joined = [" ".join(map(get, flat[e - n : e])) for e, n in zip(ends.tolist(), lengths.tolist())]
+        digest = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
+        back = [hashlib.sha256(own.decode(j)).hexdigest() for j in joined]
+        columns = pa.concat_arrays(table.column("rows").chunks).slice(d, 1).flatten().flatten()
+        columns += [pa.array(tokens, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+        return pa.Table.from_arrays(columns + [pa.array(joined, pa.string())] * ids, names=out_names)
+
+    out = T.StructType([*carried.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in added[1:])])
+    shredded = docs.select(*carried.columns, F.col("text").alias("_korvid_text")).transform(B.arrow, shred, schema)
+    merged = shredded.groupBy("key").applyInArrow(merge, schema)
+    return merged.groupBy("chunk").applyInArrow(together, out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import public_tokenizers as P
 import tiktoken
@@ -21,7 +22,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(bpe.load_ranks(PATH), P.PATTERN, cache_words=50)
+    return bpe.Codec(bpe.load_ranks(PATH), P.PATTERN)
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,11 +49,29 @@ def test_a_pair_of_lower_rank_comes_up_late():
     assert codec.encode(texts) == [" ".join(map(str, other.encode_ordinary(t))) for t in texts]
 
 
-def test_words_age_out_of_the_cache():
-    codec = bpe.Codec(bpe.load_ranks(PATH), P.PATTERN, cache_words=50)
-    for k in range(20):
-        codec.encode([" ".join(f"w{k}x{i}" for i in range(40))])
-        assert len(codec.cache) + len(codec.cache.old) <= 2 * (50 + 100)
+def test_chunks_and_parts(spark, docs, reference, monkeypatch):
+    """Many chunks and parts give the same ids; a word that many chunks have is replayed once a part."""
+    some = docs.select("doc_id", "text").limit(300).unionAll(docs.select("doc_id", "text").limit(20))
+    want = sorted((r["doc_id"], " ".join(map(str, reference.encode_ordinary(r["text"])))) for r in some.collect())
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PART_BYTES", 50_000)
+    got = bpe.encode(some.repartition(3), PATH, P.PATTERN)
+    assert sorted((r["doc_id"], r["ids"]) for r in got.collect()) == want
+
+
+def test_a_pool_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "POOL_BYTES", 10)
+    codec = bpe.Codec(bpe.load_ranks(PATH), P.PATTERN)
+    words = [b"harbour", b"lighthouse keeper", b"a", "\u00e9t\u00e9".encode(), b"of"]
+    apart = [codec.replay_word(w) for w in words]
+    assert [list(map(int, x)) for x in (np.frombuffer(codec.learn(words)[w], np.uint32) for w in words)] == apart
+
+
+def test_other_columns_come_along(odd, docs):
+    got = bpe.encode(odd.withColumn("ids", odd["lang"]), PATH, P.PATTERN, keep=True)
+    assert got.columns == [*odd.columns, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert sorted(map(repr, got.select(odd.columns).collect())) == sorted(map(repr, odd.collect()))
+    assert got.where("ids RLIKE '[a-z]'").count() == 0
 
 
 def test_documents(spark, docs, reference):
