@@ -34,7 +34,8 @@ def test_stages(spark):
             hit = {r["doc_id"] for r in decontamination.matches(frame, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
             assert set(after) == set(before) - hit
         if k == 4:
-            assert set(after) == set(before) and all(r["n_tokens"] == len(r["ids"].split()) for r in after.values())
+            assert set(after) == set(before) and all(r["n_tokens"] == len(r["ids"].split()) and r["text"] == before[i]["text"] for i, r in after.items())
+            assert docs.columns[: len(columns)] == columns
     assert len(names) == 5 and P.run(spark, SMALL).count() == len(after)
 
 
@@ -44,3 +45,20 @@ def test_empty_tables(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
     assert P.STAGES[-1][1](spark, docs, SMALL).count() == 0
+
+
+def test_odd_rows(spark, odd):
+    """Nulls, repeated rows, repeated ids with different texts, and columns named like results pass every stage whole."""
+    more = spark.createDataFrame([(7, "another text under an id that is there", "en", "a", 38, "s", "p", "k", "c")], odd.schema)
+    docs = odd.unionByName(more)
+    for k, (_, stage) in enumerate(P.STAGES):
+        before = docs.collect()
+        docs = blocks.cut(stage(spark, docs, SMALL))
+        after = docs.collect()
+        assert docs.columns[: len(odd.columns)] == odd.columns
+        assert all(r["kept_by"] == "k" and r["component_id"] == "c" and r["score"] == "s" for r in after)
+        if k == 1:
+            assert sum(r["doc_id"] == 7 for r in after) == len({r["text"] for r in before if r["doc_id"] == 7})
+            assert all(r["doc_id"] != 8 for r in after) or all(r["doc_id"] != 7 for r in before)
+        else:
+            assert {r["text"] for r in before if r["text"] is None} == {r["text"] for r in after if r["text"] is None}
