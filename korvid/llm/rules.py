@@ -1,47 +1,52 @@
-"""Quality rules: base counts, and perplexity bands from an n-gram model of bytes.
+"""Quality rules: base counts, and perplexity bands from an n-gram model of characters.
 
-Spark counts all n-grams of ``LONG`` bytes of the corpus, unfolded; a modified
-Kneser-Ney model is made of the counts; every text gets its perplexity; and
-for each language a text outside the band between a lower and an upper
-perplexity is rejected.
+Spark counts all n-grams of ``LONG`` characters of the corpus; a modified
+Kneser-Ney model is made of the counts, as sorted arrays of n-gram keys that
+are looked up by search; every text gets its perplexity; and for each language
+a text outside the band between a lower and an upper perplexity is rejected.
 
 The model grows with the corpus, so no machine holds it.  Texts are dealt into
 chunks; each chunk asks for its different n-grams, and the requests, dealt by
-the bytes before the last, are the counts and carry the answers back.  N-grams
-that end alike but for the last byte are together, so a part of the model can
-be made without the others.  A text would find all its own n-grams in a model
-that learned from it, noise or not: so there are two, each of one half of the
-texts, and each answers the other half.  Below ``FOLDED`` bytes the model rests on
-n-grams of folded characters, of which there are ``ALPHABET ** ORDER`` at
-most: only these reach the driver and are broadcast.  A larger model also
-learns the junk of the corpus better, so what the folded n-grams alone find
-far off is rejected too.
+a hash of the characters before the last, are the counts and carry the answers
+back.  N-grams that end alike but for the last character are together, so a
+part of the model can be made without the others.  A text would find all its
+own n-grams in a model that learned from it, noise or not: so there are two,
+each of one half of the texts, and each answers the other half.  Below
+``SHORT`` characters the model rests on n-grams of folded characters, of which
+there are ``ALPHABET ** ORDER`` at most: only these reach the driver and are
+broadcast.  A larger model also learns the junk of the corpus better, so what
+the folded n-grams alone find far off is rejected too.
+
+One model serves all languages: given the characters before, it knows which
+language it reads, and texts without a language need no model of their own.
+The bands are those of each language.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
+#: Characters of the longest folded n-grams.
 ORDER = 4
-#: Bytes of the longest n-grams, and of the shortest that are unfolded.
-LONG, FOLDED = 5, 4
-#: Bytes of text of a chunk, and of the texts that a part of the model is made of.
-CHUNK_BYTES, PART_BYTES = 8 << 20, 32 << 20
+#: Characters of the longest n-grams, and of the shortest that are unfolded.
+LONG, SHORT = 5, 4
+#: Bits of a character in a key: code points up to ``PLAIN`` have a number of their own, others share what is left by hash.
+BITS, PLAIN = 12, 1280
+#: Characters of text of a chunk, and of the texts that a part of the model is made of.
+CHUNK_CHARS, PART_CHARS = 8 << 20, 32 << 20
 #: Interquartile ranges by which a band reaches beyond the quartiles of its language.
 LOWER_REACH, UPPER_REACH = 3.0, 3.5
 #: Documents of fewer words don't shape a band (they fail the base rules anyway).
 MIN_WORDS = 50
-#: Bands that are broadcast; more are joined by shuffling.
+#: Bands that are broadcast; more are joined by shuffling, which changes the plan and no row.
 MAX_LANGUAGES = 10_000
 #: Words of a text from which on a band isn't widened.
 USUAL_WORDS = 250
@@ -49,21 +54,21 @@ USUAL_WORDS = 250
 # The symbols of the base rule.
 SYMBOLS = "[#*$%&|<>]".strip("[]")
 
-_CLASS = np.zeros(256, dtype=np.int64)
+#: The class of each character number; 0 stands before a document.
+_CLASS = np.zeros(1 << BITS, dtype=np.int64)
 
 
 def _alphabet() -> int:
-    """Fill the class of each byte; letters of either case stay apart as 26 lower-case classes and one for capitals."""
-    _CLASS[:] = 1
+    """Fill the class of each number; ASCII letters are 26 lower-case classes and one for capitals, all beyond ASCII falls into eight."""
+    _CLASS[1:] = 1
     n = 2
     for group in [b" \t\r\x0b\x0c", b"\n", b"0123456789", bytes(range(65, 91)), b".", b",", b"!?", b";:", b"'\"`", SYMBOLS.encode(), b"()[]{}", b"-_/\\"]:
-        _CLASS[list(group)] = n
+        _CLASS[np.array(list(group)) + 1] = n
         n += 1
     for b in range(97, 123):
-        _CLASS[b] = n
+        _CLASS[b + 1] = n
         n += 1
-    _CLASS[0x80:0xC0] = n + np.arange(64) % 6  # continuation bytes
-    _CLASS[0xC0:0x100] = n + 6 + (np.arange(64) >= 32)  # lead bytes of two, and of more
+    _CLASS[0x81:] = n + np.arange(0x80, (1 << BITS) - 1) % 8
     return n + 8
 
 
@@ -74,38 +79,53 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
 
-def keys(block: B.Block) -> np.ndarray:
-    """The key of the n-gram that ends at each byte; class 0 stands before a document."""
-    n = len(block.data)
-    first = block.offs[:-1][np.diff(block.offs) > 0]
-    cls = _CLASS[block.data]
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) if n else np.zeros(0, np.int64)
-    key = cls.copy()
-    for k in range(1, ORDER):
-        back = np.zeros(n, dtype=np.int64)
-        back[k:] = cls[: n - k]
-        back[place < k] = 0
-        key += back * ALPHABET**k
+def numbers(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each character of a block, and the offsets of the documents among them."""
+    data = block.data
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.uint32)
+    more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32) & 0x3F
+    point = lead.copy()
+    for size, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        some = np.flatnonzero(lead >= low)
+        value = lead[some] & mask
+        for k in range(1, size):
+            value = value << 6 | more[at[some] + k]
+        point[some] = value
+    rest = np.uint64((1 << BITS) - PLAIN - 1)
+    out = np.where(point < PLAIN, point + 1, (B.mix(point.astype(np.uint64)) % rest).astype(np.uint32) + PLAIN + 1)
+    return out.astype(np.int64), np.searchsorted(at, block.offs)
+
+
+def keys(number: np.ndarray, offs: np.ndarray, order: int = LONG) -> np.ndarray:
+    """The key of the n-gram that ends at each character: ``BITS`` bits of each, the last one lowest; 0 stands before a document."""
+    n = len(number)
+    size = np.diff(offs)
+    place = np.arange(n) - np.repeat(offs[:-1], size)
+    key = number.astype(np.uint64)
+    for k in range(1, order):
+        back = number[: max(n - k, 0)].astype(np.uint64) << np.uint64(BITS * k)
+        key[k:] += np.where(place[k:] < k, np.uint64(0), back)
     return key
 
 
-def long_keys(block: B.Block) -> np.ndarray:
-    """The last ``LONG`` bytes at each byte as one number; zeros stand before a document (a zero byte counts as one)."""
-    n = len(block.data)
-    data = np.maximum(block.data, 1).astype(np.uint64)
-    first = block.offs[:-1][np.diff(block.offs) > 0]
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) if n else np.zeros(0, np.int64)
-    key = data.copy()
-    for k in range(1, LONG):
-        back = data[: max(n - k, 0)] << np.uint64(8 * k)
-        key[k:] += np.where(place[k:] < k, np.uint64(0), back)
-    return key
+def _last(key: np.ndarray, order: int) -> np.ndarray:
+    return key & np.uint64((1 << BITS * order) - 1)
+
+
+def folded(key: np.ndarray) -> np.ndarray:
+    """The folded n-gram at the end of each key."""
+    out = np.zeros(len(key), dtype=np.int64)
+    for k in range(ORDER):
+        out += _CLASS[_last(key >> np.uint64(BITS * k), 1).astype(np.int64)] * ALPHABET**k
+    return out
 
 
 @dataclass
 class KneserNey:
-    """Log2 probabilities of the seen n-grams and of all shorter back-offs, as sorted key arrays."""
+    """Log2 probabilities of the seen folded n-grams and of all shorter back-offs, as sorted key arrays; and of each character in its class."""
 
+    within: np.ndarray  # probability of each character number in its class
     keys: list[np.ndarray]  # for each order 1..ORDER: sorted keys
     logp: list[np.ndarray]
     context: list[np.ndarray]  # for each order 2..ORDER: sorted keys of contexts
@@ -129,13 +149,6 @@ class KneserNey:
             out[left[known]] += self.backoff[order - 2][at[known]]
         return out
 
-    def table(self) -> np.ndarray:
-        """A direct index over the arrays: log2 probability of every possible key (bounded, a few MB)."""
-        out = np.empty(ALPHABET**ORDER, dtype=np.float32)
-        for i in range(0, len(out), 1 << 18):
-            out[i : i + (1 << 18)] = self.lookup(np.arange(i, min(i + (1 << 18), len(out))))
-        return out
-
 
 def _discounts(c: np.ndarray) -> np.ndarray:
     """The modified Kneser-Ney discounts of counts 0, 1, 2, and 3 or more."""
@@ -144,13 +157,15 @@ def _discounts(c: np.ndarray) -> np.ndarray:
     return np.clip(np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), [0, 0.05, 0.1, 0.2], [0, 0.95, 1.9, 2.9])
 
 
-def kneser_ney(key: np.ndarray, count: np.ndarray) -> KneserNey:
-    """Modified Kneser-Ney (three discounts an order) from sorted distinct n-gram keys and their counts."""
+def kneser_ney(key: np.ndarray, count: np.ndarray, of_number: np.ndarray) -> KneserNey:
+    """Modified Kneser-Ney (three discounts an order) from sorted distinct folded n-grams, their counts, and how often each character number stands."""
+    of_class = np.bincount(_CLASS, of_number, minlength=ALPHABET)[_CLASS]
+    within = np.where(of_class > 0, of_number / np.maximum(of_class, 1), 1.0)
     levels = {ORDER: (key, count.astype(np.float64))}
     for order in range(ORDER - 1, 0, -1):  # how many different characters stand before each shorter n-gram
         k, c = np.unique(levels[order + 1][0] % ALPHABET**order, return_counts=True)
         levels[order] = (k, c.astype(np.float64))
-    model = KneserNey([], [], [], [])
+    model = KneserNey(within, [], [], [], [])
     lower_p: np.ndarray | None = None
     for order in range(1, ORDER + 1):
         k, c = levels[order]
@@ -177,107 +192,82 @@ def kneser_ney(key: np.ndarray, count: np.ndarray) -> KneserNey:
     return model
 
 
-def unfolded(key: np.ndarray, count: np.ndarray, ask: np.ndarray, table: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Log2 probabilities of the last bytes of the n-grams ``ask``, from the sorted distinct ``LONG``-byte n-grams of one part.
+def unfolded(key: np.ndarray, count: np.ndarray, ask: np.ndarray, model: KneserNey) -> np.ndarray:
+    """Log2 probabilities of the last characters of the n-grams ``ask``, from the sorted distinct n-grams of one part.
 
-    ``table`` has the probabilities of folded n-grams, ``within`` that of each
-    byte in its class.  All n-grams of a context are in the part, so its
-    probabilities add up to one; discounts are those of the part.
+    ``model`` has the folded n-grams.  All n-grams of a context are in the
+    part, so its probabilities add up to one; discounts are those of the part.
     """
-    cls = np.append(0, _CLASS[1:])
-
-    def last(k: np.ndarray, order: int) -> np.ndarray:
-        return k & np.uint64((1 << 8 * order) - 1)
 
     def base(k: np.ndarray) -> np.ndarray:
-        fold = np.zeros(len(k), dtype=np.int64)
-        for i in range(ORDER):
-            fold += cls[last(k >> np.uint64(8 * i), 1).astype(np.int64)] * ALPHABET**i
-        return np.exp2(table[fold].astype(np.float64)) * within[last(k, 1).astype(np.int64)]
+        return np.exp2(model.lookup(folded(k))) * model.within[_last(k, 1).astype(np.int64)]
 
     out = base(ask)
     if not len(key):
         return np.log2(out)
     levels = {LONG: (key, count.astype(np.float64))}
-    for order in range(LONG - 1, FOLDED - 1, -1):  # how many different bytes stand before each shorter n-gram
-        k, c = np.unique(last(levels[order + 1][0], order), return_counts=True)
+    for order in range(LONG - 1, SHORT - 1, -1):  # how many different characters stand before each shorter n-gram
+        k, c = np.unique(_last(levels[order + 1][0], order), return_counts=True)
         levels[order] = (k, c.astype(np.float64))
-    p = base(levels[FOLDED][0])
-    for order in range(FOLDED, LONG + 1):
+    p = base(levels[SHORT][0])
+    for order in range(SHORT, LONG + 1):
         k, c = levels[order]
         take = _discounts(c)[np.minimum(c, 3).astype(int)]
-        context, start = np.unique(k >> np.uint64(8), return_index=True)
+        context, start = np.unique(k >> np.uint64(BITS), return_index=True)
         total = np.add.reduceat(c, start)
         gamma = np.add.reduceat(take, start) / total
         of = np.repeat(np.arange(len(context)), np.diff(np.append(start, len(k))))
-        lower = p if order == FOLDED else p[np.searchsorted(levels[order - 1][0], last(k, order - 1))]
+        lower = p if order == SHORT else p[np.searchsorted(levels[order - 1][0], _last(k, order - 1))]
         p = (c - take) / total[of] + gamma[of] * lower
-        wanted = last(ask, order)
-        at = np.minimum(np.searchsorted(context, wanted >> np.uint64(8)), len(context) - 1)
-        out = np.where(context[at] == wanted >> np.uint64(8), gamma[at] * out, out)
+        wanted = _last(ask, order)
+        at = np.minimum(np.searchsorted(context, wanted >> np.uint64(BITS)), len(context) - 1)
+        out = np.where(context[at] == wanted >> np.uint64(BITS), gamma[at] * out, out)
         at = np.minimum(np.searchsorted(k, wanted), len(k) - 1)
         out = np.where(k[at] == wanted, p[at], out)
     return np.log2(out)
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """Counts (key, n) of all character n-grams of the texts: added up in each task, then over tasks."""
+def fit(docs: DataFrame) -> tuple[KneserNey | None, int]:
+    """The folded model of all texts (None if they have no character), and how many characters they have.
+
+    One pass; at most ``ALPHABET ** ORDER`` counts of n-grams and ``2 ** BITS``
+    of characters are added up in each task and reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**ORDER, dtype=np.int64)
+        own = np.zeros(1 << BITS, dtype=np.int64)
         for block in B.blocks(batches):
-            k, c = np.unique(keys(block), return_counts=True)
+            number, offs = numbers(block)
+            own += np.bincount(number, minlength=len(own))
+            k, c = np.unique(folded(keys(number, offs, ORDER)), return_counts=True)
             total[k] += c
-        k = np.flatnonzero(total)
-        for i in range(0, len(k), 100_000):
-            part = k[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["key", "n"])
-
-    return docs.select("text").transform(B.arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame) -> KneserNey | None:
-    """The folded model of all texts; None if they have no character.  At most ``ALPHABET ** ORDER`` counts reach the driver."""
-    found = count_ngrams(docs).toPandas()
-    if not len(found):
-        return None
-    key, count = found["key"].to_numpy(), found["n"].to_numpy()
+        k, number = np.flatnonzero(total), np.flatnonzero(own)
+        found, counts = np.concatenate([k, -1 - number]), np.concatenate([total[k], own[number]])
+        for i in range(0, len(found), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(found[part], pa.int64()), pa.array(counts[part], pa.int64())], names=["key", "n"])
+
+    rows = docs.select("text").transform(B.arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    key, count = rows["key"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+    of_number = np.zeros(1 << BITS, dtype=np.int64)
+    of_number[-1 - key[key < 0]] = count[key < 0]
+    key, count = key[key >= 0], count[key >= 0]
+    if not len(key):
+        return None, 0
     by = np.argsort(key)
-    return kneser_ney(key[by], count[by])
-
-
-def count_bytes(docs: DataFrame) -> np.ndarray:
-    """How often each byte stands in the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for block in B.blocks(batches):
-            total += np.bincount(np.maximum(block.data, 1), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["b", "n"])
-
-    out = np.zeros(256, dtype=np.int64)
-    for r in docs.select("text").transform(B.arrow, run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r["b"]] = r["n"]
-    return out
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
-
-
-def _unpack(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+    return kneser_ney(key[by], count[by], of_number), int(of_number.sum())
 
 
 def _parts(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings sorted keys by the part of their three bytes before the last, and where each part starts."""
-    part = (B.mix((key >> np.uint64(8)) & np.uint64((1 << 8 * (FOLDED - 1)) - 1)) % np.uint64(parts)).astype(np.int64)
+    """The order that brings sorted keys by the part of the ``SHORT - 1`` characters before the last, and where each part starts."""
+    part = (B.mix(_last(key >> np.uint64(BITS), SHORT - 1)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def _chunk_keys(table: pa.Table) -> np.ndarray:
-    found = [long_keys(block) for block in B.blocks(iter(table.to_batches()))]
+    found = [keys(*numbers(block)) for block in B.blocks(iter(table.to_batches()))]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -319,10 +309,6 @@ def base_counts(block: B.Block) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
 
-#: The direct index of the last model, kept by each Python worker.
-_TABLE: list = [None, None]
-
-
 def requests(chunks: DataFrame, parts: int) -> DataFrame:
     """Rows (part, chunk, keys, counts): the different n-grams of each chunk, by the part of the model they belong to."""
 
@@ -331,64 +317,57 @@ def requests(chunks: DataFrame, parts: int) -> DataFrame:
         order, edge = _parts(key, parts)
         key, count = key[order], count[order].astype(np.uint32)
         some = np.flatnonzero(np.diff(edge))
-        keys = [_pack(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0))) for i in some]
-        counts = [_pack(count[edge[i] : edge[i + 1]]) for i in some]
+        keys = [B.pack(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0))) for i in some]
+        counts = [B.pack(count[edge[i] : edge[i + 1]]) for i in some]
         chunk = pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64())
         return pa.table([pa.array(some, pa.int64()), chunk, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "chunk", "keys", "counts"])
 
     return chunks.groupBy("chunk").applyInArrow(ask, "part long, chunk long, keys binary, counts binary")
 
 
-def measure(docs: DataFrame, model: KneserNey | None) -> DataFrame:
-    """Base counts and both perplexities (null without a character) of each document (doc_id, lang, text)."""
-    own_bytes = count_bytes(docs)
-    size = int(own_bytes.sum())
-    parts = max(1, -(-size // PART_BYTES))
-    classes = np.bincount(_CLASS, own_bytes, minlength=ALPHABET)[_CLASS]
-    within = np.where(classes > 0, own_bytes / np.maximum(classes, 1), 1.0)
-    shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+def measure(docs: DataFrame, model: KneserNey | None, size: int) -> DataFrame:
+    """Base counts and both perplexities (null without a character) of each document (doc_id, lang, text) of ``size`` characters in all."""
+    parts = max(1, -(-size // PART_CHARS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def table_of() -> np.ndarray:
-        if _TABLE[0] != tag:
-            _TABLE[:] = [tag, shared.value.table() if shared.value is not None else np.zeros(ALPHABET**ORDER, np.float32)]
-        return _TABLE[1]
-
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        counts = [_unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
+        asked = [np.cumsum(B.unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        counts = [B.unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
         half = np.array(table.column("chunk").to_pylist()) % 2
-        model = []
+        found = []
         for h in (0, 1):
             mine = np.flatnonzero(half == h)
             key, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(asked[i] for i in mine)]), return_inverse=True)
-            model.append((key, np.bincount(at, np.concatenate([np.zeros(0, np.uint32), *(counts[i] for i in mine)]))))
+            found.append((key, np.bincount(at, np.concatenate([np.zeros(0, np.uint32), *(counts[i] for i in mine)]))))
         packed = [b""] * len(asked)
         for h in (0, 1):  # the model of one half of the texts answers the other
             mine = np.flatnonzero(half != h)
             if len(mine):
                 ask, at = np.unique(np.concatenate([asked[i] for i in mine]), return_inverse=True)
-                logp = unfolded(*model[h], ask, table_of(), within).astype(np.float32)[at]
+                logp = unfolded(*found[h], ask, shared.value).astype(np.float32)[at]
                 edge = np.cumsum([0, *(len(asked[i]) for i in mine)])
                 for k, i in enumerate(mine):
-                    packed[i] = _pack(logp[edge[k] : edge[k + 1]])
+                    packed[i] = B.pack(logp[edge[k] : edge[k + 1]])
         return pa.table([table.column("part"), table.column("chunk"), pa.array(packed, pa.binary())], ["part", "chunk", "logp"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         key, at = np.unique(_chunk_keys(texts), return_inverse=True)
-        logp = np.zeros(len(key))
+        logp = np.zeros(len(key), dtype=np.float32)
         order, edge = _parts(key, parts)
         for part, packed in zip(answers.column("part").to_pylist(), answers.column("logp").to_pylist()):
-            logp[order[edge[part] : edge[part + 1]]] = _unpack(packed, np.float32)
+            logp[order[edge[part] : edge[part + 1]]] = B.unpack(packed, np.float32)
+        short = shared.value.lookup(folded(key)) if len(key) else logp
         done, out = 0, []
         for block in B.blocks(iter(texts.to_batches())):
             counts = base_counts(block)
-            n = len(block.data)
-            length = np.diff(block.offs)
+            lead = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+            offs = lead[block.offs]
+            length, n = np.diff(offs), int(offs[-1])
             ways = []
-            for bits in (logp[at[done : done + n]], table_of()[keys(block)]):
-                run_sum = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
-                mean = -(run_sum[block.offs[1:]] - run_sum[block.offs[:-1]]) / np.maximum(length, 1)
+            for bits in (logp, short):
+                run_sum = np.concatenate([[0.0], np.cumsum(bits[at[done : done + n]], dtype=np.float64)])
+                mean = -(run_sum[offs[1:]] - run_sum[offs[:-1]]) / np.maximum(length, 1)
                 ways.append(pa.array(np.exp2(mean), mask=length == 0))
             done += n
             out.append(pa.RecordBatch.from_arrays(
@@ -399,7 +378,7 @@ def measure(docs: DataFrame, model: KneserNey | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{n} long" for n in names) + ", perplexity double, folded_perplexity double"
-    many = max(1, -(-size // (2 * CHUNK_BYTES)))  # in each half; equal texts are in the same one
+    many = max(1, -(-size // (2 * CHUNK_CHARS)))  # in each half; equal texts are in the same one
     chunk = (2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)) + F.pmod(F.xxhash64("text"), F.lit(2))).alias("chunk")
     chunks = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", chunk)
     answers = requests(chunks, parts).groupBy("part").applyInArrow(answer, "part long, chunk long, logp binary")
@@ -426,7 +405,7 @@ def rules(docs: DataFrame, lower: float = LOWER_REACH, upper: float = UPPER_REAC
     not by the base rules alone.  Repeated rows are judged alike; an empty
     table gives an empty table; other columns are neither read nor returned.
     """
-    measured = B.cut(measure(docs, fit(docs)))
+    measured = B.cut(measure(docs, *fit(docs)))
     found = B.cut(bands(measured))
     if found.count() <= MAX_LANGUAGES:  # documents stay where they are
         found = F.broadcast(found)
