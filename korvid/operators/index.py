@@ -6,11 +6,12 @@ look-up is a filter that reaches the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenise
+from ..sources.storage import save_bucketed, with_row_index
 
 #: Types that a string index takes; other values are indexed by their text.
 INDEXED_TYPES = (T.StringType, T.LongType, T.IntegerType, T.BooleanType, T.TimestampType, T.TimestampNTZType)
@@ -121,15 +122,59 @@ def multi_range(df: DataFrame, key: str, ranges: list[tuple[object, object]]) ->
     return df.withColumn("range_id", F.explode(hits))
 
 
-def range_join(df: DataFrame, key: str, ranges: DataFrame, width: int) -> DataFrame:
-    """Rows joined with a table of inclusive ranges (range_id, start, end) of integer keys, of any size.
+def range_join(df: DataFrame, key: str, ranges: DataFrame, width: int = 1) -> DataFrame:
+    """Rows joined with a table of inclusive ranges (range_id, start, end) of integer keys, of any length.
 
-    Keys and ranges meet in cells of ``width`` keys, which makes it an equi join.
+    A range lies in one or two cells of a size that is a power of two, at
+    least ``width`` and longer than the range; a key stands in one cell of
+    each size that occurs, of which there are 64 at most.  So neither a wide
+    range nor a key makes many rows, and it is an equi join.
     """
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"`end` div {width}"))))
-    return df.withColumn("_cell", F.expr(f"`{key}` div {width}")).join(cells, "_cell").where(F.col(key).between(F.col("start"), F.col("end"))).drop("_cell")
+    least = max(int(width) - 1, 0).bit_length()
+    length = F.length(F.bin(F.try_subtract(F.col("end").cast("long"), F.col("start").cast("long"))))
+    level = F.greatest(F.lit(least), F.coalesce(length, F.lit(63))).cast("int")
+    sized = ranges.where("start <= `end`").withColumn("_level", level)
+    cell = F.array_distinct(F.array(F.expr("shiftright(CAST(start AS BIGINT), _level)"), F.expr("shiftright(CAST(`end` AS BIGINT), _level)")))
+    cells = sized.withColumn("_cell", F.explode(cell))
+    levels = [r["_level"] for r in sized.select("_level").distinct().collect()]  # 64 at most
+    if not levels:
+        levels = [least]
+    own = df.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)])))
+    own = own.withColumn("_cell", F.expr(f"shiftright(CAST(`{key}` AS BIGINT), _level)"))
+    return own.join(cells, ["_level", "_cell"]).where(F.col(key).between(F.col("start"), F.col("end"))).drop("_level", "_cell")
 
 
-def disorder(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Rows of a table in insertion order ``group, key`` whose key repeats the one before: none where keys are unique."""
-    return neighbours(df, key, group).where(F.col("prev_key") == F.col(key))
+def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def clear(index: DataFrame) -> DataFrame:
+    """An index without entries."""
+    return index.limit(0)
+
+
+def save(index: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Save the postings in buckets of their values, sorted: a look-up then reads one bucket."""
+    return save_bucketed(index, table, index.columns[0], buckets)
+
+
+def load(spark: SparkSession, table: str) -> DataFrame:
+    """The postings that were saved."""
+    return spark.table(table)
+
+
+def disorder(df: DataFrame, key: str, position: str, group: str | None = None) -> DataFrame:
+    """Rows (position, key, previous) whose key isn't above that of the row before them: none where a table is in order.
+
+    ``position`` says in which order the rows stand, within each ``group`` or,
+    without one, in the whole table; there every row is numbered and meets the
+    one before by number, in no single task.
+    """
+    if group is not None:
+        w = Window.partitionBy(group).orderBy(position)
+        rows = df.select(group, position, key, F.lag(key).over(w).alias("previous"))
+        return rows.where(F.col("previous") >= F.col(key))
+    own = with_row_index(df.select(position, key), position, name="_n")
+    before = own.select((F.col("_n") + 1).alias("_n"), F.col(key).alias("previous"))
+    return own.join(before, "_n").where(F.col("previous") >= F.col(key)).select(position, key, "previous")

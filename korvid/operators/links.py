@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
+#: Elements of a list that is made of rows; rows of a target that has more stay rows.
+MOST_IN_LIST = 100_000
+
 
 def unresolved(link: Column, zero_is_null: bool = False) -> Column:
     """A link that leads nowhere; in tables whose keys start at 1, key 0 does too."""
@@ -61,9 +66,17 @@ def backlink_counts(target: DataFrame, target_key: str, df: DataFrame, link: str
     return joined.select(target_key, F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"))
 
 
-def backlink_lists(df: DataFrame, link: str, key: str) -> DataFrame:
-    """(target, origins, n): the sorted keys that point at each target; for links whose targets have boundedly many."""
+def _bounded(df: DataFrame, by: str, most: int) -> None:
+    """Fail, before any list is made, if a group has more rows than a list may hold."""
+    worst = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if worst > most:
+        raise ValueError(f"{worst} rows of one {by} are too many for a list of at most {most}: use the rows themselves")
+
+
+def backlink_lists(df: DataFrame, link: str, key: str, most: int = MOST_IN_LIST) -> DataFrame:
+    """(target, origins, n): the sorted keys that point at each target; a target that more than ``most`` point at is an error."""
     found = backlinks(df, link, key)
+    _bounded(found, "target", most)
     return found.groupBy("target").agg(F.sort_array(F.collect_list("origin")).alias("origins"), F.count("*").cast("long").alias("n"))
 
 
@@ -100,8 +113,9 @@ def typed_of_type(links: Column, type_info: int) -> Column:
     return F.filter(links, lambda x: x["type_info"] == type_info)
 
 
-def embed(parent: DataFrame, parent_key: str, child: DataFrame, link: str, columns: list[str], name: str) -> DataFrame:
-    """Parents with their children as an array of structs, sorted; for parents of boundedly many children."""
+def embed(parent: DataFrame, parent_key: str, child: DataFrame, link: str, columns: list[str], name: str, most: int = MOST_IN_LIST) -> DataFrame:
+    """Parents with their children as an array of structs, sorted; a parent of more than ``most`` is an error."""
+    _bounded(child.where(F.col(link).isNotNull()), link, most)
     nested = child.groupBy(F.col(link).alias("_parent")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     joined = parent.join(nested, F.col(parent_key) == F.col("_parent"), "left").drop("_parent")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
@@ -117,3 +131,31 @@ def cascade_delete(df: DataFrame, link: str, deleted: DataFrame, deleted_key: st
     """What is left of a table when the objects that its rows belong to are deleted."""
     keys = deleted.select(F.col(deleted_key).alias("_gone"))
     return df.join(keys, F.col(link) == F.col("_gone"), "left_anti")
+
+
+def cascade(gone: DataFrame, gone_key: str, levels: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """What is left of each of several tables, each (table, key, link) linking to the one before it, when objects are deleted.
+
+    What a level loses is what the next one's links are checked against.
+    """
+    left = []
+    for df, key, link in levels:
+        keys = materialise(gone.select(F.col(gone_key).alias("_gone")).where("_gone IS NOT NULL").distinct())
+        lost = F.col(link) == F.col("_gone")
+        left.append(df.join(keys, lost, "left_anti"))
+        gone, gone_key = df.join(keys, lost, "left_semi"), key
+    return left
+
+
+def cascade_tree(df: DataFrame, key: str, parent: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """What is left of a table whose rows link to parents in the same table when some are deleted with all below them.
+
+    A round for each level; the keys found so far are written, so rounds don't
+    pile up, and a circle of links ends it as well.
+    """
+    found = new = materialise(gone.select(F.col(gone_key).alias("_gone")).where("_gone IS NOT NULL").distinct())
+    while not new.isEmpty():
+        below = df.join(new, F.col(parent) == F.col("_gone"), "left_semi").select(F.col(key).alias("_gone")).distinct()
+        new = materialise(below.join(found, "_gone", "left_anti"))
+        found = materialise(found.unionAll(new))
+    return df.join(found, F.col(key) == F.col("_gone"), "left_anti")

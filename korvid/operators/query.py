@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.cache import PlanCache
 from ..plans.predicate import Node
-from ..sources.storage import with_row_index
+from ..sources.storage import SMALL_OFFSET, rows_between, with_row_index
 
 _PLANS = PlanCache()
 
@@ -88,7 +88,11 @@ class Query:
 
     def page(self, offset: int, n: int) -> DataFrame:
         """Rows ``offset`` to ``offset + n`` in sort order."""
-        return self.matches().orderBy(*ordering(self._sort, self.key)).offset(offset).limit(n)
+        return rows_between(self.matches(), ordering(self._sort, self.key), offset, n)
+
+    def keys(self) -> DataFrame:
+        """The keys of the matching rows, in order."""
+        return self.matches().select(self.key).orderBy(F.col(self.key).asc_nulls_first())
 
 
 class View:
@@ -97,6 +101,7 @@ class View:
     def __init__(self, query: Query):
         self._query, self.in_sync = query, True
         self.df = query.frame()
+        self._numbered: DataFrame | None = None
 
     @property
     def key(self) -> str:
@@ -108,8 +113,18 @@ class View:
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
+    def objects_at(self, i: int) -> DataFrame:
+        """The row at a place, as a table of one row or none; far places are found by row numbers, which are made once."""
+        if i < 0:
+            return self.df.limit(0)
+        if i < SMALL_OFFSET:
+            return self.df.offset(i).limit(1)
+        if self._numbered is None:
+            self._numbered = with_row_index(self.df, *ordering(self._query._sort, self.key), name="_korvid_row")
+        return self._numbered.where(F.col("_korvid_row") == i).drop("_korvid_row")
+
     def object_at(self, i: int) -> Row | None:
-        rows = self.df.offset(i).limit(1).collect() if i >= 0 else []
+        rows = self.objects_at(i).collect()
         return rows[0] if rows else None
 
     def key_at(self, i: int) -> object:
@@ -117,12 +132,12 @@ class View:
         return row[self.key] if row is not None else None
 
     def clear(self) -> View:
-        self.df, self.in_sync = self.df.limit(0), False
+        self.df, self.in_sync, self._numbered = self.df.limit(0), False, None
         return self
 
     def do_sync(self) -> View:
         """Evaluate the query again on the table as it is now."""
-        self.df, self.in_sync = self._query.frame(), True
+        self.df, self.in_sync, self._numbered = self._query.frame(), True, None
         return self
 
     def query(self) -> Query:
@@ -132,6 +147,22 @@ class View:
     def __iter__(self) -> Iterator[Row]:
         return self.df.toLocalIterator(prefetchPartitions=True)
 
+    def for_each(self, visit: Callable[[Row], None]) -> int:
+        """Hand every row to a visitor, in order; how many there were.  An error in the visitor ends it."""
+        n = 0
+        for row in self:
+            visit(row)
+            n += 1
+        return n
+
+    def for_each_partition(self, visit: Callable[[Iterator[Row]], None]) -> None:
+        """Hand the rows to a visitor on the executors, a partition at a time."""
+        self.df.foreachPartition(visit)
+
+    def collect(self) -> list[Row]:
+        """All rows; for views that fit on the driver."""
+        return self.df.collect()
+
 
 def select(
     df: DataFrame, columns: list[str] | None = None, where: dict[str, object] | None = None, key: str | None = None,
@@ -140,12 +171,12 @@ def select(
     """Projection, a map of equalities (null equals null), then a slice in the order of the key."""
     for name, value in (where or {}).items():
         df = df.where(F.col(name).eqNullSafe(F.lit(value)))
-    if key is not None:
-        df = df.orderBy(F.col(key).asc_nulls_first())
-    if offset:
-        df = df.offset(offset)
-    if limit is not None:
-        df = df.limit(limit)
+    if key is not None and offset:
+        df = rows_between(df, [F.col(key).asc_nulls_first()], offset, limit)
+    else:
+        df = df if key is None else df.orderBy(F.col(key).asc_nulls_first())
+        df = df.offset(offset) if offset else df
+        df = df if limit is None else df.limit(limit)
     return df.select(*columns) if columns else df
 
 
@@ -185,7 +216,7 @@ def ends(df: DataFrame, key: str) -> DataFrame:
 
 def slice_rows(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` (exclusive) in the order of a unique key."""
-    return df.orderBy(F.col(key).asc_nulls_first()).offset(start).limit(max(0, end - start))
+    return rows_between(df, [F.col(key).asc_nulls_first()], start, end - start)
 
 
 def chunks(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -200,14 +231,15 @@ def chunk_stats(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 class RowIterator:
-    """Rows in the order of a key, one partition fetched at a time."""
+    """Rows in the order of a key, one partition fetched at a time; ``where`` passes over rows it isn't true for."""
 
-    def __init__(self, df: DataFrame, key: str):
-        self._df = df.orderBy(F.col(key).asc_nulls_first())
+    def __init__(self, df: DataFrame, key: str, where: Callable[[Row], bool] | None = None):
+        self._df, self._test = df.orderBy(F.col(key).asc_nulls_first()), where
         self.reset()
 
     def reset(self) -> None:
-        self._rows = self._df.toLocalIterator(prefetchPartitions=True)
+        rows = self._df.toLocalIterator(prefetchPartitions=True)
+        self._rows = rows if self._test is None else filter(self._test, rows)
         self._ahead: Row | None = None
         self.position = 0
 

@@ -6,6 +6,8 @@ each key up to a version.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -55,6 +57,17 @@ def retained(df: DataFrame, key: str, version: str, oldest: int) -> DataFrame:
     return df.join(base, key, "left").where((F.col(version) > oldest) | (F.col(version) == F.col("_base"))).drop("_base")
 
 
+def collected(df: DataFrame, version: str, written_at: str, oldest: int, before: object, limit: int = MAX_VERSIONS) -> DataFrame:
+    """Different (version, time) that stay when versions are collected.
+
+    A version goes if it is older than the oldest snapshot and was written
+    before a time; of what is left, at most ``limit`` stay, the newest.
+    """
+    seen = df.groupBy(version).agg(F.max(written_at).alias(written_at))
+    stay = seen.where(~F.coalesce((F.col(version) < oldest) & (F.col(written_at) < before), F.lit(False)))
+    return stay.orderBy(F.desc(version)).limit(limit)
+
+
 def newest_versions(df: DataFrame, version: str, limit: int = MAX_VERSIONS) -> DataFrame:
     """Different versions, at most ``limit``, the newest."""
     return df.select(version).distinct().orderBy(F.desc(version)).limit(limit)
@@ -91,14 +104,33 @@ class Snapshot:
 class Versions:
     """Version numbers and the snapshots that hold them."""
 
-    def __init__(self) -> None:
-        self.current = 0
+    def __init__(self, level: str = "repeatable_read") -> None:
+        self.current, self.level, self.gc_runs, self.collected = 0, level, 0, 0
         self._open: list[Snapshot] = []
+        self._made: dict[int, float] = {}
 
     def create(self) -> int:
         self.current += 1
+        self._made[self.current] = time.monotonic()
         return self.current
 
+    def collect(self, age_seconds: float = 0.0, limit: int = MAX_VERSIONS) -> int:
+        """Forget versions older than the oldest snapshot and than an age, and beyond ``limit`` the oldest; how many went."""
+        oldest, now = self.oldest() or self.current, time.monotonic()
+        gone = [v for v, t in self._made.items() if v < oldest and now - t >= age_seconds]
+        gone += sorted(v for v in self._made if v not in gone)[: max(0, len(self._made) - len(gone) - limit)]
+        for v in gone:
+            del self._made[v]
+        self.gc_runs, self.collected = self.gc_runs + 1, self.collected + len(gone)
+        return len(gone)
+
+    def statistics(self) -> dict:
+        """Versions, snapshots and collections so far."""
+        return {
+            "current_version": self.current, "versions": len(self._made), "snapshots": len(self._open), "oldest_snapshot": self.oldest(),
+            "isolation_level": self.level, "gc_runs": self.gc_runs, "versions_collected": self.collected,
+        }
+
     def snapshot(self, version: int | None = None) -> Snapshot:
         if version is not None and not 0 <= version <= self.current:
             raise ValueError(f"no version {version}")
@@ -124,49 +156,95 @@ class Versions:
         return min((s.version for s in self._open), default=0)
 
 
+class TransactionTimeout(RuntimeError):
+    """A transaction that ran out of time and was rolled back."""
+
+
 class Transaction:
-    """Changes of one table that take effect together, as a new version, or not at all."""
+    """Changes of one table that take effect together, as a new version, or not at all.
+
+    With ``seconds`` it is rolled back on its own when they are over; whatever
+    is asked of it then fails.
+    """
 
-    def __init__(self, versions: Versions, table: DataFrame):
+    def __init__(self, versions: Versions, table: DataFrame, seconds: float | None = None):
         self.versions, self.before = versions, table
         self.table = table
         self.snapshot = versions.snapshot()
         self.stage = "ready"
         self.version: int | None = None
+        self.seconds, self.began, self.timed_out, self.done = seconds, time.monotonic(), False, False
+        self._lock = threading.RLock()
+        self._timer: threading.Timer | None = None
+        if seconds is not None:
+            self._timer = threading.Timer(seconds, self._expire)
+            self._timer.daemon = True
+            self._timer.start()
+
+    def elapsed(self) -> float:
+        return time.monotonic() - self.began
+
+    def remaining(self) -> float | None:
+        """Seconds that are left, 0 at least; None without a limit."""
+        return None if self.seconds is None else max(0.0, self.seconds - self.elapsed())
+
+    def _expire(self) -> None:
+        with self._lock:
+            if not self.done:
+                self.timed_out = True
+                self.rollback()
+
+    def _check(self) -> None:
+        if self.seconds is not None and not self.done and self.elapsed() >= self.seconds:
+            self._expire()
+        if self.timed_out:
+            raise TransactionTimeout(f"more than {self.seconds} s")
+
+    def _finish(self) -> None:
+        if not self.done:
+            self.done = True
+            self.versions.release(self.snapshot)
+        if self._timer is not None:
+            self._timer.cancel()
 
     def _go(self, stage: str) -> None:
         check_transition(self.stage, stage)
         self.stage = stage
 
     def apply(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        if self.stage == "ready":
-            self._go("writing")
-        self.table = self.table.transform(change)
+        with self._lock:
+            self._check()
+            if self.stage == "ready":
+                self._go("writing")
+            self.table = self.table.transform(change)
 
     def commit(self) -> DataFrame:
-        if self.stage == "writing":
-            self._go("committing")
-            self.version = self.versions.create()
-            self._go("ready")
-        self.versions.release(self.snapshot)
-        return self.table
+        with self._lock:
+            self._check()
+            if self.stage == "writing":
+                self._go("committing")
+                self.version = self.versions.create()
+                self._go("ready")
+            self._finish()
+            return self.table
 
     def rollback(self) -> DataFrame:
-        if self.stage != "ready":
-            self._go("rolling_back")
-            self._go("ready")
-        self.table = self.before
-        self.versions.release(self.snapshot)
-        return self.table
+        with self._lock:
+            if self.stage != "ready":
+                self._go("rolling_back")
+                self._go("ready")
+            self.table = self.before
+            self._finish()
+            return self.table
 
     def sees(self, version: int) -> bool:
         return version <= self.snapshot.version
 
 
 @contextmanager
-def transaction(versions: Versions, table: DataFrame):
-    """Commit at the end, roll back and pass the error on if there is one."""
-    t = Transaction(versions, table)
+def transaction(versions: Versions, table: DataFrame, seconds: float | None = None):
+    """Commit at the end, roll back and pass the error on if there is one; with ``seconds``, roll back when they are over."""
+    t = Transaction(versions, table, seconds)
     try:
         yield t
     except BaseException:

@@ -11,9 +11,9 @@ CHECKPOINT_SECONDS, CHECKPOINT_BYTES, CHECKPOINT_AGE = 300, 1 << 20, 1800
 
 
 def xor_bytes(data: Column) -> Column:
-    """XOR of all bytes of a text's UTF-8 or of a binary; 0 of nothing."""
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substring(F.hex(data), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(F.octet_length(data) > 0, F.aggregate(pairs, F.lit(0), lambda a, b: a.bitwiseXOR(b))).otherwise(0)
+    """XOR of all bytes of a text's UTF-8 or of a binary; 0 of nothing.  The bytes are taken apart once."""
+    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    return F.coalesce(F.aggregate(pairs, F.lit(0), lambda a, b: a.bitwiseXOR(F.conv(b, 16, 10).cast("int"))), F.lit(0))
 
 
 def checksum() -> Column:
@@ -111,3 +111,11 @@ def statistics(log: DataFrame) -> DataFrame:
         F.count("*").cast("long").alias("entries"), F.sum(F.octet_length("data")).cast("long").alias("bytes"),
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
     )
+
+
+def checkpoint_statistics(log: DataFrame) -> DataFrame:
+    """One row: position, version and time of the last checkpoint, and the last position of the log."""
+    mark = F.col("type") == "CHECKPOINT"
+    last = F.max_by(F.when(mark, F.struct("version", "ts")), F.when(mark, F.col("pos")))
+    found = log.agg(F.max(F.when(mark, F.col("pos"))).alias("checkpoint_pos"), last.alias("_x"), F.max("pos").alias("log_pos"))
+    return found.select("checkpoint_pos", F.col("_x.version").alias("checkpoint_version"), F.col("_x.ts").alias("checkpoint_time"), "log_pos")

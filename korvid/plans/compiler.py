@@ -30,6 +30,7 @@ from .predicate import (
     PredicateError,
     Property,
     fold_equalities,
+    joined,
 )
 
 MODES = ("sql", "legacy")
@@ -59,7 +60,10 @@ class Compiler:
 
     def column(self, node: Node) -> Column:
         """The predicate as a boolean column (``sql``: it may be null, which a filter drops)."""
-        return self._truth(fold_equalities(node))
+        try:
+            return self._truth(fold_equalities(node))
+        except RecursionError:
+            raise PredicateError("a predicate is nested too deeply") from None
 
     def _field(self, name: str) -> tuple[Column, T.DataType]:
         path = self.aliases.get(name, name)
@@ -98,10 +102,7 @@ class Compiler:
     def _among(self, node: Among) -> Column:
         column, kind = self._operand(node.left)
         if self.nulls == "legacy":
-            out = F.lit(False)
-            for v in node.values:
-                out = out | self._compare(Comparison("=", node.left, v))
-            return out
+            return self._truth(joined("OR", [Comparison("=", node.left, v) for v in node.values]))
         for v in node.values:
             self._comparable(node.left, kind, v, self._operand(v)[1])
         return column.isin(*[self._fit(v, kind) for v in node.values])

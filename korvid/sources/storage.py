@@ -8,12 +8,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of this process: where no shared one is set, by application; and tables that were materialised.
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[str, str]] = []
+#: Rows up to which a slice is taken from a top-k.
+SMALL_OFFSET = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,7 +99,7 @@ def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 256 <
     return int(count)
 
 
-def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, *order: str | Column, name: str = "row_index") -> DataFrame:
     """Number the rows from 0 in the order of columns, nulls first, without bringing them into one task.
 
     Rows are range partitioned and sorted, written once, counted by partition,
@@ -115,3 +117,20 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataF
         return placed.withColumn(name, F.lit(None).cast("long")).drop("_at")
     base = F.element_at(F.create_map(*offsets), part)
     return placed.withColumn(name, base + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
+def rows_between(df: DataFrame, order: list[Column], start: int, n: int | None = None) -> DataFrame:
+    """Rows ``start`` to ``start + n`` in an order; to the end without ``n``.
+
+    Few rows from near the beginning are a top-k, of which each task sends as
+    many; a slice farther on, or to the end, is found by row number.
+    """
+    if n is not None and n <= 0:
+        return df.limit(0)
+    if n is not None and start + n <= SMALL_OFFSET:
+        ordered = df.orderBy(*order)
+        return (ordered.offset(start) if start else ordered).limit(n)
+    numbered = with_row_index(df, *order, name="_korvid_row")
+    at = F.col("_korvid_row")
+    inside = at >= start if n is None else (at >= start) & (at < start + n)
+    return numbered.where(inside).orderBy("_korvid_row").drop("_korvid_row")

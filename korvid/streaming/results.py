@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import with_row_index
+
 # Default sizes.
 BATCH_ROWS = 50
 
@@ -60,6 +62,12 @@ class ResultStream:
             yield row
         self.done = True
 
+    def numbered(self, rows: int = BATCH_ROWS) -> DataFrame:
+        """What the stream gives, as a table: every row with the number of its batch and its place in it."""
+        numbered = with_row_index(self.df, self.key, name="_korvid_row")
+        at = F.col("_korvid_row")
+        return numbered.withColumns({"batch": F.floor(at / rows).cast("long"), "place": (at % rows).cast("long")}).drop("_korvid_row")
+
     def batches(self, rows: int = BATCH_ROWS) -> Iterator[list[Row]]:
         """Lists of ``rows`` rows; the last may be shorter."""
         held: list[Row] = []
@@ -72,6 +80,17 @@ class ResultStream:
             yield held
 
 
+def process(df: DataFrame, key: str, visit: Callable[[object, int], None], cancel: Cancel | None = None) -> int:
+    """Hand every key and its place to a processor, in order, until it fails or is cancelled; how many there were."""
+    cancel, i = cancel or Cancel(), 0
+    cancel.check()
+    for row in df.select(key).orderBy(F.col(key).asc_nulls_first()).toLocalIterator(prefetchPartitions=True):
+        cancel.check()
+        visit(row[0], i)
+        i += 1
+    return i
+
+
 def run_interruptibly[R](spark: SparkSession, action: Callable[[], R], cancel: Cancel | None = None, poll: float = 0.05) -> R:
     """Run an action under a tag of its own; cancelling, or running out of time, interrupts its jobs only."""
     cancel, tag = cancel or Cancel(), f"korvid-{uuid.uuid4().hex}"
