@@ -85,8 +85,9 @@ def recover(log: DataFrame) -> dict:
     return {"last_committed": last_committed(log).first()["version"], "pending": states.get("pending", 0), "corrupt": corrupt(log).count()}
 
 
-def checkpoint_due(seconds_since: float, log_bytes: int, age_seconds: float) -> bool:
-    return seconds_since >= CHECKPOINT_SECONDS or log_bytes >= CHECKPOINT_BYTES or age_seconds >= CHECKPOINT_AGE
+def checkpoint_due(seconds_since: float | Column, log_bytes: int | Column, age_seconds: float | Column) -> bool | Column:
+    """Whether a checkpoint is due, for numbers or, row by row, for columns."""
+    return (seconds_since >= CHECKPOINT_SECONDS) | (log_bytes >= CHECKPOINT_BYTES) | (age_seconds >= CHECKPOINT_AGE)
 
 
 def compact(log: DataFrame) -> DataFrame:

@@ -17,11 +17,13 @@ from .functions.compare import compare_values
 from .functions.keys import pack_column_key, unpack_column_key
 from .functions.text import tokenise
 from .operators import bulk, dml, index, links, schema, versioning, wal
-from .operators.query import Query, chunk_stats, ends, members_of, select, slice_rows
-from .plans.cache import estimated_cardinality, rollup
-from .sources.catalog import Catalog
-from .sources.spec import ColumnSpec
+from .operators.query import Query, RowIterator, chunk_rows, chunk_stats, ends, members_of, select, slice_rows, where_key
+from .plans.cache import estimated_cardinality, newest, node_cost, rollup
+from .sources import storage
+from .sources.catalog import Catalog, current_metadata, put_metadata, remove_metadata
+from .sources.spec import ColumnSpec, TableSpec, clear_attribute, has_attribute, set_attribute, violations
 from .streaming import files
+from .streaming.results import Cancel, Interrupted, ResultStream, process, run_interruptibly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,7 +205,7 @@ def r_query_on_view(c: Catalog) -> DataFrame:
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 7")
 def r_view_key_at(c: Catalog) -> DataFrame:
-    return _orders(c).where("o_orderstatus = 'P'").sort("o_totalprice").page(7, 1).select(*_ORDERS)
+    return _orders(c).where("o_orderstatus = 'P'").sort("o_totalprice").find_all().objects_at(7).select(*_ORDERS)
 
 
 # Bulk comparisons and indexes.
@@ -432,10 +434,10 @@ def m_delete(c: Catalog) -> DataFrame:
     return dml.delete(c.table("customer").select("c_custkey", "c_mktsegment"), F.col("c_mktsegment") == "BUILDING").select("c_custkey")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
 def m_delete_keys(c: Catalog) -> DataFrame:
-    gone = c.table("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
-    return dml.delete_keys(c.table("supplier").select("s_suppkey"), gone, "s_suppkey")
+    gone = c.table("lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return dml.delete_keys(c.table("orders").select("o_orderkey"), gone, "o_orderkey")
 
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT max(r_regionkey) + 1, 'NEW' FROM region")
@@ -577,9 +579,24 @@ def c_to_bool(c: Catalog) -> DataFrame:
     return c.table("events").select("event_id", convert.to_bool(_texts(), _TEXT).alias("from_text"), convert.to_bool(F.col("event_id") % 4, T.LongType()).alias("from_int"))
 
 
-@query("SELECT event_id, event_id::VARCHAR AS from_int, (event_id % 2 = 0)::VARCHAR AS from_bool FROM events")
+@query(
+    "SELECT event_id, event_id::VARCHAR AS from_int, (event_id % 2 = 0)::VARCHAR AS from_bool, ((event_id % 1000) / 8)::DOUBLE::VARCHAR AS from_float, "
+    "CASE WHEN event_id % 5 > 0 THEN (event_id % 5)::VARCHAR END AS from_null FROM events"
+)
 def c_to_string(c: Catalog) -> DataFrame:
-    return c.table("events").select("event_id", convert.to_text(F.col("event_id")).alias("from_int"), convert.to_text(F.col("event_id") % 2 == 0).alias("from_bool"))
+    some = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 5)
+    return c.table("events").select(
+        "event_id", convert.to_text(F.col("event_id")).alias("from_int"), convert.to_text(F.col("event_id") % 2 == 0).alias("from_bool"),
+        convert.to_text((F.col("event_id") % 1000) / F.lit(8.0)).alias("from_float"), convert.to_text(some).alias("from_null"),
+    )
+
+
+@query(f"SELECT event_id, ({_NUMBER_SQL})::FLOAT AS from_text, (event_id / 3)::FLOAT AS from_double, (event_id % 2)::FLOAT AS from_bool FROM events")
+def c_to_float(c: Catalog) -> DataFrame:
+    return c.table("events").select(
+        "event_id", convert.to_double(_texts(), _TEXT, single=True).alias("from_text"),
+        convert.to_double(F.col("event_id") / F.lit(3.0), T.DoubleType(), single=True).alias("from_double"), convert.to_double(F.col("event_id") % 2 == 1, T.BooleanType(), single=True).alias("from_bool"),
+    )
 
 
 @query(f"SELECT event_id, {_NUMBER_SQL} AS from_text, (event_id % 2)::DOUBLE AS from_bool FROM events")
@@ -610,15 +627,16 @@ def c_column_keys(c: Catalog) -> DataFrame:
 # Statistics.
 @query(
     "SELECT count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (cached) AS cached, "
-    "sum(results)::BIGINT AS results, count(*) FILTER (results = 0) AS empty, count(*) FILTER (results > 1000) AS large, min(nanos) AS min_nanos, "
+    "count(*) FILTER (compiled) AS compiled, sum(memory)::BIGINT AS sum_memory, max(memory) AS peak_memory, sum(results)::BIGINT AS results, count(*) FILTER (results = 0) AS empty, count(*) FILTER (results > 1000) AS large, min(nanos) AS min_nanos, "
     "max(nanos) AS max_nanos, sum(nanos)::BIGINT AS sum_nanos, (sum(nanos) // count(*))::BIGINT AS avg_nanos, count(*) FILTER (complexity <= 1) AS simple, "
     "count(*) FILTER (complexity > 1 AND complexity <= 5) AS medium, count(*) FILTER (complexity > 5) AS complex FROM (SELECT event_type <> 'error' AS ok, "
-    "event_id % 3 = 0 AS cached, event_id * 17 % 1009 AS nanos, user_id * 13 % 1500 AS results, event_id % 9 AS complexity FROM events)"
+    "event_id % 3 = 0 AS cached, event_id * 17 % 1009 AS nanos, user_id * 13 % 1500 AS results, event_id % 9 AS complexity, event_id % 4 = 1 AS compiled, event_id * 31 % 4099 AS memory FROM events)"
 )
 def o_metrics_rollup(c: Catalog) -> DataFrame:
     history = c.table("events").select(
         (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 3 == 0).alias("cached"), (F.col("event_id") * 17 % 1009).alias("nanos"),
         (F.col("user_id") * 13 % 1500).alias("results"), (F.col("event_id") % 9).alias("complexity"),
+        (F.col("event_id") % 4 == 1).alias("compiled"), (F.col("event_id") * 31 % 4099).alias("memory"),
     )
     return rollup(history)
 
@@ -641,7 +659,8 @@ def o_cardinality_estimate(c: Catalog) -> DataFrame:
     "FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) GROUP BY 1"
 )
 def t_batches(c: Catalog) -> DataFrame:
-    return chunk_stats(c.table("orders"), "o_orderkey", 50)
+    numbered = ResultStream(c.table("orders").select("o_orderkey"), "o_orderkey").numbered(50)
+    return numbered.groupBy(F.col("batch").alias("chunk_id")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"))
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE value > 90")
@@ -650,6 +669,529 @@ def t_filtered_stream(c: Catalog) -> DataFrame:
     return files.drain(files.filtered(stream, F.col("value") > 90).select("event_id", "event_type", "value"))
 
 
+# Tables: reading, writing, metadata.
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def s_keys(c: Catalog) -> DataFrame:
+    return _orders(c).where("o_orderstatus = 'P'").keys()
+
+
+@query("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 77")
+def s_point_read(c: Catalog) -> DataFrame:
+    return dml.get_fields(c.table("customer"), 77, ["c_name", "c_acctbal"], "c_custkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT max(n_nationkey) + 1, 'NEW' FROM nation WHERE n_regionkey <> 1")
+def s_flush(c: Catalog) -> DataFrame:
+    """A catalog is written, opened, changed, and written to where it was opened; then it is opened again."""
+    path = storage.new_folder(c.spark, "catalog")
+    spec = TableSpec("nation", (ColumnSpec("n_nationkey", "int"), ColumnSpec("n_name", "string", True), ColumnSpec("n_regionkey", "int", True)), "n_nationkey")
+    first = Catalog(c.spark)
+    first.register("nation", c.table("nation").select(*[F.col(x.name).cast(x.spark_type()) for x in spec.columns]), spec)
+    first.flush(path)
+    again = Catalog.open(c.spark, path)
+    left = dml.delete(again.table("nation"), F.col("n_regionkey") == 1)
+    again.register("nation", dml.insert(left, {"n_name": "NEW"}, key=again.key("nation")), again.spec("nation"))
+    again.flush(path)
+    return Catalog.open(c.spark, path).table("nation").select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def s_compact(c: Catalog) -> DataFrame:
+    path = storage.new_folder(c.spark, "compact")
+    c.table("orders").select("o_orderkey", "o_orderstatus").repartition(12).write.parquet(path)
+    storage.compact(c.spark, path, path)
+    return c.spark.read.parquet(path)
+
+
+@query("SELECT name AS column_name, cid::INTEGER AS place FROM pragma_table_info('orders')")
+def s_table_metadata(c: Catalog) -> DataFrame:
+    """A specification, through its JSON and back."""
+    own = TableSpec("orders", tuple(ColumnSpec(f.name, "mixed", True) for f in c.table("orders").schema.fields))
+    back = TableSpec.from_json(own.to_json())
+    return c.spark.createDataFrame([(x.name, i) for i, x in enumerate(back.columns)], "column_name string, place int")
+
+
+@query("SELECT event_type AS key, arg_max(user_id, event_id)::VARCHAR AS value FROM events WHERE event_type <> 'click' GROUP BY 1 UNION ALL SELECT 'owner', count(*)::VARCHAR FROM nation")
+def s_metadata(c: Catalog) -> DataFrame:
+    """Versions of keys, one removed and one put."""
+    all_of = c.table("events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").cast("binary").alias("value"))
+    kept = put_metadata(remove_metadata(all_of, "click"), "owner", str(c.table("nation").count()).encode())
+    return current_metadata(kept).select("key", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS place, n_nationkey FROM nation WHERE n_regionkey <> 2")
+def s_iterator(c: Catalog) -> DataFrame:
+    rows = RowIterator(c.table("nation"), "n_nationkey", where=lambda r: r["n_regionkey"] != 2)
+    found = []
+    while rows.has_next():
+        key = rows.next()["n_nationkey"]
+        found.append((rows.position, key))
+    return c.spark.createDataFrame(found, "place long, n_nationkey long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'none' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey = 7 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def m_batch_set(c: Catalog) -> DataFrame:
+    orders = c.table("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return dml.set_fields(orders, 7, {"o_orderpriority": "none", "o_totalprice": 0.0}, key="o_orderkey")
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(text[1:40], ' '), lambda x: x <> ''))) AS words FROM documents")
+def m_set_column(c: Catalog) -> DataFrame:
+    words = F.filter(F.split(F.substring("text", 1, 40), " "), lambda x: x != "")
+    return c.table("documents").select("doc_id", dml.as_set(words).alias("words"))
+
+
+_SPEC = TableSpec("labelled", (ColumnSpec("doc_id", "int"), ColumnSpec("quality", "int"), ColumnSpec("toxic", "int"), ColumnSpec("n_chars", "int", True)), "doc_id")
+
+
+@query(f"SELECT doc_id, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END], lambda x: x IS NOT NULL) AS missing FROM {_LABELLED} WHERE quality IS NULL OR toxic IS NULL")
+def m_rejected(c: Catalog) -> DataFrame:
+    return dml.rejected(_labelled(c), _SPEC).select("doc_id", F.col("_missing").alias("missing"))
+
+
+@query(f"SELECT * FROM (SELECT 'quality' AS \"column\", count(*) FILTER (quality IS NULL) AS rows FROM {_LABELLED} UNION ALL SELECT 'toxic', count(*) FILTER (toxic IS NULL) FROM {_LABELLED}) WHERE rows > 0")
+def m_violations(c: Catalog) -> DataFrame:
+    return violations(_labelled(c), _SPEC)
+
+
+# Predicates and views, the rest.
+@query("SELECT r_regionkey, r_name LIKE 'A%' AS matches FROM region")
+def p_evaluate(c: Catalog) -> DataFrame:
+    asked = Query(c.table("region"), "r_regionkey").where("r_name LIKE 'A%'")
+    return c.spark.createDataFrame([(k, asked.evaluate(k)) for k in range(c.table("region").count())], "r_regionkey long, matches boolean")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name >= 'Customer#000000500' AND c_name < 'Customer#000000700'")
+def p_binary(c: Catalog) -> DataFrame:
+    names = c.table("customer").select("c_custkey", F.col("c_name").cast("binary").alias("b"))
+    return Query(names, "c_custkey").where("b >= 'Customer#000000500' AND b < 'Customer#000000700'").matches().select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(lower(p_brand), 'brand#1') AND p_partkey >= 50 AND p_partkey < 1500")
+def v_string_positions(c: Catalog) -> DataFrame:
+    return bulk.find_positions(c.table("part"), "p_partkey", "p_brand", "BEGINSWITH", "BRAND#1", 50, 1500, case_sensitive=False)
+
+
+@query(
+    "SELECT count(*) AS size, count(*) = 0 AS is_empty, min(n_nationkey) AS first_key, (SELECT n_nationkey FROM nation WHERE n_regionkey >= 2 ORDER BY 1 LIMIT 1 OFFSET 3) "
+    "AS fourth_key FROM nation WHERE n_regionkey >= 2"
+)
+def r_view(c: Catalog) -> DataFrame:
+    view = Query(c.table("nation"), "n_nationkey").where("n_regionkey >= 2").find_all()
+    return c.spark.createDataFrame([(view.size(), view.is_empty(), view.key_at(0), view.key_at(3))], "size long, is_empty boolean, first_key long, fourth_key long")
+
+
+@query("SELECT 0::BIGINT AS cleared, count(*) + 1 AS synced, max(n_nationkey) + 1 AS last_key FROM nation")
+def r_view_sync(c: Catalog) -> DataFrame:
+    """A view that is cleared and then follows a table that has grown."""
+    held = {"nation": c.table("nation")}
+    view = Query(lambda: held["nation"], "n_nationkey").find_all()
+    cleared = view.clear().size()
+    held["nation"] = dml.insert(held["nation"], {"n_name": "NEW"}, key="n_nationkey")
+    view.do_sync()
+    return c.spark.createDataFrame([(cleared, view.size(), view.key_at(view.size() - 1))], "cleared long, synced long, last_key long")
+
+
+@query("SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation WHERE n_regionkey = 3")
+def r_for_each(c: Catalog) -> DataFrame:
+    seen: list[int] = []
+    n = Query(c.table("nation"), "n_nationkey").where("n_regionkey = 3").find_all().for_each(lambda r: seen.append(r["n_nationkey"]))
+    return c.spark.createDataFrame([(n, sum(seen))], "n long, total long")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey >= 15 ORDER BY 1")
+def r_collect(c: Catalog) -> DataFrame:
+    found = Query(c.table("nation"), "n_nationkey").where("n_nationkey >= 15").find_all().collect()
+    return c.spark.createDataFrame([(r["n_nationkey"],) for r in found], "n_nationkey long")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 = 3")
+def u_key_callback(c: Catalog) -> DataFrame:
+    return where_key(c.table("events").select("event_id"), "event_id", lambda k: k % 7 == 3)
+
+
+@query("SELECT p.key, p.value FROM (SELECT n_nationkey AS key, n_name AS value FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL SELECT 3, 'renamed' UNION ALL SELECT 99, 'added') p")
+def x_changes(c: Catalog) -> DataFrame:
+    """Insert, set and erase; clearing leaves nothing to put back."""
+    own = index.postings(c.table("nation"), "n_nationkey", "n_name")
+    own = index.erase(index.replace(index.put(index.put(own, "added", 99), "added", 99), 3, "renamed"), 4)
+    return own.unionByName(index.clear(own)).select("key", "value")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 131")
+def x_lookup(c: Catalog) -> DataFrame:
+    return index.lookup(c.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 131)
+
+
+@query(
+    "SELECT o_orderkey, o_totalprice, previous FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS previous FROM orders) WHERE previous >= o_totalprice"
+)
+def x_verify_order(c: Catalog) -> DataFrame:
+    return index.disorder(c.table("orders"), "o_totalprice", "o_orderkey")
+
+
+@query(
+    "SELECT user_id, event_id, value, previous FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) WHERE previous >= value"
+)
+def x_verify_order_in_groups(c: Catalog) -> DataFrame:
+    return index.disorder(c.table("events"), "value", "event_id", "user_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 350000 AND o_orderkey % 2 = 0 ORDER BY o_orderkey")
+def x_conditional(c: Catalog) -> DataFrame:
+    condition = (F.col("o_totalprice") > 350000) & (F.col("o_orderkey") % 2 == 0)
+    return index.where_ordered(c.table("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", condition)
+
+
+@query(
+    "SELECT p.p_partkey, r.range_id FROM part p JOIN (SELECT event_id AS range_id, event_id - event_id % 11 * event_id AS a, event_id + event_id % 5 * event_id AS b FROM events "
+    "WHERE event_id % 50 = 0) r ON p.p_partkey BETWEEN r.a AND r.b"
+)
+def x_wide_range_join(c: Catalog) -> DataFrame:
+    """Ranges of all lengths, from one key to more than the table has."""
+    e = F.col("event_id")
+    ranges = c.table("events").where(e % 50 == 0).select(e.alias("range_id"), (e - e % 11 * e).alias("start"), (e + e % 5 * e).alias("end"))
+    return index.range_join(c.table("part").select("p_partkey"), "p_partkey", ranges).select("p_partkey", "range_id")
+
+
+# Execution and streams.
+@query(
+    "SELECT name, greatest(1, least(1024, (n + 7) // 8)) AS rows FROM (SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'part', count(*) FROM part "
+    "UNION ALL SELECT 'orders', count(*) FROM orders)"
+)
+def e_chunk_rows(c: Catalog) -> DataFrame:
+    sizes = [(t, chunk_rows(c.table(t).count(), 4)) for t in ("region", "part", "orders")]
+    return c.spark.createDataFrame(sizes, "name string, rows long")
+
+
+@query("SELECT count(*) AS in_time, true AS interrupted FROM orders")
+def e_time_limit(c: Catalog) -> DataFrame:
+    """A query within its time, and one whose time is over before it starts."""
+    in_time = run_interruptibly(c.spark, lambda: c.table("orders").count(), Cancel(600))
+    try:
+        process(c.table("region"), "r_regionkey", lambda key, i: None, Cancel(0))
+        interrupted = False
+    except Interrupted:
+        interrupted = True
+    return c.spark.createDataFrame([(in_time, interrupted)], "in_time long, interrupted boolean")
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+def u_processor(c: Catalog) -> DataFrame:
+    seen: list[tuple] = []
+    process(c.table("nation"), "n_nationkey", lambda key, i: seen.append((key, i)))
+    return c.spark.createDataFrame(seen, "n_nationkey long, place long")
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS position FROM nation WHERE n_regionkey < 3")
+def t_result_stream(c: Catalog) -> DataFrame:
+    stream = ResultStream(c.table("nation"), "n_nationkey", F.col("n_regionkey") < 3)
+    return c.spark.createDataFrame([(r["n_nationkey"], stream.position) for r in stream], "n_nationkey long, position long")
+
+
+@query("SELECT (rn // 4)::BIGINT AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rn FROM nation) GROUP BY 1")
+def t_stream_batches(c: Catalog) -> DataFrame:
+    batches = ResultStream(c.table("nation"), "n_nationkey").batches(4)
+    return c.spark.createDataFrame([(i, len(b)) for i, b in enumerate(batches)], "batch long, n long")
+
+
+@query("SELECT least(10, count(*)) AS taken, count(*) AS size, false AS done FROM nation")
+def t_cancel(c: Catalog) -> DataFrame:
+    """A stream that is stopped after ten rows."""
+    stream, taken = ResultStream(c.table("nation"), "n_nationkey"), 0
+    try:
+        for _ in stream:
+            taken += 1
+            if taken == 10:
+                stream.stop()
+    except Interrupted:
+        pass
+    return c.spark.createDataFrame([(taken, stream.size(), stream.done)], "taken long, size long, done boolean")
+
+
+# Schemas, the rest.
+def _two_schemas(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Two schemas made of the parts: an object for each brand, a property for each part, attributes by number."""
+    part = c.table("part").select(F.col("p_brand").alias("object"), F.col("p_partkey").cast("string").alias("property"), "p_partkey", "p_size")
+    ends = part.groupBy("object").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
+    k = F.col("p_partkey")
+    kinds = lambda i: F.element_at(F.array(F.lit("int"), F.lit("string"), F.lit("double")), (i % 3 + 1).cast("int"))
+
+    def made(rows: DataFrame, kind: Column, primary: Column, indexed: Column, nullable: Column, table: Column) -> DataFrame:
+        off = F.lit(False)
+        return rows.select(
+            "object", "property", F.lit("").alias("public_name"), kind.alias("type"), F.lit("").alias("object_type"), F.lit("").alias("origin"), primary.alias("is_primary"),
+            indexed.alias("is_indexed"), off.alias("is_fulltext"), nullable.alias("is_nullable"), (k % 17 == 0).alias("is_computed"), table.alias("table_type"), F.lit(0).alias("ordinal"),
+        )
+
+    rows = part.join(ends, "object")
+    old = made(rows.where((k % 10 != 1) & ~F.col("object").endswith("5")), kinds(k), k == F.col("a"), k % 4 == 0, k % 6 == 0, F.lit("top_level"))
+    kind = F.when(F.col("object").endswith("3"), "embedded").otherwise("top_level")
+    new = made(rows.where((k % 10 != 2) & ~F.col("object").endswith("4")), kinds(F.when(k % 7 == 0, k + 1).otherwise(k)), k == F.col("b"), k % 8 < 4, k % 5 == 0, kind)
+    return old, new
+
+
+_SCHEMAS = """WITH p AS (SELECT p_brand AS object, p_partkey AS k, p_partkey::VARCHAR AS property, min(p_partkey) OVER (PARTITION BY p_brand) AS a,
+max(p_partkey) OVER (PARTITION BY p_brand) AS b FROM part),
+o AS (SELECT object, property, k % 3 AS type, k = a AS pk, k % 4 = 0 AS idx, k % 6 = 0 AS nul, 'top_level' AS tt FROM p WHERE k % 10 <> 1 AND NOT ends_with(object, '5') AND k % 17 <> 0),
+n AS (SELECT object, property, CASE WHEN k % 7 = 0 THEN (k + 1) % 3 ELSE k % 3 END AS type, k = b AS pk, k % 8 < 4 AS idx, k % 5 = 0 AS nul,
+CASE WHEN ends_with(object, '3') THEN 'embedded' ELSE 'top_level' END AS tt FROM p WHERE k % 10 <> 2 AND NOT ends_with(object, '4') AND k % 17 <> 0),
+ot AS (SELECT object, any_value(tt) AS tt, coalesce(max(CASE WHEN pk THEN property END), '') AS pk FROM o GROUP BY 1),
+nt AS (SELECT object, any_value(tt) AS tt, coalesce(max(CASE WHEN pk THEN property END), '') AS pk FROM n GROUP BY 1),
+t AS (SELECT coalesce(ot.object, nt.object) AS object, ot.tt AS ott, nt.tt AS ntt, ot.pk AS opk, nt.pk AS npk FROM ot FULL JOIN nt ON ot.object = nt.object),
+kept AS (SELECT object FROM t WHERE ott IS NOT NULL AND ntt IS NOT NULL),
+f AS (SELECT coalesce(o.object, n.object) AS object, coalesce(o.property, n.property) AS property, o.type AS ot, n.type AS nt, o.nul AS onul, n.nul AS nnul, o.idx AS oidx, n.idx AS nidx
+FROM (SELECT * FROM o WHERE object IN (FROM kept)) o FULL JOIN (SELECT * FROM n WHERE object IN (FROM kept)) n ON o.object = n.object AND o.property = n.property),
+d AS (SELECT object, '' AS property, 'AddTable' AS change FROM t WHERE ott IS NULL UNION ALL SELECT object, '', 'AddInitialProperties' FROM t WHERE ott IS NULL
+UNION ALL SELECT object, '', 'RemoveTable' FROM t WHERE ntt IS NULL UNION ALL SELECT object, '', 'ChangeTableType' FROM t WHERE ott <> ntt
+UNION ALL SELECT object, npk, 'ChangePrimaryKey' FROM t WHERE opk <> npk AND npk <> '' UNION ALL SELECT object, property, 'AddProperty' FROM f WHERE ot IS NULL
+UNION ALL SELECT object, property, 'RemoveProperty' FROM f WHERE nt IS NULL UNION ALL SELECT object, property, 'ChangePropertyType' FROM f WHERE ot <> nt
+UNION ALL SELECT object, property, 'MakePropertyNullable' FROM f WHERE NOT onul AND nnul UNION ALL SELECT object, property, 'MakePropertyRequired' FROM f WHERE onul AND NOT nnul
+UNION ALL SELECT object, property, 'AddIndex' FROM f WHERE NOT oidx AND nidx UNION ALL SELECT object, property, 'RemoveIndex' FROM f WHERE oidx AND NOT nidx)"""
+
+
+@query(f"{_SCHEMAS} SELECT object, property, change FROM d")
+def g_diff_kinds(c: Catalog) -> DataFrame:
+    """All twelve kinds of change."""
+    return schema.diff(*_two_schemas(c))
+
+
+@query(f"{_SCHEMAS} SELECT change, count(*) AS n FROM d WHERE property = '' GROUP BY 1")
+def g_visit(c: Catalog) -> DataFrame:
+    """Changes of tables, counted by a visitor."""
+    n: dict[str, int] = {}
+    changes = [r.asDict() for r in schema.diff(*_two_schemas(c)).where("property = ''").collect()]  # a few a table
+    schema.visit(changes, {}, other=lambda x: n.update({x["change"]: n.get(x["change"], 0) + 1}))
+    return c.spark.createDataFrame(list(n.items()), "change string, n long")
+
+
+@query(
+    "SELECT p_brand AS object, p_partkey::VARCHAR AS property, 'primary key is nullable' AS problem FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS a FROM part) "
+    "WHERE p_partkey = a AND p_partkey % 6 = 0 AND p_partkey % 10 <> 1 AND NOT ends_with(p_brand, '5')"
+)
+def g_validate_parts(c: Catalog) -> DataFrame:
+    return schema.validate(_two_schemas(c)[0])
+
+
+def _schema_of(c: Catalog, *names: str) -> DataFrame:
+    return schema.of_tables(c.spark, {n: c.table(n) for n in names}, {n: c.key(n) for n in names})
+
+
+@query("SELECT 'orders' AS object, name AS property, cid::INTEGER AS ordinal, name = 'o_orderkey' AS is_primary FROM pragma_table_info('orders')")
+def g_find(c: Catalog) -> DataFrame:
+    return schema.find(_schema_of(c, "region", "orders", "part"), "orders").select("object", "property", "ordinal", "is_primary")
+
+
+@query("SELECT 'part' AS object, name AS property FROM pragma_table_info('part')")
+def g_find_by_table_key(c: Catalog) -> DataFrame:
+    keys = c.spark.createDataFrame([("region", 1), ("part", 2)], "object string, table_key long")
+    return schema.find_by_table_key(_schema_of(c, "region", "part"), keys, 2).select("object", "property")
+
+
+@query("SELECT table_name AS object, column_name AS property FROM (SELECT 'region' AS table_name, name AS column_name FROM pragma_table_info('region') UNION ALL SELECT 'nation', name FROM pragma_table_info('nation')) WHERE column_name LIKE '%_name'")
+def g_find_property(c: Catalog) -> DataFrame:
+    both = _schema_of(c, "region", "nation")
+    return schema.find_property(both, "r_name").unionAll(schema.find_property(both, "n_name")).select("object", "property")
+
+
+@query("SELECT true AS same, count(*) = 0 AS reversed_is_same, true AS same_unordered FROM pragma_table_info('orders')")
+def g_equal(c: Catalog) -> DataFrame:
+    own = _schema_of(c, "orders")
+    turned = own.withColumn("ordinal", F.lit(own.count() - 1) - F.col("ordinal"))
+    found = (schema.equal(own, _schema_of(c, "orders")), schema.equal(own, turned), schema.equal(own, turned, ordered=False))
+    return c.spark.createDataFrame([found], "same boolean, reversed_is_same boolean, same_unordered boolean")
+
+
+@query("SELECT 'orders' AS name, 4 AS version, count(*)::INTEGER AS properties FROM pragma_table_info('orders') UNION ALL SELECT 'region', 1, count(*)::INTEGER FROM pragma_table_info('region')")
+def g_store(c: Catalog) -> DataFrame:
+    """Stored schemas, one of them a second time and one removed."""
+    store = schema.SchemaStore(c.spark.createDataFrame([], "key string, seq long, value binary"))
+    for name, version in (("orders", 3), ("region", 1), ("part", 1), ("orders", 4)):
+        store.store(name, _schema_of(c, name), version)
+    store.remove("part")
+    store.validate("orders", _schema_of(c, "orders"), 4)
+    return store.frame()
+
+
+@query("SELECT p_partkey, p_size * 2 AS twice, p_size * 2 + 1 AS more FROM part")
+def g_migrate(c: Catalog) -> DataFrame:
+    steps = {2: lambda d: d.withColumn("twice", F.col("p_size") * 2), 3: lambda d: d.withColumn("more", F.col("twice") + 1)}
+    return schema.migrate(c.table("part").select("p_partkey", "p_size"), 1, 3, steps).select("p_partkey", "twice", "more")
+
+
+@query("SELECT p_partkey, (p_size & 1) <> 0 AS indexed, (p_size | 2)::BIGINT AS with_unique, (p_size & ~1)::BIGINT AS without_index FROM part")
+def g_attributes(c: Catalog) -> DataFrame:
+    bits = F.col("p_size")
+    return c.table("part").select(
+        "p_partkey", has_attribute(bits, "indexed").alias("indexed"), set_attribute(bits, "unique").cast("long").alias("with_unique"),
+        clear_attribute(bits, "indexed").cast("long").alias("without_index"),
+    )
+
+
+# Links, versions and log, the rest.
+@query("SELECT o_custkey AS target, o_orderkey + 1 AS origin FROM orders a WHERE o_orderkey % 9 = 0 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey = a.o_orderkey + 1)")
+def k_invalid_backlinks(c: Catalog) -> DataFrame:
+    orders = c.table("orders")
+    claimed = orders.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("target"), (F.col("o_orderkey") + 1).alias("origin"))
+    return links.invalid_backlinks(claimed, orders, "o_custkey", "o_orderkey")
+
+
+@query(
+    "SELECT o_custkey AS target, list_append(o, 5) AS added, CASE WHEN list_position(o, 3) > 0 THEN list_concat(o[:list_position(o, 3) - 1], o[list_position(o, 3) + 1:]) ELSE o END AS removed, "
+    "len(list_filter(o, lambda x: x = 1))::INTEGER AS of_type FROM (SELECT o_custkey, list(o_orderkey % 10 ORDER BY o_orderkey % 10) AS o FROM orders GROUP BY 1)"
+)
+def k_link_sets(c: Catalog) -> DataFrame:
+    sets = links.backlink_lists(c.table("orders").withColumn("k", F.col("o_orderkey") % 10), "o_custkey", "k")
+    o = F.col("origins")
+    typed = F.transform(o, lambda x: F.struct(F.lit(1).cast("long").alias("table_key"), x.alias("obj_key"), x.cast("int").alias("type_info")))
+    return sets.select(
+        "target", links.set_add(o, F.lit(5).cast("long")).alias("added"), links.set_remove(o, F.lit(3).cast("long")).alias("removed"),
+        links.set_size(links.typed_of_type(typed, 1)).alias("of_type"),
+    )
+
+
+@query(
+    "SELECT target, len(list_filter(o, lambda x: x = 4)) > 0 AS has_4 FROM (SELECT o_custkey AS target, list(o_orderkey % 10) AS o FROM orders GROUP BY 1)"
+)
+def k_typed_link_sets(c: Catalog) -> DataFrame:
+    sets = links.backlink_lists(c.table("orders").withColumn("k", F.col("o_orderkey") % 10), "o_custkey", "k")
+    typed = F.transform("origins", lambda x: F.struct(F.lit(1).cast("long").alias("table_key"), x.alias("obj_key"), F.lit(0).alias("type_info")))
+    return sets.select("target", links.typed_contains_target(typed, F.lit(1), F.lit(4)).alias("has_4"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))"
+)
+def k_cascade_levels(c: Catalog) -> DataFrame:
+    """Customers go, with them their orders, and with those their lines."""
+    gone = Query(c.table("customer"), "c_custkey").where("c_acctbal < 0").matches()
+    levels = [(c.table("orders"), "o_orderkey", "o_custkey"), (c.table("lineitem"), "l_orderkey", "l_orderkey")]
+    return links.cascade(gone, "c_custkey", levels)[1].select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "WITH RECURSIVE g AS (SELECT p_partkey AS k FROM part WHERE p_partkey IN (3, 5) UNION SELECT p_partkey FROM part JOIN g ON p_partkey // 3 = g.k AND p_partkey > 2) "
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (FROM g)"
+)
+def k_cascade_tree(c: Catalog) -> DataFrame:
+    """Parts as a tree, each below a third of its number; two branches go."""
+    part = c.table("part").select("p_partkey", F.when(F.col("p_partkey") > 2, F.expr("p_partkey div 3")).alias("parent"))
+    return links.cascade_tree(part, "p_partkey", "parent", part.where("p_partkey IN (3, 5)"), "p_partkey").select("p_partkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+def n_transaction(c: Catalog) -> DataFrame:
+    """One transaction that is committed, one that fails, and one that runs out of time: only the first takes effect."""
+    versions, table = versioning.Versions(), c.table("nation")
+    with versioning.transaction(versions, table, seconds=600) as t:
+        t.apply(lambda d: d.where("n_regionkey <> 1"))
+    for seconds, error in ((None, ValueError), (0.0, versioning.TransactionTimeout)):
+        try:
+            with versioning.transaction(versions, t.table, seconds) as other:
+                other.apply(lambda d: d.limit(0))
+                raise ValueError
+        except error:
+            t.table = other.table
+    return t.table.select("n_nationkey", "n_name")
+
+
+@query("SELECT count(*) AS current_version, count(*) - 2 AS oldest_snapshot, 3::BIGINT AS versions, 1::BIGINT AS snapshots FROM nation")
+def n_versions(c: Catalog) -> DataFrame:
+    """A version for each nation, a snapshot, and what is left when the versions before it are collected."""
+    versions = versioning.Versions()
+    for _ in range(c.table("nation").count()):
+        versions.create()
+    versions.snapshot(versions.current - 2)
+    versions.release(versions.snapshot())
+    versions.collect()
+    found = versions.statistics()
+    return c.spark.createDataFrame([tuple(found[k] for k in ("current_version", "oldest_snapshot", "versions", "snapshots"))], "current_version long, oldest_snapshot long, versions long, snapshots long")
+
+
+@query(
+    "SELECT v, ts FROM (SELECT event_id // 10 AS v, max(ts) AS ts FROM events GROUP BY 1) WHERE NOT (v < 300 AND ts < TIMESTAMP '2024-01-03 00:00:00') ORDER BY v DESC LIMIT 400"
+)
+def n_collected(c: Catalog) -> DataFrame:
+    events = c.table("events").select(F.expr("event_id div 10").alias("v"), "ts")
+    return versioning.collected(events, "v", "ts", 300, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"), 400)
+
+
+@query("SELECT event_id AS version FROM (SELECT DISTINCT event_id FROM events) ORDER BY 1 DESC LIMIT 100")
+def n_newest_versions(c: Catalog) -> DataFrame:
+    return versioning.newest_versions(c.table("events").select(F.col("event_id").alias("version")), "version", 100)
+
+
+@query(
+    "SELECT user_id, event_id, stage, previous FROM (SELECT *, lag(stage) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM (SELECT user_id, event_id, "
+    "list_extract(['ready', 'reading', 'writing', 'committing', 'rolling_back'], (event_id * 7 % 5 + 1)::INTEGER) AS stage FROM events)) WHERE previous IS NOT NULL AND NOT ("
+    "previous = 'ready' AND stage IN ('reading', 'writing') OR previous = 'reading' AND stage IN ('ready', 'rolling_back') OR previous = 'writing' AND stage IN ('committing', 'rolling_back') "
+    "OR previous = 'committing' AND stage IN ('ready', 'rolling_back') OR previous = 'rolling_back' AND stage = 'ready')"
+)
+def n_stages(c: Catalog) -> DataFrame:
+    stages = F.array(*[F.lit(x) for x in ("ready", "reading", "writing", "committing", "rolling_back")])
+    log = c.table("events").select("user_id", "event_id", F.element_at(stages, (F.col("event_id") * 7 % 5 + 1).cast("int")).alias("stage"))
+    return versioning.bad_transitions(log, "user_id", "event_id", "stage")
+
+
+_CHECKSUM = "list_reduce(list_transform(string_split(pos || '|' || type || '|' || txn || '|' || version || '|' || data, ''), lambda x: ascii(x)), lambda a, b: xor(a, b))::INTEGER"
+
+
+@query(f"SELECT pos, {_CHECKSUM} AS checksum FROM {_LOG}")
+def w_seal(c: Catalog) -> DataFrame:
+    return wal.seal(_log(c)).select("pos", "checksum")
+
+
+@query(f"SELECT pos FROM {_LOG} WHERE pos < (SELECT min(pos) FROM {_LOG} WHERE pos % 3571 = 17)")
+def w_repair(c: Catalog) -> DataFrame:
+    """Some entries are changed after they were sealed: what stands before the first is kept."""
+    log = wal.seal(_log(c))
+    broken = log.withColumn("data", F.when(F.col("pos") % 3571 == 17, F.concat("data", F.lit("!"))).otherwise(F.col("data")))
+    return wal.repair(broken).select("pos")
+
+
+@query(f"SELECT pos FROM {_LOG} WHERE pos % 3571 = 17")
+def w_corrupt(c: Catalog) -> DataFrame:
+    log = wal.seal(_log(c))
+    return wal.corrupt(log.withColumn("version", F.when(F.col("pos") % 3571 == 17, F.col("version") * 10 + 1).otherwise(F.col("version")))).select("pos")
+
+
+@query(f"SELECT (SELECT arg_max(version, pos) FROM {_LOG} WHERE type = 'COMMIT') AS last_committed, count(*) FILTER (state = 'pending') AS pending, 0::BIGINT AS corrupt FROM {_TXNS}")
+def w_recover(c: Catalog) -> DataFrame:
+    found = wal.recover(wal.seal(_log(c)))
+    return c.spark.createDataFrame([(found["last_committed"], found["pending"], found["corrupt"])], "last_committed long, pending long, corrupt long")
+
+
+@query(f"SELECT pos, type, txn FROM {_LOG} WHERE pos < 500 UNION ALL SELECT 499 + row_number() OVER (ORDER BY pos), type, txn FROM {_LOG} WHERE pos >= 500 AND pos % 3 = 0")
+def w_append(c: Catalog) -> DataFrame:
+    """Entries added at the end, in the order of their time."""
+    log = wal.seal(_log(c).where("pos < 500"))
+    more = _log(c).where("pos >= 500 AND pos % 3 = 0").select("type", "txn", "version", F.col("pos").alias("ts"), "data")
+    return wal.append(log.withColumn("ts", F.col("pos")), more).select("pos", "type", "txn")
+
+
+@query("SELECT event_id, event_id % 600 >= 300 OR event_id * 100 >= 1048576 OR user_id >= 1800 AS due FROM events")
+def w_checkpoint_due(c: Catalog) -> DataFrame:
+    e = F.col("event_id")
+    return c.table("events").select("event_id", wal.checkpoint_due(e % 600, e * 100, F.col("user_id")).alias("due"))
+
+
+@query(f"SELECT max(pos) FILTER (pos % 1000 = 0) AS checkpoint_pos, arg_max(version, pos) FILTER (pos % 1000 = 0) AS checkpoint_version, max(pos) AS log_pos FROM {_LOG}")
+def w_checkpoint_statistics(c: Catalog) -> DataFrame:
+    marked = _log(c).withColumn("type", F.when(F.col("pos") % 1000 == 0, "CHECKPOINT").otherwise(F.col("type")))
+    return wal.checkpoint_statistics(marked).select("checkpoint_pos", "checkpoint_version", "log_pos")
+
+
+@query("SELECT event_id AS seq, event_type AS text FROM events ORDER BY event_id DESC LIMIT 1000")
+def o_history(c: Catalog) -> DataFrame:
+    return newest(c.table("events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("text")), 1000)
+
+
+@query("SELECT p_partkey, 512.0::DOUBLE / p_size + 10.0 AS by_text, 512.0::DOUBLE / p_size AS by_index FROM part WHERE p_size > 0")
+def o_node_cost(c: Catalog) -> DataFrame:
+    distance = F.col("p_size").cast("double")
+    return c.table("part").where("p_size > 0").select("p_partkey", node_cost(distance, "string").alias("by_text"), node_cost(distance, "index").alias("by_index"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest finished orders: text predicate, order, top hundred."""
     found = _orders(Catalog(spark, sf_dir)).where("o_orderstatus = 'F' AND o_totalprice > 200000")

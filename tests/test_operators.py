@@ -400,3 +400,118 @@ def test_bucketed_tables_join_without_shuffle(spark, data):
 def test_last_write_wins_with_nulls(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (1, 1, "c"), (None, None, "d"), (2, 5, None)], "k long, v long, x string")
     assert sorted(map(tuple, catalog.last_by(df, ["k"], ["v"]).collect()), key=str) == [(1, 2, "b"), (2, 5, None), (None, None, "d")]
+
+
+def test_schema_store_and_search(spark):
+    v1 = users(spark, {"property": "id", "type": "int", "is_primary": True}, {"property": "name", "type": "string", "public_name": "label"}, Pier=[{"property": "id", "type": "int"}])
+    store = schema.SchemaStore(spark.createDataFrame([], "key string, seq long, value binary"))
+    store.store("main", v1, 3)
+    store.store("other", v1)
+    assert store.names() == ["main", "other"] and store.has("main") and store.version("main") == 3 and schema.equal(store.load("main"), v1)
+    store.validate("main", v1, 3)
+    for changed, version in ((v1, 4), (v1.where("property <> 'name'"), 3)):
+        with pytest.raises(SpecError):
+            store.validate("main", changed, version)
+    store.remove("main")
+    assert store.names() == ["other"] and not store.has("main") and sorted(tuple(r) for r in store.frame().collect()) == [("other", 1, 3)]
+    with pytest.raises(KeyError):
+        store.load("main")
+    assert schema.find(v1, "Pier").count() == 1 and sorted(column(schema.find_property(v1, "label"), "property")) == ["name"]
+    tables = spark.createDataFrame([("User", 7), ("Pier", 8)], "object string, table_key long")
+    assert set(column(schema.find_by_table_key(v1, tables, 7), "object")) == {"User"} and schema.find_by_table_key(v1, tables, 9).isEmpty()
+    turned = users(spark, {"property": "name", "type": "string", "public_name": "label"}, {"property": "id", "type": "int", "is_primary": True}, Pier=[{"property": "id", "type": "int"}])
+    assert not schema.equal(v1, turned) and schema.equal(v1, turned, ordered=False)
+
+
+def test_every_kind_of_change_is_carried_out(spark):
+    pk = {"property": "id", "type": "int", "is_primary": True}
+    old = users(spark, pk, {"property": "a", "type": "int"}, {"property": "b", "type": "string", "is_indexed": True}, Gone=[pk], Kept=[pk])
+    new = users(
+        spark, {**pk, "is_primary": False}, {"property": "a", "type": "int", "is_nullable": True, "is_indexed": True}, {"property": "b", "type": "string", "is_primary": True},
+        {"property": "c", "type": "double", "is_nullable": True}, Fresh=[pk, {"property": "x", "type": "string"}], Kept=[{**pk, "table_type": "asymmetric"}],
+    )
+    changes = [r.asDict() for r in schema.diff(old, new).collect()]
+    own = catalog.Catalog(spark)
+    own.register("User", spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "id long, a long, b string"))
+    own.register("Gone", spark.range(1))
+    own.register("Kept", spark.range(3))
+    schema.apply_to(own, changes, new)
+    assert own.names() == ["Fresh", "Kept", "User"] and own.table("Fresh").columns == ["id", "x"] and own.table("User").columns == ["id", "a", "b", "c"]
+    assert own.key("User") == "b" and own.spec("Kept").kind == "asymmetric" and own.spec("User").column("a").nullable
+    about = own.table("User").schema
+    assert about["a"].metadata == {"nullable": True, "indexed": True} and about["b"].metadata == {"indexed": False, "primary_key": True}
+    seen = []
+    assert schema.visit(changes, {"AddTable": seen.append}, other=lambda c: None) == len(changes) and [c["object"] for c in seen] == ["Fresh"]
+    assert schema.same_changes(changes, list(changes)) and not schema.same_changes(changes, changes[1:])
+    with pytest.raises(ValueError):
+        schema.visit(changes, {})
+    with pytest.raises(ValueError):
+        schema.apply(own.table("Kept"), "Kept", [{"object": "Kept", "property": "", "change": "RemoveTable"}], {})
+    twice = spark.createDataFrame([(1,), (1,)], "id long")
+    with pytest.raises(ValueError):
+        schema.apply(twice, "t", [{"object": "t", "property": "id", "change": "ChangePrimaryKey"}], {})
+
+
+def test_transactions_run_out_of_time(spark):
+    import time
+
+    v = versioning.Versions()
+    with pytest.raises(versioning.TransactionTimeout), versioning.transaction(v, spark.range(3), seconds=0.05) as t:
+        t.apply(lambda d: d.where("id > 0"))
+        time.sleep(0.3)
+    assert t.timed_out and t.table.count() == 3 and v.current == 0 and v.oldest() == 0 and t.remaining() == 0
+    with versioning.transaction(v, spark.range(3), seconds=60) as t:
+        t.apply(lambda d: d.where("id > 0"))
+    assert v.current == 1 and not t.timed_out and 0 <= t.elapsed() < 60
+    for _ in range(5):
+        v.create()
+    held = v.snapshot(4)
+    assert v.collect(age_seconds=1000) == 0 and v.collect() == 3 and v.collect(limit=1) == 2
+    assert v.statistics() == {"current_version": 6, "versions": 1, "snapshots": 1, "oldest_snapshot": 4, "isolation_level": "repeatable_read", "gc_runs": 3, "versions_collected": 5}
+    v.release(held)
+    df = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40), (2, 25)], "v long, at long")
+    assert sorted(column(versioning.collected(df, "v", "at", 3, 22), "v")) == [2, 3, 4]
+    assert sorted(column(versioning.collected(df, "v", "at", 3, 99, 1), "v")) == [4]
+
+
+def test_cascades(spark):
+    a, b, c = spark.range(4), spark.createDataFrame([(10, 0), (11, 1), (12, None)], "id long, a long"), spark.createDataFrame([(20, 10), (21, 11), (22, 99)], "id long, b long")
+    left = links.cascade(a.where("id = 0"), "id", [(b, "id", "a"), (c, "id", "b")])
+    assert [sorted(column(x, "id")) for x in left] == [[11, 12], [21, 22]]
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 7), (7, 6)], "id long, up long")
+    assert sorted(column(links.cascade_tree(tree, "id", "up", tree.where("id IN (2, 6)"), "id"), "id")) == [1, 5]
+    with pytest.raises(ValueError):
+        links.backlink_lists(spark.range(30).select("id", (F.col("id") % 2).alias("to")), "to", "id", most=10)
+    with pytest.raises(ValueError):
+        links.embed(a, "id", spark.range(30).select("id", (F.col("id") % 2).alias("to")), "to", ["id"], "x", most=10)
+
+
+def test_order_checks_and_far_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate([1, 2, 5, 5, 4, 9])], "at long, k long").repartition(3)
+    assert sorted(tuple(r) for r in index.disorder(df, "k", "at").collect()) == [(3, 5, 5), (4, 4, 5)]
+    assert index.disorder(df.where("at < 3"), "k", "at").isEmpty() and index.disorder(df, "at", "k", "at").isEmpty()
+    wide = spark.createDataFrame([(0, -5, 1 << 40), (1, 3, 3), (2, -(1 << 63), (1 << 63) - 1), (3, 9, 2)], "range_id int, start long, end long")
+    keys_of = spark.createDataFrame([(-6,), (-5,), (3,), (1 << 40,), ((1 << 40) + 1,)], "k long")
+    got = sorted((r["k"], r["range_id"]) for r in index.range_join(keys_of, "k", wide, 4).collect())
+    assert got == sorted((k, i) for (k,) in [(-6,), (-5,), (3,), (1 << 40,), ((1 << 40) + 1,)] for i, a, b in [(0, -5, 1 << 40), (1, 3, 3), (2, -(1 << 63), (1 << 63) - 1)] if a <= k <= b)
+    monkeypatch.setattr(storage, "SMALL_OFFSET", 5)
+    monkeypatch.setattr("korvid.operators.query.SMALL_OFFSET", 5)
+    many = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
+    q = Query(many, "id").sort(("v", False))
+    plain = sorted(range(100), key=lambda i: (-(i % 7), i))
+    assert column(q.page(60, 5), "id") == plain[60:65] and [q.find_all().key_at(i) for i in (0, 4, 5, 99, 100)] == [*(plain[i] for i in (0, 4, 5, 99)), None]
+    assert column(slice_rows(many, "id", 90, 200), "id") == list(range(90, 100)) and column(select(many, ["id"], None, "id", None, 97), "id") == [97, 98, 99]
+    assert index.lookup(many, "id", 5).count() == 1 and index.clear(index.postings(many, "id", "v")).isEmpty()
+    index.save(index.postings(many, "id", "v"), "kept_postings", 4)
+    assert index.load(spark, "kept_postings").count() == 100
+    visited = []
+    assert Query(many, "id").where("v = 3").find_all().for_each(lambda r: visited.append(r["id"])) == 14 and visited == sorted(visited)
+    assert len(Query(many, "id").find_all().collect()) == 100 and column(Query(many, "id").where("v = 0").keys(), "id") == list(range(0, 100, 7))
+    assert [r["id"] for r in RowIterator(many, "id", where=lambda r: r["v"] == 6)] == list(range(6, 100, 7))
+
+
+def test_checksums_of_long_texts(spark):
+    df = spark.range(3).select(F.repeat(F.lit("ab"), 40_000).alias("t"))
+    assert column(df.select(wal.xor_bytes(F.concat("t", F.lit("c"))).alias("x")), "x") == [ord("c")] * 3
+    log = spark.createDataFrame([(1, "BEGIN", 1, 0, 5), (2, "CHECKPOINT", None, 7, 6), (3, "OP", 1, 0, 9)], "pos long, type string, txn long, version long, ts long")
+    assert tuple(wal.checkpoint_statistics(log).first()) == (2, 7, 6, 3)

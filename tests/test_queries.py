@@ -55,5 +55,7 @@ def test_plans_stay_native(spark, data):
     plan = QUERIES["p_and"](spark, data)._jdf.queryExecution().toString()
     assert "o_orderpriority" not in plan.split("Physical Plan")[1].split("ReadSchema")[1]
     for name, run in QUERIES.items():
+        if name == "u_key_callback":  # its condition is a Python function
+            continue
         plan = run(spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan, name
