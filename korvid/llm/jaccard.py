@@ -71,6 +71,8 @@ CELL_RATIO = 1.02
 _FLUSH = 300_000
 #: Links that a task contracts at once.
 _LINKS = 1_000_000
+_AT, _LEFT_OUT, _STEP = B.PLACE[:PARTS], B.PLACE[PARTS : 2 * PARTS], np.uint64(0xD6E8FEB86659FD93)
+_GROUP = np.arange(4096, dtype=np.uint64) * _STEP
 _FALLBACK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -161,23 +163,25 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], bo
     scrambled = B.mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     for band, groups, need in bands.plan(len(shingles)):
         seed = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        part = (B.mix(shingles + seed) % np.uint64(PARTS * groups)).astype(np.int64)
+        part = (B.mix(shingles + seed) % np.uint64(PARTS * groups)).astype(np.uint16 if PARTS * groups < 1 << 16 else np.int64)  # short numbers sort fast
         order = np.argsort(part, kind="stable")
         ordered = part[order]
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         content = np.zeros(PARTS * groups, dtype=np.uint64)  # of each partition; 0 is empty
         content[ordered[start]] = B.mix(np.add.reduceat(scrambled[order], start) + seed) | np.uint64(1)
         content = content.reshape(groups, PARTS)
-        strong = np.cumsum((content != 0).sum(1) >= 2)
+        filled = content != 0
+        some = filled.sum(1)
+        strong = np.cumsum(some >= 2)
         if strong[-1] < need:
             fallback, sent = True, groups
         else:
             sent = int(np.searchsorted(strong, need)) + 1
-        content = content[:sent]
-        whole = (content * B.PLACE[:PARTS]).sum(1, dtype=np.uint64) + np.arange(sent, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for left_out in range(PARTS):  # the subsets of all partitions but one
-            rest = np.delete(content, left_out, axis=1).any(1)
-            out.append(B.mix(whole - content[:, left_out] * B.PLACE[left_out] + B.PLACE[PARTS + left_out] + seed)[rest])
+        own = content[:sent] * _AT
+        group = _GROUP[:sent] if sent <= len(_GROUP) else np.arange(sent, dtype=np.uint64) * _STEP
+        whole = own.sum(1, dtype=np.uint64) + group + seed
+        subsets = B.mix(whole[:, None] - own + _LEFT_OUT)  # all partitions but one, for each one
+        out.append(subsets[some[:sent, None] > filled[:sent]])
     if fallback:
         m = len(shingles)
         out.append(B.mix(shingles[: m - -(-m * bands.num // bands.den) + 1] + _FALLBACK))
