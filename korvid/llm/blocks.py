@@ -212,6 +212,8 @@ def subwords(data: np.ndarray, orders: tuple[int, ...], bits: int):
         done = n
         m = len(data) - n + 1
         inside = blank[n - 1 : n - 1 + m] - blank[1 : 1 + m] == 0
+        if n == 2:  # two blanks bound no word
+            inside &= (data[:-1] != 0x20) | (data[1:] != 0x20)
         at = np.flatnonzero(inside)
         yield (mix(h[at] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int32), at
 

@@ -1,6 +1,7 @@
 """Toxicity, quality and language: accuracy on documents that weren't learned from, and odd rows."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -114,6 +115,57 @@ def test_the_difference_alone_decides(spark, big):
     assert auc > 0.99 and ((p >= 0.5) == y).mean() > 0.98
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_bucket(gram, bits):
+    """The bucket of a byte n-gram, in whole numbers of Python."""
+    h = (sum(int(B.BYTE_CODE[b]) * int(B.PLACE[k]) for k, b in enumerate(gram)) + len(gram)) & MASK
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & MASK
+    return (h ^ (h >> 31)) >> (64 - bits)
+
+
+def plain_grams(text, orders, letters_only=False):
+    """Byte n-grams within words and their bounding blanks."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    if letters_only:
+        data = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in data)
+    words = re.split(rb"[\x20\x09-\x0d]", data)
+    for w in words:
+        w = b" " + w + b" "
+        for n in orders:
+            yield from (w[i : i + n] for i in range(len(w) - n + 1) if len(w) > 2)
+
+
+TEXTS = ["The harbour lies badword north.", "été naïve 42 x", "a", "", "  ", "Mixed CASE words\nand lines", "中文 字"]
+
+
+def test_toxicity_against_a_plain_scorer():
+    model = toxicity.fit(sample(random.Random(3), 100, ["badword"]))
+    got = scores(model, TEXTS)
+    for text, g in zip(TEXTS, got):
+        buckets = [plain_bucket(x, model.bits) for x in plain_grams(text, model.orders)]
+        z = model.bias + model.scale * sum(float(model.logit[b]) for b in buckets) / (sum(float(model.weight[b]) for b in buckets) + model.prior)
+        assert abs(g - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_language_against_a_plain_scorer():
+    rows = [("the cat and the dog with this", "en"), ("the house of the king", "en"), ("le chat et le chien avec la", "fr"), ("la maison de la reine", "fr"), ("日本 語文", "ja")]
+    model = langid.train(rows * 3)
+    names, score, _ = model.predict(next(B.blocks(iter([pa.record_batch({"text": pa.array(TEXTS)})]))))
+    for text, name, s in zip(TEXTS, names, score):
+        if not any(c.isalpha() for c in text):
+            assert name == "und" and s == 0
+            continue
+        v = np.zeros(1 << langid.BITS)
+        for x in plain_grams(text, langid.ORDERS, letters_only=True):
+            v[plain_bucket(x, langid.BITS)] += 1
+        v = np.sqrt(v) * model.idf
+        near = model.centroids @ (v / max(np.linalg.norm(v), 1e-9))
+        assert abs(near.max() - s) < 1e-4 and near[[k for k, n in enumerate(model.langs) if n == name]].max() >= near.max() - 1e-4
+
+
 def test_langid_rejects_what_is_far_from_all_centroids():
     rows = [("the cat and the dog with this", "en"), ("the house of the king and that", "en"), ("le chat et le chien avec la", "fr"), ("la maison de la reine et les", "fr")]
     model = langid.train(rows * 5)
