@@ -9,7 +9,7 @@ tells copies, edited copies and copied parts from chance.
 
 The test items are collected and broadcast in blocks of a fixed byte bound;
 however many items there are, each block meets all documents, which are never
-shuffled.
+shuffled: one pass for each block, and one to count for every few.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ THRESHOLD = 0.5
 PASSAGE_WORDS = 30
 #: Bytes of test items that are broadcast at once.
 ITEM_BYTES = 8 << 20
+#: Blocks of items whose n-grams are counted in one pass over the documents.
+COUNTED = 4
 
 # Words here are runs of ASCII letters and digits and of all other bytes from 0x80: punctuation is no difference.
 _GAPS = np.ones(256, dtype=bool)
@@ -172,24 +175,25 @@ def frequencies(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> np.n
     return out
 
 
-def choose_seeds(docs: DataFrame, items: list[tuple[object, str]]) -> Seeds:
-    """Count the items' n-grams over ``docs`` and take all that occur there as seeds."""
-    words, grams = _windows([t for _, t in items])
-    known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-    lengths = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
-    df = frequencies(docs, known, lengths)
-    entries = []
-    for i, g in enumerate(grams):
-        entries += [(int(g[k]), i, k) for k in np.flatnonzero(df[np.searchsorted(known, g)]).tolist()]
-    h = np.array([e[0] for e in entries], dtype=np.uint64)
-    item = np.array([e[1] for e in entries], dtype=np.int64)
-    place = np.array([e[2] for e in entries], dtype=np.int64)
-    order = np.argsort(h, kind="stable")
-    hashes, first = np.unique(h[order], return_index=True)
-    return Seeds(
-        [i for i, _ in items], words, hashes, np.append(first, len(h)), item[order], place[order],
-        lengths, _filter(hashes),
-    )
+def seed_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Seeds]:
+    """The seeds of each block of items: those of their n-grams that occur in ``docs``, counted for COUNTED blocks in one pass."""
+    blocks = item_blocks(benchmark)
+    while group := list(islice(blocks, COUNTED)):
+        made = [(items, *_windows([t for _, t in items])) for items in group]
+        known = np.unique(np.concatenate([g for _, _, grams in made for g in grams] or [np.zeros(0, np.uint64)]))
+        lengths = sorted({min(SEED_WORDS, len(w)) for _, words, _ in made for w in words if len(w)})
+        df = frequencies(docs, known, lengths)
+        for items, words, grams in made:
+            entries = []
+            for i, g in enumerate(grams):
+                entries += [(int(g[k]), i, k) for k in np.flatnonzero(df[np.searchsorted(known, g)]).tolist()]
+            h = np.array([e[0] for e in entries], dtype=np.uint64)
+            item = np.array([e[1] for e in entries], dtype=np.int64)
+            place = np.array([e[2] for e in entries], dtype=np.int64)
+            order = np.argsort(h, kind="stable")
+            hashes, first = np.unique(h[order], return_index=True)
+            own = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
+            yield Seeds([i for i, _ in items], words, hashes, np.append(first, len(h)), item[order], place[order], own, _filter(hashes))
 
 
 def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[list[tuple[object, str]]]:
@@ -239,15 +243,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
         return docs.select("doc_id", "text").transform(B.arrow, run, schema)
 
-    parts = [scan(choose_seeds(docs, items)) for items in item_blocks(benchmark)]
+    parts = [scan(seeds) for seeds in seed_blocks(docs, benchmark)]
     return reduce(DataFrame.unionAll, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text matches no test item; texts aren't shuffled."""
     context, corpus = docs.sparkSession.sparkContext, docs
-    for items in item_blocks(benchmark):
-        shared = context.broadcast(choose_seeds(corpus, items))
+    for seeds in seed_blocks(corpus, benchmark):
+        shared = context.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in B.blocks(batches):
