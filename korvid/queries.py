@@ -14,16 +14,17 @@ from pyspark.sql import types as T
 
 from .functions import convert
 from .functions.compare import compare_values
-from .functions.keys import pack_column_key, unpack_column_key
+from .functions.keys import little_endian_hex, pack_column_key, unpack_column_key
 from .functions.text import tokenise
 from .operators import bulk, dml, index, links, schema, versioning, wal
 from .operators.query import Query, RowIterator, chunk_rows, chunk_stats, ends, members_of, select, slice_rows, where_key
-from .plans.cache import estimated_cardinality, newest, node_cost, rollup
+from .plans.cache import PlanCache, estimated_cardinality, newest, node_cost, rollup
+from .plans.predicate import complexity, parse
 from .sources import storage
 from .sources.catalog import Catalog, current_metadata, put_metadata, remove_metadata
 from .sources.spec import ColumnSpec, TableSpec, clear_attribute, has_attribute, set_attribute, violations
 from .streaming import files
-from .streaming.results import Cancel, Interrupted, ResultStream, process, run_interruptibly
+from .streaming.results import Cancel, Interrupted, QueryManager, ResultStream, process, run_interruptibly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1192,6 +1193,82 @@ def o_node_cost(c: Catalog) -> DataFrame:
     return c.table("part").where("p_size > 0").select("p_partkey", node_cost(distance, "string").alias("by_text"), node_cost(distance, "index").alias("by_index"))
 
 
+# What is left: creation, maps of equalities, printing, caches, registries, keys.
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 3")
+def s_create(c: Catalog) -> DataFrame:
+    """A new table, filled row by row."""
+    own = Catalog(c.spark)
+    spec = TableSpec("made", (ColumnSpec("id", "int"), ColumnSpec("name", "string", True)), "id")
+    own.create(spec)
+    names = [r["n_name"] for r in c.table("nation").where("n_nationkey < 3").orderBy("n_nationkey").collect()]
+    for i, name in enumerate(names):
+        row = c.spark.createDataFrame([(i, name)], own.table("made").schema)
+        own.register("made", dml.upsert(own.table("made"), row, "id"), spec)
+    return own.table("made").select("id", "name")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
+def m_map_delete(c: Catalog) -> DataFrame:
+    where = dml.matching({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    return dml.delete(c.table("orders"), where).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def m_map_update(c: Catalog) -> DataFrame:
+    orders = c.table("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return dml.update(orders, {"o_orderpriority": "closed"}, dml.matching({"o_orderstatus": "F"})).select("o_orderkey", "o_orderpriority")
+
+
+_PRINTED = "NOT (p_size < 10 OR p_name CONTAINS 'a') AND p_brand IN ('Brand#11', 'Brand#13', 'Brand#25') AND p_size BETWEEN 12 AND 44"
+
+
+@query(
+    "SELECT p_partkey FROM part WHERE NOT (p_size < 10 OR contains(p_name, 'a')) AND p_brand IN ('Brand#11', 'Brand#13', 'Brand#25') AND p_size BETWEEN 12 AND 44"
+)
+def p_printed(c: Catalog) -> DataFrame:
+    """A predicate that is parsed, printed and parsed again."""
+    return Query(c.table("part"), "p_partkey").where(str(parse(_PRINTED))).matches().select("p_partkey")
+
+
+@query("SELECT n_nationkey + 1 AS tests, 2 * (n_nationkey + 1) - 1 AS complexity FROM nation")
+def o_complexity(c: Catalog) -> DataFrame:
+    texts = [" AND ".join(f"x > {i}" for i in range(n + 1)) for n in range(c.table("nation").count())]
+    return c.spark.createDataFrame([(i + 1, complexity(parse(t))) for i, t in enumerate(texts)], "tests long, complexity long")
+
+
+@query("SELECT 2 * count(*) AS hits, count(*) AS misses, least(count(*), 10) AS kept, greatest(count(*) - 10, 0) AS evicted FROM (SELECT n_nationkey FROM nation LIMIT 10)")
+def o_plan_cache(c: Catalog) -> DataFrame:
+    """Ten predicates, asked for three times each."""
+    cache = PlanCache(limit=10)
+    for _ in range(3):
+        for k in range(10):
+            cache.get(f"n_nationkey = {k}", c.table("nation").schema)
+    return c.spark.createDataFrame([(cache.hits, cache.misses, len(cache), cache.evicted)], "hits long, misses long, kept long, evicted long")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 1")
+def e_registry(c: Catalog) -> DataFrame:
+    """A running query for each nation; those of one region are cancelled, and forgotten."""
+    manager = QueryManager()
+    for r in c.table("nation").collect():
+        manager.register(r["n_name"])
+        if r["n_regionkey"] == 1:
+            manager.cancel(r["n_name"])
+    manager.clean()
+    return c.spark.createDataFrame([(n,) for n in manager.names()], "name string")
+
+
+@query("SELECT name, \"type\" IN ('BIGINT', 'INTEGER', 'VARCHAR', 'BOOLEAN', 'TIMESTAMP') AS supported FROM pragma_table_info('orders')")
+def x_supported(c: Catalog) -> DataFrame:
+    return c.spark.createDataFrame([(f.name, index.supports(f.dataType)) for f in c.table("orders").schema.fields], "name string, supported boolean")
+
+
+@query("SELECT p_partkey, concat(" + ", ".join(f"lpad(lower(to_hex((p_partkey >> {8 * i}) & 255)), 2, '0')" for i in range(8)) + ") AS bytes FROM part")
+def c_key_bytes(c: Catalog) -> DataFrame:
+    """Keys as bytes, the lowest first."""
+    return c.table("part").select("p_partkey", little_endian_hex(F.col("p_partkey")).alias("bytes"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest finished orders: text predicate, order, top hundred."""
     found = _orders(Catalog(spark, sf_dir)).where("o_orderstatus = 'F' AND o_totalprice > 200000")
