@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from . import blocks as B
 
 #: Bytes of text of a chunk, of the texts that a part has the words of, and of the words that are laid out at once.
-CHUNK_BYTES, PART_BYTES, POOL_BYTES = 8 << 20, 32 << 20, 4 << 20
-#: Most parts, so that a chunk's words stay packed; a part holds its distinct words only, however many texts have them.
-MOST_PARTS = 4096
+CHUNK_BYTES, PART_BYTES, POOL_BYTES = 16 << 20, 4 << 20, 4 << 20
+#: Parts up to which they may be that small, so that a chunk's words stay packed; and what a part has the words of beyond.
+FINE_PARTS, FULL_BYTES = 4096, 256 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -212,13 +212,25 @@ def _codec(path: str, pattern: str, ranks: dict[bytes, int] | None = None) -> Co
 
 
 class Chunk:
-    """Documents as numbers of words, the commonest first, and those words dealt into parts."""
+    """Documents as numbers of words, and those words dealt into parts.
 
-    def __init__(self, codec: Codec, texts: list[str], parts: int):
-        split = [codec.pattern.findall(t) for t in texts]
-        self.lengths = np.array([len(ws) for ws in split], dtype=np.uint32)
-        first: dict[str, int] = {}
-        flat = np.fromiter((first.setdefault(w, len(first)) for ws in split for w in ws), dtype=np.int64, count=int(self.lengths.sum()))
+    Texts are added one by one; of their words only the different ones are
+    held.  ``close`` numbers the words anew, the commonest first.
+    """
+
+    def __init__(self) -> None:
+        self.first: dict[str, int] = {}
+        self.flat: list[np.ndarray] = []
+
+    def add(self, words: list[str]) -> None:
+        number = self.first
+        self.flat.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.uint32, count=len(words)))
+
+    def close(self, parts: int) -> None:
+        first = self.first
+        self.lengths = np.array([len(x) for x in self.flat], dtype=np.uint32)
+        flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.uint32)
+        self.flat = []
         words = sorted(first)
         old = np.fromiter(map(first.__getitem__, words), dtype=np.int64, count=len(words))
         order = np.argsort(-np.bincount(flat, minlength=len(words))[old], kind="stable")
@@ -226,7 +238,7 @@ class Chunk:
         number[old[order]] = np.arange(len(words), dtype=np.uint32)
         self.numbers = number[flat]
         self.words = [words[i].encode() for i in order.tolist()]
-        self.part = np.fromiter((zlib.crc32(w) % parts for w in self.words), dtype=np.uint16, count=len(words))
+        self.part = np.fromiter((zlib.crc32(w) % parts for w in self.words), dtype=np.uint32, count=len(words))
 
     def requests(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(part, words, their lengths) of each part that has any."""
@@ -250,19 +262,22 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
     table.  ``path`` names a rank file that the driver reads (about 50,000
     entries; at most a few MB); its ranks are broadcast.  Other columns are
     neither read nor returned, but with ``keep`` all come along, except those
-    named like the added ones, which are replaced.
+    named like the added ones, which are replaced; the text then is the one
+    that the tokens decode to, which is the same.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
-    carried = docs.drop(*added) if keep else docs.select("doc_id")
+    kept = docs.drop(*added).columns if keep else ["doc_id"]
+    others = [c for c in kept if c != "text"]
+    carried = docs.select(*others, F.col("text").isNull().alias("_korvid_null"), F.col("text").alias("_korvid_text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(min(max(1, -(-total // PART_BYTES)), MOST_PARTS))
-    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried.schema.fields)])
+    parts = int(max(1, min(-(-total // PART_BYTES), FINE_PARTS), -(-total // FULL_BYTES)))
+    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried.schema.fields[:-1])])
     binary = [T.StructField(n, T.BinaryType()) for n in ("a", "b", "c")]
     schema = T.StructType(
         [T.StructField("key", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.ArrayType(row)), *binary]
     )
-    names, out_names = schema.names, carried.columns + added
+    names, out_names = schema.names, kept + added
     width, chunk_bytes = len(row), CHUNK_BYTES
 
     def codec() -> Codec:
@@ -270,12 +285,11 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks: a row of documents with key below 0, and a row of words for each part."""
-        texts: list[str] = []
-        rows: list[pa.StructArray] = []
+        chunk, rows = Chunk(), []
         held = done = 0
 
         def out() -> pa.RecordBatch:
-            chunk = Chunk(codec(), texts, parts)
+            chunk.close(parts)
             body = [B.pack(x) for x in (chunk.numbers, chunk.lengths, chunk.part)]
             number = hashlib.blake2b(b"".join(body), digest_size=8, key=f"{TaskContext.get().partitionId()}/{done}".encode()).digest()
             own = int.from_bytes(number, "little") >> 1
@@ -291,14 +305,16 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
                 names=names,
             )
 
+        split = codec().pattern.findall
         for block in B.blocks(batches, "_korvid_text"):
-            texts += [block.text(i).decode("utf-8", "replace") for i in range(len(block))]
+            for i in range(len(block)):
+                chunk.add(split(block.text(i).decode("utf-8", "replace")))
             rows.append(pa.StructArray.from_arrays(block.batch.columns[:width], names=row.names))
             held += len(block.data)
             if held >= chunk_bytes:
                 yield out()
-                texts, rows, held, done = [], [], 0, done + 1
-        if texts:
+                chunk, rows, held, done = Chunk(), [], 0, done + 1
+        if rows:
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
         if part.count(-1) != 1:
             raise RuntimeError("a chunk's documents and words don't belong together: its input isn't the same when read again")
         d = part.index(-1)
-        numbers, lengths, of = B.unpack(a[d], np.uint32), B.unpack(b[d], np.uint32), B.unpack(table.column("c")[d].as_py(), np.uint16)
+        numbers, lengths, of = B.unpack(a[d], np.uint32), B.unpack(b[d], np.uint32), B.unpack(table.column("c")[d].as_py(), np.uint32)
         word, count = np.full(len(of), None, dtype=object), np.zeros(len(of), dtype=np.int64)
         for k, p in enumerate(part):
             if p >= 0:
@@ -335,17 +351,26 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
         ends = np.cumsum(lengths, dtype=np.int64)
         run = np.concatenate([[0], np.cumsum(count[numbers])])
         tokens = run[ends] - run[ends - lengths]
-        get, flat = word.tolist().__getitem__, numbers.tolist()
-        joined = [" ".join(map(get, flat[e - n : e])) for e, n in zip(ends.tolist(), lengths.tolist())]
-        digest = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
-        back = [hashlib.sha256(own.decode(j)).hexdigest() for j in joined]
-        columns = pa.concat_arrays(table.column("rows").chunks).slice(d, 1).flatten().flatten()
+        get = word.tolist().__getitem__
+        own_rows = pa.concat_arrays(table.column("rows").chunks).slice(d, 1).flatten().flatten()
+        null = own_rows[-1].to_pylist()
+        joined, digest, back, texts = [], [], [], []
+        for k, (e, n) in enumerate(zip(ends.tolist(), lengths.tolist())):
+            ids_of = " ".join(map(get, numbers[e - n : e].tolist()))
+            text = own.decode(ids_of)
+            digest.append(hashlib.sha256(ids_of.encode()).hexdigest())
+            back.append(hashlib.sha256(text).hexdigest())
+            if ids:
+                joined.append(ids_of)
+            if keep:
+                texts.append(None if null[k] else text.decode("utf-8", "replace"))
+        by = dict(zip(others, own_rows))
+        columns = [pa.array(texts, pa.string()) if keep and c == "text" else by[c] for c in kept]
         columns += [pa.array(tokens, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
         return pa.Table.from_arrays(columns + [pa.array(joined, pa.string())] * ids, names=out_names)
 
-    out = T.StructType([*carried.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in added[1:])])
-    shredded = docs.select(*carried.columns, F.col("text").alias("_korvid_text")).transform(B.arrow, shred, schema)
-    merged = shredded.groupBy("key").applyInArrow(merge, schema)
+    out = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in added[1:])])
+    merged = carried.transform(B.arrow, shred, schema).groupBy("key").applyInArrow(merge, schema)
     return merged.groupBy("chunk").applyInArrow(together, out)
 
 
