@@ -42,6 +42,8 @@ LONG, SHORT = 5, 4
 BITS, PLAIN = 12, 1280
 #: Characters of text of a chunk, and of the texts that a part of the model is made of.
 CHUNK_CHARS, PART_CHARS = 8 << 20, 32 << 20
+#: Bits of a log probability that travels are counted in steps.
+STEP = 1 / 1024
 #: Interquartile ranges by which a band reaches beyond the quartiles of its language.
 LOWER_REACH, UPPER_REACH = 3.0, 3.5
 #: Documents of fewer words don't shape a band (they fail the base rules anyway).
@@ -309,6 +311,25 @@ def base_counts(block: B.Block) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
 
+def places(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each key stands in the sorted array ``known``, which has them all: by a table of hashes, and by search where two share a place."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    shift = np.uint64(64 - (len(known).bit_length() + 3))
+    odd = B.PLACE[0]
+    table = np.zeros(1 << int(64 - shift), dtype=np.int32)
+    table[(known * odd) >> shift] = np.arange(len(known), dtype=np.int32)
+    at = table[(key * odd) >> shift]
+    wrong = np.flatnonzero(known[at] != key)
+    at[wrong] = np.searchsorted(known, key[wrong])
+    return at
+
+
+def _short(logp: np.ndarray) -> np.ndarray:
+    """Log2 probabilities as two bytes, in steps of STEP: what a perplexity is off by is a few parts in ten thousand."""
+    return np.clip(np.rint(-logp / STEP), 0, (1 << 16) - 1).astype(np.uint16)
+
+
 def requests(chunks: DataFrame, parts: int) -> DataFrame:
     """Rows (part, chunk, keys, counts): the different n-grams of each chunk, by the part of the model they belong to."""
 
@@ -338,25 +359,30 @@ def measure(docs: DataFrame, model: KneserNey | None, size: int) -> DataFrame:
         found = []
         for h in (0, 1):
             mine = np.flatnonzero(half == h)
-            key, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(asked[i] for i in mine)]), return_inverse=True)
-            found.append((key, np.bincount(at, np.concatenate([np.zeros(0, np.uint32), *(counts[i] for i in mine)]))))
+            own = np.concatenate([np.zeros(0, np.uint64), *(asked[i] for i in mine)])
+            key = np.unique(own)
+            found.append((key, np.bincount(places(key, own), np.concatenate([np.zeros(0, np.uint32), *(counts[i] for i in mine)]))))
         packed = [b""] * len(asked)
         for h in (0, 1):  # the model of one half of the texts answers the other
             mine = np.flatnonzero(half != h)
             if len(mine):
-                ask, at = np.unique(np.concatenate([asked[i] for i in mine]), return_inverse=True)
-                logp = unfolded(*found[h], ask, shared.value).astype(np.float32)[at]
+                own = np.concatenate([asked[i] for i in mine])
+                ask = np.unique(own)
+                logp = _short(unfolded(*found[h], ask, shared.value))[places(ask, own)]
                 edge = np.cumsum([0, *(len(asked[i]) for i in mine)])
                 for k, i in enumerate(mine):
                     packed[i] = B.pack(logp[edge[k] : edge[k + 1]])
         return pa.table([table.column("part"), table.column("chunk"), pa.array(packed, pa.binary())], ["part", "chunk", "logp"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        key, at = np.unique(_chunk_keys(texts), return_inverse=True)
-        logp = np.zeros(len(key), dtype=np.float32)
+        own = _chunk_keys(texts)
+        key = np.unique(own)
+        at = places(key, own)
+        del own
+        logp = np.zeros(len(key))
         order, edge = _parts(key, parts)
         for part, packed in zip(answers.column("part").to_pylist(), answers.column("logp").to_pylist()):
-            logp[order[edge[part] : edge[part + 1]]] = B.unpack(packed, np.float32)
+            logp[order[edge[part] : edge[part + 1]]] = B.unpack(packed, np.uint16) * -STEP
         short = shared.value.lookup(folded(key)) if len(key) else logp
         done, out = 0, []
         for block in B.blocks(iter(texts.to_batches())):
