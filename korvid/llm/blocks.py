@@ -157,6 +157,12 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """Rows dealt by a key over enough partitions for so many groups of bounded size: a partition gets a few groups, however much data there is."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, 2 * groups), key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

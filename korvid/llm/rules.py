@@ -406,8 +406,9 @@ def measure(docs: DataFrame, model: KneserNey | None, size: int) -> DataFrame:
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{n} long" for n in names) + ", perplexity double, folded_perplexity double"
     many = max(1, -(-size // (2 * CHUNK_CHARS)))  # in each half; equal texts are in the same one
     chunk = (2 * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)) + F.pmod(F.xxhash64("text"), F.lit(2))).alias("chunk")
-    chunks = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", chunk)
-    answers = requests(chunks, parts).groupBy("part").applyInArrow(answer, "part long, chunk long, logp binary")
+    chunks = B.dealt(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", chunk), "chunk", 2 * many)
+    answers = B.dealt(requests(chunks, parts), "part", parts).groupBy("part").applyInArrow(answer, "part long, chunk long, logp binary")
+    answers = B.dealt(answers, "chunk", 2 * many)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
