@@ -370,8 +370,9 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
         return pa.Table.from_arrays(columns + [pa.array(joined, pa.string())] * ids, names=out_names)
 
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in added[1:])])
-    merged = carried.transform(B.arrow, shred, schema).groupBy("key").applyInArrow(merge, schema)
-    return merged.groupBy("chunk").applyInArrow(together, out)
+    chunks = -(-total // chunk_bytes)
+    merged = B.dealt(carried.transform(B.arrow, shred, schema), "key", chunks + parts).groupBy("key").applyInArrow(merge, schema)
+    return B.dealt(merged, "chunk", chunks).groupBy("chunk").applyInArrow(together, out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
