@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Bytes of text of a chunk, of the texts that a part has the words of, and of the words that are laid out at once.
+#: Bytes of text of a chunk (a quarter where all columns come along), of the texts that a part has the words of, and of the words that are laid out at once.
 CHUNK_BYTES, PART_BYTES, POOL_BYTES = 16 << 20, 4 << 20, 4 << 20
 #: Parts up to which they may be that small, so that a chunk's words stay packed; and what a part has the words of beyond.
 FINE_PARTS, FULL_BYTES = 4096, 256 << 20
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
         [T.StructField("key", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.ArrayType(row)), *binary]
     )
     names, out_names = schema.names, kept + added
-    width, chunk_bytes = len(row), CHUNK_BYTES
+    width, chunk_bytes = len(row), CHUNK_BYTES // 4 if keep else CHUNK_BYTES
 
     def codec() -> Codec:
         return _CODECS.get((path, pattern)) or _codec(path, pattern, ranks.value)
