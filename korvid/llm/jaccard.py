@@ -438,6 +438,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) when more links (a, b) come to those that ``groups`` (node, component) was made of.
+
+    Only the components that the new links join are looked at again.
+    """
+    own = {side: groups.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")) for side in ("a", "b")}
+    named = links.join(own["a"], "a", "left").join(own["b"], "b", "left")
+    above = components(named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"))
+    top = above.select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    moved = groups.join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    return B.cut(moved.unionByName(above))
+
+
 def sized(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) whose sets' sizes allow them to be similar, with the sizes and counts of ``info`` for both."""
     for side in ("a", "b"):
@@ -554,8 +567,8 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     of = salted(known, classes, ["hi", "lo"], "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     of = B.cut(of)
     total = of.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_ROWS)))
-    found = B.cut(candidates(signature_table(docs, buckets, n)))
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ROWS)))
+    found = B.cut(candidates(B.dealt(signature_table(docs, buckets, n), "bucket", buckets)))
 
     same = of.where(F.col("rep") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -564,8 +577,7 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     info = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("n_shingles").alias("_m"), F.max("n_shingles").alias("_x"))
     info = B.cut(info.join(counts, info["doc_id"] == counts["b"], "left").select("doc_id", "_m", "_x", F.coalesce("_h", F.lit(0)).alias("_h"), F.coalesce("_flag", F.lit(False)).alias("_flag")))
 
-    links = B.cut(verified(docs, likely(found.where(F.col("sig").isNull()), info), n))
-    groups = components(links.unionByName(same))
+    groups = components(verified(docs, likely(found.where(F.col("sig").isNull()), info), n).unionByName(same))
     stuck = info.where(F.col("_flag") | (F.col("_h") > F.expr(f"_m div {DROP}"))).select(F.col("doc_id").alias("b"))
     members = B.cut(undroppable(common.select("sig", "b").join(stuck, "b", "left_semi"), info))
     for turn in range(STAR_ROUNDS + 1):
@@ -580,8 +592,7 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             again = salted(at, centre, ["sig"], "b").where(F.col("_c") != F.col("_d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             again = prefix_pairs(docs, at.select("b", "_c").distinct(), n)
-        links = B.cut(links.unionByName(verified(docs, sized(again, info), n)).distinct())
-        groups = components(links.unionByName(same))
+        groups = merged(groups, verified(docs, sized(again, info), n))
         members = at.select("sig", "b", "_h")
     label = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
     return of.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))

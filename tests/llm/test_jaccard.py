@@ -170,6 +170,15 @@ def test_against_sql(spark):
     assert sorted(tuple(r) for r in J.join(spark.read.parquet(path)).collect()) == want
 
 
+def test_more_links_join_components(spark):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(110)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    for first in (0, 40, 80):
+        want = {tuple(r) for r in J.components(frame(links)).collect()}
+        assert {tuple(r) for r in J.merged(J.components(frame(links[:first])), frame(links[first:])).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 50), (70, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in J.components(links).collect()}
