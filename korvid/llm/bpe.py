@@ -371,8 +371,14 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
 
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in added[1:])])
     chunks = -(-total // chunk_bytes)
-    merged = B.dealt(carried.transform(B.arrow, shred, schema), "key", chunks + parts).groupBy("key").applyInArrow(merge, schema)
-    return B.dealt(merged, "chunk", chunks).groupBy("chunk").applyInArrow(together, out)
+    few = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread(df: DataFrame, key: str, groups: int) -> DataFrame:
+        """More partitions than the session's where one of those would get more than eight groups, or groups that carry all columns."""
+        return B.dealt(df, key, groups) if keep or groups > few else df
+
+    merged = spread(carried.transform(B.arrow, shred, schema), "key", chunks + parts).groupBy("key").applyInArrow(merge, schema)
+    return spread(merged, "chunk", chunks).groupBy("chunk").applyInArrow(together, out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
