@@ -1,5 +1,7 @@
 """Operators on the small fixtures, with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -515,3 +517,34 @@ def test_checksums_of_long_texts(spark):
     assert column(df.select(wal.xor_bytes(F.concat("t", F.lit("c"))).alias("x")), "x") == [ord("c")] * 3
     log = spark.createDataFrame([(1, "BEGIN", 1, 0, 5), (2, "CHECKPOINT", None, 7, 6), (3, "OP", 1, 0, 9)], "pos long, type string, txn long, version long, ts long")
     assert tuple(wal.checkpoint_statistics(log).first()) == (2, 7, 6, 3)
+
+
+def test_keys_of_a_range_join_are_not_broadcast(spark):
+    """They stand in a cell of each size, which makes them many more than Spark takes them for."""
+    own = spark.range(50).select(F.col("id").alias("k"))
+    for length in (5, 1 << 30):
+        ranges = spark.range(9).select(F.col("id").alias("range_id"), F.col("id").alias("start"), (F.col("id") * length).alias("end"))
+        df = index.range_join(own, "k", ranges)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == sum(i <= k <= i * length for k in range(50) for i in range(9))
+
+
+def test_wide_ranges_meet_in_tiles(spark, monkeypatch):
+    """Ranges of all lengths, repeated and null keys, with tiles of few rows and ranges."""
+    monkeypatch.setattr(index, "NARROW", 3)
+    monkeypatch.setattr(index, "TILE_ROWS", 2)
+    monkeypatch.setattr(index, "TILE_RANGES", 2)
+    rng = random.Random(7)
+    keys = [None, *[5] * 15, *(rng.randrange(-90, 90) for _ in range(60)), 1 << 40, -(1 << 63), (1 << 63) - 1]
+    ranges = [(a, a + rng.choice([-3, 0, 1, 8, 50, 300])) for a in (rng.randrange(-120, 120) for _ in range(50))]
+    ranges += [(-(1 << 63), (1 << 63) - 1), (5, 5), (1 << 41, 1 << 50), (None, 4), (4, None), *[(-70, 70)] * 9]
+    own = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k long").repartition(3)
+    for found in (ranges, [(a, b) for a, b in ranges if a is None or b is None or b - a < 8]):
+        table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "range_id int, start long, end long").repartition(2)
+        df = index.range_join(own, "k", table)
+        assert df.columns == ["id", "k", "range_id", "start", "end"] and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        hits = [(i, k, n, a, b) for i, k in enumerate(keys) for n, (a, b) in enumerate(found) if None not in (k, a, b) and a <= k <= b]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(hits)
+        assert index.range_join(own.where("k IS NULL"), "k", table).isEmpty()
+        pairs = spark.createDataFrame([(k,) for k in (-9, 9)], "k int")
+        assert index.range_join(pairs, "k", table).count() == sum(a <= k <= b for k in (-9, 9) for a, b in found if None not in (a, b))
