@@ -548,3 +548,30 @@ def test_wide_ranges_meet_in_tiles(spark, monkeypatch):
         assert index.range_join(own.where("k IS NULL"), "k", table).isEmpty()
         pairs = spark.createDataFrame([(k,) for k in (-9, 9)], "k int")
         assert index.range_join(pairs, "k", table).count() == sum(a <= k <= b for k in (-9, 9) for a, b in found if None not in (a, b))
+
+
+def test_pairs_of_wide_ranges_are_small_in_files(spark, monkeypatch, tmp_path):
+    """The result is most of what such a join writes: a row's number in bits for each pair is too much."""
+    own = spark.range(3_000).select((F.col("id") * 4).alias("k"))
+    ranges = spark.range(2_000).select(F.col("id").alias("range_id"), F.col("id").alias("start"), (F.col("id") * 8).alias("end"))
+    for at, least in enumerate((index.LEAST_TILES, 1)):
+        monkeypatch.setattr(index, "LEAST_TILES", least)
+        index.range_join(own, "k", ranges).select("k", "range_id").write.parquet(str(tmp_path / str(at)))
+        n = sum(min(i * 8, 11_996) // 4 - (i + 3) // 4 + 1 for i in range(2_000))
+        got = spark.read.parquet(str(tmp_path / str(at)))
+        assert (got.count(), got.distinct().count()) == (n, n) and got.where("k < range_id OR k > range_id * 8").isEmpty()
+        assert sum(p.stat().st_size for p in (tmp_path / str(at)).glob("*.parquet")) < 0.3 * n
+
+
+def test_tiles_of_several_cells(spark, monkeypatch):
+    """Cells of two rows, four of them and four ranges a tile."""
+    for name, value in (("NARROW", 3), ("CELL_ROWS", 1), ("TILE_ROWS", 3), ("TILE_RANGES", 2), ("LEAST_TILES", 1)):
+        monkeypatch.setattr(index, name, value)
+    rng = random.Random(3)
+    keys = [rng.choice([None, *range(-40, 40)]) for _ in range(90)]
+    found = [(a, a + rng.choice([0, 2, 9, 60])) for a in (rng.randrange(-50, 50) for _ in range(40))]
+    own = spark.createDataFrame([(i, k, [k], {i: k}) for i, k in enumerate(keys)], "id int, k int, l array<int>, m map<int,int>").repartition(3)
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "range_id int, start int, end int").repartition(2)
+    got = index.range_join(own, "k", table).collect()
+    assert sorted((r["id"], r["k"], r["range_id"]) for r in got) == sorted((i, k, n) for i, k in enumerate(keys) for n, (a, b) in enumerate(found) if k is not None and a <= k <= b)
+    assert all(r["l"] == [r["k"]] and r["m"] == {r["id"]: r["k"]} and (r["start"], r["end"]) == found[r["range_id"]] for r in got)
